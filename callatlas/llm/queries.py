@@ -9,7 +9,14 @@ from . import sql
 from ._common import table
 from .decontamination import find_contamination
 from .mixing import mix
+from .secrets import KINDS, count_kind, scan_secrets, spans_text, trained_on
 from .simhash import near_duplicates
+from .sketches import edited_sketches, text_of
+from .urls import judge_urls
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, trained_on(docs))
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[-1])
+    counts = [count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_sketches(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("sketch")).alias("fingerprint"),
+        text_of(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "contained")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -30,8 +51,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_url_rules": op3_url_rules,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
+    "op8_sketches": op8_sketches,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op4_mixing": sql.OP4, "op10_decontamination": sql.OP10}
