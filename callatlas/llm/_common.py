@@ -31,6 +31,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 512 rows and about 4 MB in this session, where it has Spark's defaults: texts can be long,
+    and a batch is held by the JVM and by a Python worker at once."""
+    for name, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")):
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_bytes
+from ._common import small_batches, text_bytes
 
 #: ASCII characters that are no digit and no letter become spaces; all bytes from 0x80 on belong to words.
 WORDS_ONLY = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -113,6 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     `automaton_bytes` of text, measured before anything is sent: a benchmark within one slice (the usual case) is scanned
     once, and a larger one takes one scan for each slice, whose hits are then united.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("bytes")).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-total // automaton_bytes))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import sql
 from ._common import table
+from .chat import format_chats
 from .decontamination import find_contamination
 from .mixing import mix
+from .ngrams import score_documents
 from .secrets import KINDS, count_kind, scan_secrets, spans_text, trained_on
 from .simhash import near_duplicates
 from .sketches import edited_sketches, text_of
@@ -36,12 +38,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_sketches(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("sketch")).alias("fingerprint"),
         text_of(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "contained")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,7 +65,9 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_interpolation": op7_interpolation,
     "op8_sketches": op8_sketches,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op4_mixing": sql.OP4, "op10_decontamination": sql.OP10}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import durable, text_bytes
+from ._common import durable, small_batches, text_bytes
 
 CHUNK = 1 << 16
 
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3, seed:
     reachable; null only if all are null). Equal fingerprints are one node whatever their number, so exact copies cost
     no comparisons.
     """
+    small_batches(docs.sparkSession)
     fps = durable(fingerprint_table(docs, shingle, seed, families))
     first = durable(fps.groupBy("family", "fp").agg(F.min("doc_id").alias("first")))
     links = link_fingerprints(first.select("family", "fp"), threshold)
