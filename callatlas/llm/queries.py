@@ -11,12 +11,18 @@ from .chat import format_chats
 from .decontamination import find_contamination
 from .mixing import mix
 from .ngrams import score_documents
+from .quality import score_quality, train_quality
 from .secrets import KINDS, count_kind, scan_secrets, spans_text, trained_on
 from .simhash import near_duplicates
 from .sketches import edited_sketches, text_of
 from .urls import judge_urls
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
 
@@ -61,6 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_url_rules": op3_url_rules,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
