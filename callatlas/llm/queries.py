@@ -11,6 +11,7 @@ from .chat import format_chats
 from .decontamination import find_contamination
 from .mixing import mix
 from .ngrams import score_documents
+from .pii import BASE_KINDS, find_pii, train_pii
 from .quality import score_quality, train_quality
 from .secrets import KINDS, count_kind, scan_secrets, spans_text, trained_on
 from .simhash import near_duplicates
@@ -18,6 +19,15 @@ from .sketches import edited_sketches, text_of
 from .urls import judge_urls
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, train_pii(docs))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE_KINDS]
+    plain = F.concat("base", F.transform("extra", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(plain).alias("spans"), F.size("extra").cast("bigint").alias("n_extra"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs))
@@ -67,6 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_url_rules": op3_url_rules,
     "op4_mixing": op4_mixing,

@@ -1,0 +1,75 @@
+import random
+import re
+import time
+
+from callatlas.llm import pii as P
+from callatlas.llm import queries
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+        return 13 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, *m.span()) for k, p in BASE.items() for m in re.finditer(p, text) if passes(k, m[0])]
+
+
+PIECES = ["a", ".", "@", "b-", "%", "_", "1", "22", "255", "256", " ", "+", "(", ")", "-", "4111 1111 1111 1111", "4111-1111-1111-1112", "x@y.z", "é", "😀", "٣", "+1 (499) 555-6503", "10.0.0.1", "\n", "0001"]
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(1)
+    for _ in range(6000):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14)))
+        assert P.base_spans(text) == brute(text), text
+
+
+def test_long_texts_take_linear_time():
+    began = time.time()
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" + " " * 300_000, "a@b" * 100_000, "1 " * 150_000, "Aa Bb " * 50_000):
+        P.candidates(text, P.base_spans(text))
+    assert time.time() - began < 20
+
+
+def corpus(rng, n):
+    out = []
+    for k in range(n):
+        words = ["lorem", "ipsum", "dolor", "page", "12"] * rng.randint(1, 5)
+        rng.shuffle(words)
+        kind = k % 5
+        extra = ["Please call Mary Smith at 555-123-4567 or mail x@y.org", "see volume 1234567890 on page 12345678", "contact jane.doe (at) example (dot) org", "Dear John Brown, your account", "Lorem Dolor. Ipsum Amet was 123456789%"][kind]
+        out.append((k, " ".join(words) + " " + extra))
+    return out
+
+
+def test_weak_supervision_finds_what_labellers_agree_on(spark):
+    docs = spark.createDataFrame(corpus(random.Random(3), 300), "doc_id bigint, text string")
+    model = P.train_pii(docs)
+    found = {r["doc_id"]: r for r in P.find_pii(docs, model).collect()}
+    texts = dict(corpus(random.Random(3), 300))
+    hits = {k: {(s["kind"], texts[k][s["start"] : s["end"]]) for s in r["extra"]} for k, r in found.items()}
+    assert all(("number", "555-123-4567") in hits[k] for k in hits if k % 5 == 0)
+    assert all(("name", "John Brown") in hits[k] or ("name", "Dear John") in hits[k] for k in hits if k % 5 == 3)
+    assert not any(k == "number" for i in hits if i % 5 in (1, 4) for k, _ in hits[i])
+
+
+def test_edges_and_query(spark, tmp_path):
+    rows = [(1, None, "c"), (2, "", "c"), (3, "😀 a@b.c", "c"), (3, "😀 a@b.c", "c"), (None, "10.0.0.1", "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"] or -1, r["n_email"], r["n_ip"], r["spans"]) for r in queries.op1_pii(spark, str(tmp_path)).collect())
+    assert got == [(-1, 0, 1, "ip:0:8"), (1, 0, 0, ""), (2, 0, 0, ""), (3, 1, 0, "email:2:7"), (3, 1, 0, "email:2:7")]
+    assert P.find_pii(docs.limit(0), P.train_pii(docs.limit(0))).count() == 0
