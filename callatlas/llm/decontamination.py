@@ -101,6 +101,16 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataF
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_bytes().alias("bytes")).mapInArrow(run, SCHEMA)
 
 
+def _slices(benchmark: DataFrame, automaton_bytes: int):
+    """The distinct items in slices of about `automaton_bytes` of text, one at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("bytes")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-total // automaton_bytes))
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("bytes"), F.lit(n)) == k)
+        yield [(r["item_id"], bytes(r["bytes"])) for r in part.toLocalIterator()]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = 64 << 20) -> DataFrame:
     """Which words of each document lie in a passage of the benchmark.
 
@@ -114,15 +124,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     once, and a larger one takes one scan for each slice, whose hits are then united.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("bytes")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-total // automaton_bytes))
+    slices = _slices(benchmark, automaton_bytes)
     docs = docs.select("doc_id", "text")
     parts = []
-    for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("bytes"), F.lit(slices)) == k)
-        parts.append(_scan(docs, [(r["item_id"], bytes(r["bytes"])) for r in part.toLocalIterator()], window))
-    if slices == 1:
+    for items in slices:
+        parts.append(_scan(docs, items, window))
+    if len(parts) == 1:
         return parts[0].drop("text_key")
     united = parts[0]
     for k, part in enumerate(parts[1:]):
@@ -151,3 +158,20 @@ def _recount(docs: DataFrame, united: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, batch.schema.remove(batch.schema.get_field_index("bytes")))
 
     return rows.select("doc_id", "text_key", "n_words", "n_hit", "item_ids", "spans", "bytes").mapInArrow(run, SCHEMA).drop("text_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, without a word in a passage of the benchmark (see find_contamination)."""
+    small_batches(docs.sparkSession)
+    for items in _slices(benchmark, automaton_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            automaton = build(shared.value, window)
+            for batch in batches:
+                clean = [not scan(automaton, t.as_py())[1] for t in batch["_bytes"]]
+                yield batch.drop_columns(["_bytes"]).filter(pa.array(clean, pa.bool_()))
+
+        rows = docs.select(F.struct(*docs.columns).alias("row"), text_bytes().alias("_bytes"))
+        docs = rows.mapInArrow(run, rows.drop("_bytes").schema).select("row.*")
+    return docs

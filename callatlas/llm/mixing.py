@@ -38,7 +38,13 @@ def _boundaries(part: DataFrame, shift: int) -> DataFrame:
         "source", (F.col("rem") - F.col("before")).alias("rem"), "bucket", "rows", "words")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
+def _measured(docs: DataFrame, *more) -> DataFrame:
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.select(*more, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+                       F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("h"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, carry: bool = False) -> DataFrame:
     """How many words of each document a mix takes whose sources hold given shares.
 
     docs: doc_id, text, source; other columns are ignored. A document's size is its number of words (null text: 0).
@@ -52,12 +58,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     gives the words that are left; rows that share its hash (repeated doc_ids, null doc_ids) share them in proportion,
     rounded down. Only the list of sources, one row each, comes to the driver.
 
-    Returns one row for each row of docs: doc_id, source, size, source_size, target, taken. An empty table gives no rows.
+    Returns one row for each row of docs: doc_id, source, size, source_size, target, taken, and with `carry` the whole row
+    as struct `row`. An empty table gives no rows.
     Reruns agree, as the hash is of doc_id alone.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = durable(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-                                F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("h")))
+    sized = durable(_measured(docs))
     sizes = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     plan = []
     for source, n, target in source_targets(sizes, weights, most):
@@ -80,5 +85,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     budgets = budgets.join(limits, budgets["source"].eqNullSafe(limits["s"])).drop("s").withColumnRenamed("source", "src")
     exact = F.expr("cast(size as decimal(18,0)) * cast(left_over as decimal(18,0)) div cast(words as decimal(18,0))")
     extra = F.when(F.col("h") < F.col("lo"), F.col("size")).when(F.col("h") < F.col("hi"), exact).otherwise(F.lit(0))
-    return sized.join(budgets, sized["source"].eqNullSafe(budgets["src"])).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes") + extra).cast("bigint").alias("taken"))
+    rows = _measured(docs, F.struct(*docs.columns).alias("row")) if carry else sized
+    return rows.join(budgets, rows["source"].eqNullSafe(budgets["src"])).select(
+        *(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes") + extra).cast("bigint").alias("taken"))

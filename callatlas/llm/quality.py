@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import small_batches, text_bytes
 from .weak import expectation_maximisation, logistic
@@ -146,7 +147,7 @@ def score_quality(docs: DataFrame, model: QualityModel, columns: tuple[str, ...]
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights and at most 3**9 posteriors
     kept = docs.select(*columns, text_bytes().alias("_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", votes string, posterior double, score double, keep boolean"
+    schema = T.StructType(kept.schema.fields[:-1]).add("votes", "string").add("posterior", "double").add("score", "double").add("keep", "boolean")
 
     def run(batches):
         m = shared.value
@@ -162,3 +163,9 @@ def score_quality(docs: DataFrame, model: QualityModel, columns: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*arrays, *more], [*batch.schema.names[:-1], "votes", "posterior", "score", "keep"])
 
     return kept.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the scorer does not reject."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score_quality(rows, model, ("row",)).where("keep").select("row.*")

@@ -47,13 +47,13 @@ def _kind(matches: Column, kind: str, least: int) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), F.lit(None).cast("double").alias("score")))
 
 
-def with_base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and base: array<struct<start,rank,end,kind,value,score>> in order of start, then kind."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def with_base_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, text (null: empty) and base: array<struct<start,rank,end,kind,value,score>> in order of start, then kind."""
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    found = rows.select("doc_id", "text", *(m.alias(k) for k, m in (("assign", _matches(text, ASSIGN, 2)), ("access", _matches(text, ACCESS)), ("hex", _matches(text, HEX)))))
+    found = rows.select(key, "text", *(m.alias(k) for k, m in (("assign", _matches(text, ASSIGN, 2)), ("access", _matches(text, ACCESS)), ("hex", _matches(text, HEX)))))
     base = F.concat(_kind(F.col("assign"), "assign", 6), _kind(F.col("access"), "access", 20), _kind(F.col("hex"), "hex", 24))
-    return found.select("doc_id", "text", F.array_sort(base).alias("base"))
+    return found.select(key, "text", F.array_sort(base).alias("base"))
 
 
 def labelled_samples(docs: DataFrame, generated: int = 20_000) -> DataFrame:
@@ -105,23 +105,23 @@ def _ratio(value: Column, model: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, move(i)))
 
 
-def scan_secrets(docs: DataFrame, model: list[float], least_ratio: float = 12.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: list[float], least_ratio: float = 12.0, key: str = "doc_id") -> DataFrame:
     """Secrets in each text: doc_id, text, spans: array<struct<start,rank,end,kind,value,score>>, sorted by start, then kind.
 
-    docs: doc_id, text; other columns are ignored. Fixed patterns give kinds assign, access and hex; of the other tokens
+    docs: doc_id (or another column, named by `key`), text; other columns are ignored. Fixed patterns give kinds assign, access and hex; of the other tokens
     (runs of 20 or more of the characters in TOKEN) those that don't overlap them and whose summed log-likelihood ratio
     is `least_ratio` or more are of kind markov, with the ratio as score. Offsets are code points of the whole text, end
     exclusive. Null texts are empty; empty texts and tables have no spans; each row is judged by itself, so repeated
     rows give equal rows.
     """
     weights = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    rows = with_base_spans(docs)
-    tokens = rows.select("doc_id", "text", "base", _matches(F.col("text"), TOKEN).alias("tokens"))
+    rows = with_base_spans(docs, key)
+    tokens = rows.select(key, "text", "base", _matches(F.col("text"), TOKEN).alias("tokens"))
     base = F.col("base")
     apart = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    scored = tokens.select("doc_id", "text", "base", F.transform(apart, lambda t: F.struct(
+    scored = tokens.select(key, "text", "base", F.transform(apart, lambda t: F.struct(
         t["start"].alias("start"), F.lit(KINDS.index("markov")).alias("rank"), t["end"].alias("end"), F.lit("markov").alias("kind"), t["value"].alias("value"), _ratio(t["value"], weights).alias("score"))).alias("scored"))
-    return scored.select("doc_id", "text", F.array_sort(F.concat(base, F.filter("scored", lambda t: t["score"] >= least_ratio))).alias("spans"))
+    return scored.select(key, "text", F.array_sort(F.concat(base, F.filter("scored", lambda t: t["score"] >= least_ratio))).alias("spans"))
 
 
 def redact(spans: Column, text: Column, mark: str = "<SECRET>") -> Column:
@@ -149,3 +149,16 @@ def count_kind(spans: Column, kind: str) -> Column:
 def trained_on(docs: DataFrame) -> list[float]:
     """A model trained on the labelled samples of docs."""
     return train(labelled_samples(docs))
+
+
+def redact_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
+    """docs with all their columns, secrets in text replaced and n_chars, where there is one, the new length; texts without
+    a secret, null ones among them, stay as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = scan_secrets(rows, model, key="row")
+    hit = F.size("spans") > 0
+    clean = F.when(hit, redact(F.col("spans"), F.col("text"))).otherwise(F.col("row.text"))
+    found = found.select("row", hit.alias("hit"), clean.alias("clean"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    own = {"text": F.col("clean"), "n_chars": F.when(F.col("hit"), F.char_length("clean").cast(kinds.get("n_chars", "bigint"))).otherwise(F.col("row.n_chars")) if "n_chars" in kinds else None}
+    return found.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -247,3 +247,17 @@ def _by_documents(fps: DataFrame, first: DataFrame, links: DataFrame) -> DataFra
     roots = components(across.union(within).where("a is not null and b is not null"))
     mine = fps.where("family = 0").select("doc_id", "fp")
     return mine.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r")), "doc_id", "left").select("doc_id", "fp", F.coalesce("r", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, threshold: int = 5, families: int = 6) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when of each near-duplicate class only the smallest doc_id does.
+
+    The defaults find near copies of a Jaccard similarity of 0.8 or more on shingles of five words: at most 5 of 64 bits in
+    any of six families. Repeated rows stay once. Rows without a doc_id stay if no row with one is in their class.
+    """
+    found = near_duplicates(docs, shingle, threshold, families=families)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("text_key"))
+    return rows.withColumn("copy", copy).where("copy = 1").select("row.*")
