@@ -31,10 +31,10 @@ BUCKETS = 40
 STEPS, MIDDLE = 8, 4096
 WEIGHT_FLOOR = 1e-6
 
-BLOCK = "block bigint, train_tokens bigint, train_docs bigint, ids binary, null_ids binary, held binary, lengths binary, words binary, low binary, high binary"
+BLOCK = "block bigint, train_tokens bigint, train_docs bigint, ids binary, null_ids binary, held binary, lengths binary, words binary, numbers binary"
 ASK = "bucket int, block bigint, keys binary, counts binary"
 ANSWER = "bucket int, block bigint, counts binary, distinct bigint"
-SCORED = "block bigint, ids binary, null_ids binary, held binary, lengths binary, low binary, high binary, word_counts binary, pair_counts binary, distinct bigint"
+SCORED = "block bigint, ids binary, null_ids binary, held binary, lengths binary, numbers binary, word_counts binary, pair_counts binary, distinct bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -45,7 +45,21 @@ def tokens(text: bytes) -> np.ndarray:
 
 
 def _b(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+    """An array as bytes: byte planes, so that high bytes lie together, by Zstandard."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _a(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _b(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -73,7 +87,7 @@ def pack(ids: list, held: list[bool], texts: list[np.ndarray], number: int) -> t
     numbers = rank[numbers]
     held_ = np.array(held, bool)
     return (number, int(lengths[~held_].sum()), int((~held_).sum()), _b(np.array([i or 0 for i in ids], np.int64)), _b(np.array([i is None for i in ids], np.uint8)), _b(held_.view(np.uint8)), _b(lengths),
-            _b(words[order]), _b((numbers & 0xFFFF).astype(np.uint16)), _b((numbers >> 16).astype(np.uint8)))
+            _b(words[order]), _b(numbers))
 
 
 def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
@@ -101,9 +115,9 @@ class Block:
     """A block's tokens, and its distinct bigrams in order of (context number, word number)."""
 
     def __init__(self, r: dict):
-        self.lengths = np.frombuffer(r["lengths"], np.int32)
-        self.held = np.frombuffer(r["held"], np.uint8).astype(bool)
-        self.numbers = np.frombuffer(r["low"], np.uint16).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 16
+        self.lengths = _a(r["lengths"], np.int32)
+        self.held = _a(r["held"], np.uint8).astype(bool)
+        self.numbers = _a(r["numbers"], np.uint32).astype(np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.base = int(self.numbers.max()) + 2  # the number that no word has stands for the begin of a text
         before = np.empty_like(self.numbers)
@@ -113,12 +127,12 @@ class Block:
         self.train = np.repeat(~self.held, self.lengths)
 
     def hashes(self, words: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the distinct bigrams."""
+        """Hashes of the distinct bigrams: 56 bits, at the upper end."""
         h = np.append(words, np.uint64(0x5EED))
         a, b = h[self.pairs // self.base], words[self.pairs % self.base]
         k = (a ^ a >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
         k = (k ^ k >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        return k ^ k >> np.uint64(32)
+        return (k ^ k >> np.uint64(32)) & np.uint64((1 << 64) - 256)
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -132,13 +146,13 @@ def _asks(blocks: DataFrame, buckets: int) -> DataFrame:
         schema = _schema(ASK)
         for batch in batches:
             for r in _rows(batch):
-                block, words = Block(r), np.frombuffer(r["words"], np.uint64)
+                block, words = Block(r), _a(r["words"], np.uint64)
                 counted = (words, np.bincount(block.numbers[block.train], minlength=len(words))), (block.hashes(words), np.bincount(block.pair[block.train], minlength=len(block.pairs)))
                 for kind, (keys, counts) in enumerate(counted):
                     order = np.argsort(keys)
                     keys, counts = keys[order], counts[order].astype(np.uint32)
                     edges = _edges(keys, buckets)
-                    rows = [(kind * buckets + k, r["block"], _b(keys[a:b].view(np.uint8).reshape(-1, 8).T), _b(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+                    rows = [(kind * buckets + k, r["block"], _sorted(keys[a:b]), _b(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
                     for k in range(0, len(rows), 64):
                         yield _batch(rows[k : k + 64], schema)
 
@@ -147,8 +161,8 @@ def _asks(blocks: DataFrame, buckets: int) -> DataFrame:
 
 def _answers(asks: DataFrame, buckets: int) -> DataFrame:
     def run(key, table):
-        asked = [np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for x in table["keys"]]
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]
+        asked = [np.cumsum(_a(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
+        counts = [_a(x.as_py(), np.uint32) for x in table["counts"]]
         _, where = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
         cuts = np.cumsum([len(a) for a in asked])[:-1]
@@ -162,16 +176,16 @@ def _answers(asks: DataFrame, buckets: int) -> DataFrame:
 def _answered(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def run(left, right):
         r = left.to_pylist()[0]
-        block, words = Block(r), np.frombuffer(r["words"], np.uint64)
+        block, words = Block(r), _a(r["words"], np.uint64)
         got = sorted(zip(right["bucket"].to_pylist(), range(right.num_rows)))
         out = []
         for kind, keys in enumerate((words, block.hashes(words))):
-            parts = [np.frombuffer(right["counts"][k].as_py(), np.int64) for b, k in got if b // buckets == kind]
+            parts = [_a(right["counts"][k].as_py(), np.int64) for b, k in got if b // buckets == kind]
             counts = np.empty(len(keys), np.int64)
             counts[np.argsort(keys)] = np.concatenate(parts)
             out.append(_b(counts))
         distinct = sum(right["distinct"].to_pylist())
-        row = (r["block"], r["ids"], r["null_ids"], r["held"], r["lengths"], r["low"], r["high"], *out, distinct)
+        row = (r["block"], r["ids"], r["null_ids"], r["held"], r["lengths"], r["numbers"], *out, distinct)
         return pa.Table.from_batches([_batch([row], _schema(SCORED))])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED)
@@ -186,9 +200,9 @@ class Counts:
 
     def __init__(self, r: dict, train_docs: int):
         self.block = Block(r)
-        words = np.append(np.frombuffer(r["word_counts"], np.int64), train_docs)  # a text begins once in each document
+        words = np.append(_a(r["word_counts"], np.int64), train_docs)  # a text begins once in each document
         at, to = self.block.pairs // self.block.base, self.block.pairs % self.block.base
-        self.context, self.word, self.both = words[at], words[to], np.frombuffer(r["pair_counts"], np.int64)
+        self.context, self.word, self.both = words[at], words[to], _a(r["pair_counts"], np.int64)
 
 
 def _deleted(answered: DataFrame, n: int, v: int, docs: int) -> DataFrame:
@@ -248,7 +262,7 @@ def _scores(answered: DataFrame, weights: np.ndarray, n: int, v: int, docs: int)
                 p = np.log10(w[:, 0] * bigram + w[:, 1] * (c.word / max(n, 1)) + w[:, 2] / (v + 1))
                 base = np.log10((c.word + 0.1) / (n + 0.1 * (v + 1)))
                 sums = [np.add.reduceat(x[c.block.pair], c.block.first) for x in (p, base, (c.word > 0).astype(np.int64))]
-                ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=np.frombuffer(r["null_ids"], np.uint8).astype(bool))
+                ids = pa.array(_a(r["ids"], np.int64), mask=_a(r["null_ids"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(c.block.held), pa.array(c.block.lengths.astype(np.int64)), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0])], schema=schema)
 
     return answered.mapInArrow(run, SCORES)
@@ -264,8 +278,8 @@ def score_documents(docs: DataFrame, block_tokens: int = 1 << 20) -> DataFrame:
     training document N and V are 0 and all words are unknown.
 
     Returns one row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Repeated rows
-    count as often as they occur and get equal scores. An empty table gives no rows. Words and bigrams are told apart by
-    64-bit hashes. `block_tokens` bounds a task's memory: a block closes with the document that reaches it.
+    count as often as they occur and get equal scores. An empty table gives no rows. Words are told apart by
+    64-bit hashes, bigrams by 56 bits. `block_tokens` bounds a task's memory: a block closes with the document that reaches it.
     """
     small_batches(docs.sparkSession)
     blocks = durable(_blocks(docs, block_tokens))
