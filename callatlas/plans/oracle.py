@@ -106,7 +106,7 @@ SELECT case_id, caller, primary_seed, n_seeds, categories, CASE WHEN k = 1 THEN
 SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS INT) = 0 OR CAST(split_part(ip, '.', 1) AS INT) > 223 AS version_like FROM x""",
     "ioc_base64": r"""WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS value FROM documents) SELECT doc_id, value FROM x WHERE regexp_full_match(value, '[A-Za-z0-9+/]{20,}={0,2}')""",
     "url_domains": "SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
-    "indicator_boundary": r"""WITH i(indicator, pattern) AS (VALUES ('example.com', 'example\.com'), ('casino-win', 'casino-win'), ('spam', 'spam'), ('therth.example.org', 'therth\.example\.org'), ('/en/7', '/en/7'), ('ads-track.example.com', 'ads-track\.example\.com'))
+    "indicator_boundary": r"""WITH i(indicator, pattern) AS (VALUES ('tionsh.example.net', 'tionsh\.example\.net'), ('utm_source', 'utm_source'), ('page', 'page'), ('fr', 'fr'))
 SELECT page_id, indicator FROM pages, i WHERE regexp_matches(lower(url), '(^|[^a-z0-9.\-])' || pattern || '($|[^a-z0-9.\-])')""",
     "keyword_evidence_map": """SELECT doc_id AS evidence_id, t AS technique_id FROM documents JOIN (VALUES ('en', 'T1001'), ('fr', 'T1002'), ('fr', 'T1003')) r(l, t) ON lang = l
 UNION SELECT doc_id, t FROM documents, (VALUES ('token', 'T2001'), ('idiot', 'T2002'), ('@mail', 'T2003')) r(k, t) WHERE contains(lower(text), k)""",

@@ -251,7 +251,7 @@ def url_domains(t) -> DataFrame:
 
 @query
 def indicator_boundary(t) -> DataFrame:
-    ind = t.spark.createDataFrame([(x,) for x in ("example.com", "casino-win", "spam", "therth.example.org", "/en/7", "ads-track.example.com")], "indicator string")
+    ind = t.spark.createDataFrame([(x,) for x in ("tionsh.example.net", "utm_source", "page", "fr")], "indicator string")
     return evidence.indicators_in(t.pages.select("page_id", "url"), "url", ind).select("page_id", "indicator")
 
 
