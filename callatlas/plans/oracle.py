@@ -50,6 +50,25 @@ SELECT user_id, day, round(CAST(0.4 + {b} AS DOUBLE), 6) AS raw_score, round(CAS
        CASE WHEN p2 THEN 'CRITICAL' WHEN p0 THEN 'HIGH' WHEN len(c) > 3 THEN 'MEDIUM' ELSE 'LOW' END AS effective_priority FROM flags"""
 
 
+def _catalog_scores() -> str:
+    """Boosts and overrides of the catalog, clause by clause, over one list column."""
+    from ..operators.rules import CATALOG
+
+    names = sorted({c for p in CATALOG for k in (4, 5, 6, 8) for c in p[k]})
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    tests = []
+    for p in CATALOG:
+        parts = [f"list_has_all(c, {quoted(p[4])})"] if p[4] else []
+        parts += [f"list_has_any(c, {quoted(x)})" for x in (p[5], p[6]) if x]
+        parts += [f"len(list_intersect(c, {quoted(p[8])})) >= {p[7]}"] if p[7] else []
+        tests.append((" AND ".join(parts), p[3], p[9]))
+    count = " + ".join(f"CAST({t} AS INT)" for t, _, _ in tests)
+    boost = " + ".join(f"CASE WHEN {t} THEN {b} ELSE 0 END" for t, b, _ in tests)
+    some = lambda level: " OR ".join(f"({t})" for t, _, o in tests if o == level)
+    return f"""WITH s AS (SELECT c_custkey, list_filter(list_transform(range(0, {len(names)}), lambda i: CASE WHEN (c_custkey * 7 + i * 13) % 5 < 2 THEN {quoted(names)}[i + 1] END), lambda x: x IS NOT NULL) AS c FROM customer)
+SELECT c_custkey, CAST({count} AS BIGINT) AS n_patterns, round(CAST(0.3 + {boost} AS DOUBLE), 6) AS raw_score, CASE WHEN {some("CRITICAL")} THEN 'CRITICAL' WHEN {some("HIGH")} THEN 'HIGH' ELSE 'LOW' END AS effective_priority FROM s"""
+
+
 _TOK = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_.$]+')), lambda x: length(x) > 2)"
 
 SQL = {
@@ -130,4 +149,33 @@ WHERE o_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderke
     "run_summary": "SELECT user_id, arg_min(event_type, event_id) AS first_event, arg_max(event_type, event_id) AS last_event, count(*) AS n_events FROM events GROUP BY user_id",
     "event_levels": "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1",
     "edge_union_dedup": f"WITH {_EDGES}, b AS (SELECT caller, callee, min(CASE edge_source WHEN 'soot_cg' THEN 0 WHEN 'jimple_invoke' THEN 1 ELSE 2 END) AS k FROM edges GROUP BY caller, callee) SELECT CASE k WHEN 0 THEN 'soot_cg' WHEN 1 THEN 'jimple_invoke' ELSE 'threading_synthetic' END AS edge_source, count(*) AS n FROM b GROUP BY 1",
+    "library_filter": """WITH n AS (SELECT ['androidx.', 'okhttp3.', 'com.example.', 'org.jsonx.', 'com.google.gson.'][p_size % 5 + 1] AS p FROM part)
+SELECT p IN ('androidx.', 'okhttp3.', 'com.google.gson.') AS library, p = 'androidx.' AS framework, count(*) AS n FROM n GROUP BY 1, 2""",
+    "declared_entrypoints": """WITH m AS (SELECT DISTINCT s_nationkey AS k, ['onCreate', 'onReceive', 'query', 'onBind', 'helper'][s_suppkey % 5 + 1] AS s FROM supplier WHERE s_nationkey < 20)
+SELECT '<app.N' || k || ': void ' || s || '()>' AS method FROM m WHERE CASE k % 4 WHEN 0 THEN s = 'onCreate' WHEN 1 THEN s IN ('onCreate', 'onBind') WHEN 2 THEN s = 'onReceive' ELSE s IN ('onCreate', 'query') END""",
+    "component_contexts": "SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN ['activity', 'service', 'receiver', 'provider'][s_nationkey % 4 + 1] END AS component_type FROM supplier",
+    "app_prefix_members": "SELECT 'com.' || lower(p_type) || '.x' AS package, count(*) AS n FROM part GROUP BY p_type QUALIFY rank() OVER (ORDER BY count(*) DESC) = 1",
+    "listener_bridges": """WITH p AS (SELECT s_suppkey, s_nationkey, n_nationkey, CASE WHEN s_nationkey = n_nationkey THEN 2 ELSE 3 END AS tier FROM supplier JOIN nation ON s_suppkey % 7 = n_nationkey % 7)
+SELECT CAST(s_suppkey AS VARCHAR) AS callsite, 'm' || n_nationkey AS callee, CASE tier WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM p QUALIFY tier = min(tier) OVER (PARTITION BY s_suppkey)""",
+    "source_file_artifacts": """SELECT DISTINCT 'c' || conv_id AS class_name, 'file' AS kind, 'cacheDir/r' || role || '.db' AS value FROM conversations WHERE turn < 4
+UNION ALL SELECT DISTINCT 'c' || conv_id, 'log', 'T' || turn || ':said' FROM conversations WHERE turn < 4""",
+    "source_intent_extras": """WITH u AS (SELECT DISTINCT event_type, user_id FROM events), x AS (
+ SELECT event_type AS class_name, 'k' || (user_id % 5) AS name, 'int' AS type, true AS required, CAST(NULL AS VARCHAR) AS hint FROM u
+ UNION ALL SELECT event_type, event_type, NULL, false, CAST(user_id AS VARCHAR) FROM u)
+SELECT class_name, name, max(type) AS type, bool_or(required) AS required, count(DISTINCT hint) AS n_hints FROM x GROUP BY class_name, name""",
+    "composed_flows": """WITH l AS (SELECT l_orderkey AS flow_id, l_linenumber AS pos, min(CASE WHEN l_returnflag = 'R' THEN '<android.p' ELSE '<p' END || l_partkey || '>') AS method FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2),
+c AS (SELECT l.*, coalesce(p_name, 'not analysed') AS summary, p_size / 100 AS confidence, p_size % 2 = 0 AS jadx FROM l LEFT JOIN part ON method = '<p' || p_partkey || '>')
+SELECT flow_id, count(*) AS n_methods, string_agg(summary, ' → ' ORDER BY pos) AS summary, arg_max(method, pos) FILTER (method LIKE '<android.%') AS sink, round(coalesce(avg(confidence) FILTER (jadx), 0.5), 6) AS confidence FROM c GROUP BY flow_id""",
+    "feasibility_rollup": """WITH f AS (SELECT o_custkey AS flow_id, CASE WHEN o_orderstatus = 'F' THEN 'full' WHEN o_totalprice > 480000 THEN 'blocked' ELSE 'partial' END AS f FROM orders)
+SELECT flow_id, CASE WHEN bool_and(f = 'full') THEN 'full' WHEN bool_or(f = 'blocked') THEN 'blocked' ELSE 'partial' END AS feasibility FROM f GROUP BY flow_id""",
+    "model_call_tabs": """SELECT 'All' AS tab, count(*) AS n, CAST(-2 AS BIGINT) AS first FROM events UNION ALL SELECT 'Recon', count(*), -1 FROM events WHERE event_type = 'view'
+UNION ALL SELECT 's' || user_id, count(*), min(event_id) FROM events WHERE event_type <> 'view' GROUP BY user_id""",
+    "permission_best": "SELECT CAST(user_id AS VARCHAR) AS permission, event_type AS evidence, value AS confidence FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
+    "confidence_histogram": "SELECT printf('%.1f', p_size / 50) AS confidence, count(*) AS n FROM part GROUP BY 1",
+    "hints_with_fallback": """WITH c AS (SELECT DISTINCT s_nationkey AS k, 'n' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '$S' || s_suppkey ELSE '' END AS class FROM supplier)
+SELECT class, coalesce((SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) FROM customer WHERE c_nationkey = k AND k % 3 = 0), '') AS hints FROM c""",
+    "evidence_verified": "SELECT o_orderkey AS seed_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) THEN 'VERIFIED' ELSE 'FAILED' END AS status FROM orders WHERE o_orderkey % 10 = 0",
+    "timeline_order": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events",
+    "catalog_pattern_scores": _catalog_scores(),
+    "ledger_stream_available_now": "SELECT user_id, event_type AS stage, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1, 2",
 }

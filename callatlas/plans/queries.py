@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
+from ..functions import source as X2
 from ..functions import text as X
-from ..operators import evidence, hits, rollup, rules, triage
+from ..operators import components as C
+from ..operators import evidence, flows, hits, rollup, rules, triage
 from ..streaming import ledger as L
 from . import adapters as A
 from . import graph
@@ -345,3 +347,139 @@ def edge_union_dedup(t) -> DataFrame:
     e = A.edges(t).select("caller", "callee", F.lit("").alias("callsite"), "ord", "edge_source")
     parts = [e.where(F.col("edge_source") == s) for s in ("soot_cg", "jimple_invoke", "threading_synthetic")]
     return graph.union_edges(*parts).groupBy("edge_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Operators over components, source text and flows.
+
+
+@query
+def library_filter(t) -> DataFrame:
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("androidx.", "okhttp3.", "com.example.", "org.jsonx.", "com.google.gson."))), (F.col("p_size") % 5 + 1).cast("int")), F.col("p_brand"))
+    rows = t.part.select(C.is_library(name).alias("library"), S.is_framework_name(name).alias("framework"))
+    return rows.groupBy("library", "framework").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _declared(t) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, C.ENTRY_METHODS)), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return t.nation.where("n_nationkey < 20").select(F.lit("tpch").alias("analysis_id"), kind.alias("component_type"), F.concat(F.lit("app.N"), F.col("n_nationkey")).alias("name"))
+
+
+@query
+def declared_entrypoints(t) -> DataFrame:
+    short = F.element_at(F.array(*map(F.lit, ("onCreate", "onReceive", "query", "onBind", "helper"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    m = t.supplier.select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("<app.N"), F.col("s_nationkey"), F.lit(": void "), short, F.lit("()>")).alias("method"))
+    return C.entrypoints(m, _declared(t)).select("method")
+
+
+@query
+def component_contexts(t) -> DataFrame:
+    h = t.supplier.select(F.lit("tpch").alias("analysis_id"), F.col("s_suppkey"), F.concat(F.lit("<app.N"), F.col("s_nationkey"), F.lit(": void m()>")).alias("caller"))
+    return hits.component_contexts(h, _declared(t)).select("s_suppkey", "component_type")
+
+
+@query
+def app_prefix_members(t) -> DataFrame:
+    names = t.part.select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("com."), F.lower("p_type"), F.lit(".x.P"), F.col("p_partkey")).alias("class"))
+    return C.of_app(names, C.app_prefixes(names)).groupBy(S.package_of(F.col("class")).alias("package")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def listener_bridges(t) -> DataFrame:
+    reg = t.supplier.select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("<n"), F.col("s_nationkey"), F.lit(".S: void m()>")).alias("caller"), F.col("s_suppkey").cast("string").alias("callsite"), F.concat(F.lit("L"), F.col("s_suppkey") % 7).alias("listener"))
+    imp = t.nation.select(F.concat(F.lit("L"), F.col("n_nationkey") % 7).alias("listener"), F.concat(F.lit("n"), F.col("n_nationkey"), F.lit(".I")).alias("class"), F.concat(F.lit("m"), F.col("n_nationkey")).alias("method"))
+    e = C.listener_edges(reg, imp)
+    return e.select("callsite", "callee", "confidence")
+
+
+@query
+def source_file_artifacts(t) -> DataFrame:
+    text = F.concat(F.lit('x = new File(getCacheDir(), "r'), F.col("role"), F.lit('.db"); // new File("gone.db")\nLog.d("T'), F.col("turn"), F.lit('", "said"); /* Log.e("no", "no") */'))
+    s = t.conversations.where("turn < 4").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("turn").cast("string"), F.lit(";\n"), text))), "\n").alias("text")).select(F.concat(F.lit("c"), F.col("conv_id")).alias("class_name"), "text")
+    a, b = X2.file_artifacts(s), X2.log_hints(s)
+    return a.select("class_name", F.lit("file").alias("kind"), F.col("path_hint").alias("value")).unionByName(b.select("class_name", F.lit("log").alias("kind"), F.concat("tag", F.lit(":"), "message").alias("value")))
+
+
+@query
+def source_intent_extras(t) -> DataFrame:
+    text = F.concat(F.lit('static final String KEY = "k'), F.col("user_id") % 5, F.lit('";\ni.getIntExtra(KEY, 0); i.putExtra("'), F.col("event_type"), F.lit('", '), F.col("user_id"), F.lit("); i.hasExtra(A.KEY);"))
+    s = t.events.select(F.col("event_type").alias("class_name"), text.alias("text")).distinct()
+    x = X2.intent_extras(s)
+    return x.groupBy("class_name", "name").agg(F.max("type").alias("type"), F.bool_or("required").alias("required"), F.countDistinct("value_hint").alias("n_hints"))
+
+
+@query
+def composed_flows(t) -> DataFrame:
+    line = F.struct(F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<android.p"), F.col("l_partkey"), F.lit(">"))).otherwise(F.concat(F.lit("<p"), F.col("l_partkey"), F.lit(">"))).alias("method"))
+    path = t.lineitem.where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("flow_id"), "l_linenumber").agg(F.min(line).alias("x")).select("flow_id", "x.pos", "x.method")
+    cache = t.part.select(F.concat(F.lit("<p"), F.col("p_partkey"), F.lit(">")).alias("method"), F.col("p_name").alias("summary"), (F.col("p_size") / 100).alias("confidence"), F.when(F.col("p_size") % 2 == 0, "jadx").otherwise("jimple_only").alias("source"))
+    f = flows.compose(flows.with_analysis(path, cache))
+    return f.select("flow_id", F.col("n_methods").cast("bigint").alias("n_methods"), "summary", "sink", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def feasibility_rollup(t) -> DataFrame:
+    return flows.feasibility(t.orders.select(F.col("o_custkey").alias("flow_id"), F.when(F.col("o_orderstatus") == "F", "full").when(F.col("o_totalprice") > 480000, "blocked").otherwise("partial").alias("feasibility")))
+
+
+@query
+def model_call_tabs(t) -> DataFrame:
+    c = t.events.select(F.col("event_id").alias("ord"), F.when(F.col("event_type") != "view", F.concat(F.lit("s"), F.col("user_id"))).alias("seed_id"))
+    return flows.grouped_calls(c).select("tab", "n", "first")
+
+
+@query
+def permission_best(t) -> DataFrame:
+    p = t.events.select(F.col("user_id").cast("string").alias("permission"), F.col("event_type").alias("evidence"), F.col("value").alias("confidence"), F.col("event_id").alias("ord"))
+    return flows.permissions(p)
+
+
+@query
+def confidence_histogram(t) -> DataFrame:
+    return triage.confidence_histogram(t.part.select((F.col("p_size") / 50).alias("confidence")))
+
+
+@query
+def hints_with_fallback(t) -> DataFrame:
+    classes = t.supplier.select(F.concat(F.lit("n"), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("$S"), F.col("s_suppkey"))).otherwise("")).alias("class")).distinct()
+    h = t.customer.where("c_nationkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("class"), F.col("c_mktsegment").alias("hint"))
+    return C.hints_for(classes, h).select("class", joined("hints").alias("hints"))
+
+
+@query
+def evidence_verified(t) -> DataFrame:
+    facts = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("seed_id"), F.lit(0).alias("idx"), F.array(F.lit("1")).alias("support_unit_ids"))
+    units = t.lineitem.select(F.col("l_orderkey").alias("seed_id"), F.col("l_linenumber").cast("string").alias("unit_id")).distinct()
+    return evidence.verified(facts, units)
+
+
+@query
+def timeline_order(t) -> DataFrame:
+    e = L.timeline(A.ledger(t).select("user_id", "stage", F.col("ts").cast("string").alias("ts"), "ord"))
+    w = Window.partitionBy("user_id").orderBy("at", "ord")
+    return e.select("user_id", F.col("ord").alias("event_id"), F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query
+def catalog_pattern_scores(t) -> DataFrame:
+    """The 18 catalog patterns over sets of their own categories, one set for each customer."""
+    names = sorted({c for p in rules.CATALOG for k in (4, 5, 6, 8) for c in p[k]})
+    cats = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.when((F.col("c_custkey") * 7 + i * 13) % 5 < 2, F.get(F.array(*map(F.lit, names)), i))), lambda x: x.isNotNull())
+    rows = t.customer.select("c_custkey", cats.alias("categories"), F.lit(0.3).alias("base"), F.lit("LOW").alias("priority"))
+    s = rules.score(rows, "categories", "base", "priority", rules.patterns_table(t.spark, rules.CATALOG))
+    return s.select("c_custkey", F.size("patterns").cast("bigint").alias("n_patterns"), F.round("raw_score", 6).alias("raw_score"), "effective_priority")
+
+
+@query
+def ledger_stream_available_now(t) -> DataFrame:
+    """The events table as a stream of files, through to its end: starts, ends and events of each user's stages."""
+    import uuid
+
+    from ..plans.durable import shared_folder
+
+    at = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    state = source.groupBy("user_id", F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    query_ = state.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    query_ = query_.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+    query_.awaitTermination()
+    return t.spark.read.parquet(f"{at}/out")
