@@ -222,10 +222,9 @@ def find_pii(docs: DataFrame, model: PiiModel, least: float = 0.0) -> DataFrame:
     Null texts are empty; empty texts have no spans; repeated rows give equal rows; an empty table gives none.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights and a few hundred posteriors
 
     def run(batches):
-        m = shared.value
+        m = model  # goes with the function: FEATURES weights and a few hundred posteriors
         span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
         base_type, extra_type = pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("score", pa.float64())]))
         for batch in batches:

@@ -145,12 +145,11 @@ def score_quality(docs: DataFrame, model: QualityModel, columns: tuple[str, ...]
     gives no rows; vote patterns that training has not met have a null posterior.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights and at most 3**9 posteriors
     kept = docs.select(*columns, text_bytes().alias("_bytes"))
     schema = T.StructType(kept.schema.fields[:-1]).add("votes", "string").add("posterior", "double").add("score", "double").add("keep", "boolean")
 
     def run(batches):
-        m = shared.value
+        m = model  # goes with the function: WIDTH weights and at most 3**9 posteriors
         for batch in batches:
             cast, scores = [], []
             for t in batch["_bytes"]:
