@@ -34,7 +34,7 @@ WEIGHT_FLOOR = 1e-6
 BLOCK = "block bigint, train_tokens bigint, train_docs bigint, ids binary, null_ids binary, held binary, lengths binary, words binary, numbers binary"
 ASK = "bucket int, block bigint, keys binary, counts binary"
 ANSWER = "bucket int, block bigint, counts binary, distinct bigint"
-SCORED = "block bigint, ids binary, null_ids binary, held binary, lengths binary, numbers binary, word_counts binary, pair_counts binary, distinct bigint"
+SCORED = "block bigint, train_tokens bigint, train_docs bigint, ids binary, null_ids binary, held binary, lengths binary, numbers binary, word_counts binary, pair_counts binary, distinct bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -126,13 +126,13 @@ class Block:
         self.pairs, self.pair = np.unique(before * self.base + self.numbers, return_inverse=True)
         self.train = np.repeat(~self.held, self.lengths)
 
-    def hashes(self, words: np.ndarray) -> np.ndarray:
-        """Hashes of the distinct bigrams: 56 bits, at the upper end."""
+    def hashes(self, words: np.ndarray, bits: int) -> np.ndarray:
+        """Hashes of the distinct bigrams: so many bits, at the upper end."""
         h = np.append(words, np.uint64(0x5EED))
         a, b = h[self.pairs // self.base], words[self.pairs % self.base]
         k = (a ^ a >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
         k = (k ^ k >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        return (k ^ k >> np.uint64(32)) & np.uint64((1 << 64) - 256)
+        return (k ^ k >> np.uint64(32)) & np.uint64((1 << 64) - (1 << 64 - bits))
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,13 +141,13 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]))
 
 
-def _asks(blocks: DataFrame, buckets: int) -> DataFrame:
+def _asks(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
     def run(batches):
         schema = _schema(ASK)
         for batch in batches:
             for r in _rows(batch):
                 block, words = Block(r), _a(r["words"], np.uint64)
-                counted = (words, np.bincount(block.numbers[block.train], minlength=len(words))), (block.hashes(words), np.bincount(block.pair[block.train], minlength=len(block.pairs)))
+                counted = (words, np.bincount(block.numbers[block.train], minlength=len(words))), (block.hashes(words, bits), np.bincount(block.pair[block.train], minlength=len(block.pairs)))
                 for kind, (keys, counts) in enumerate(counted):
                     order = np.argsort(keys)
                     keys, counts = keys[order], counts[order].astype(np.uint32)
@@ -173,19 +173,22 @@ def _answers(asks: DataFrame, buckets: int) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def _answered(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+def _answered(blocks: DataFrame, answers: DataFrame, buckets: int, bits: int) -> DataFrame:
     def run(left, right):
         r = left.to_pylist()[0]
         block, words = Block(r), _a(r["words"], np.uint64)
         got = sorted(zip(right["bucket"].to_pylist(), range(right.num_rows)))
         out = []
-        for kind, keys in enumerate((words, block.hashes(words))):
+        for kind, keys in enumerate((words, block.hashes(words, bits))):
             parts = [_a(right["counts"][k].as_py(), np.int64) for b, k in got if b // buckets == kind]
+            found = np.concatenate(parts)
+            if len(found) != len(keys):
+                raise ValueError(f"block {r['block']} asked for {len(keys)} counts and got {len(found)}")
             counts = np.empty(len(keys), np.int64)
-            counts[np.argsort(keys)] = np.concatenate(parts)
+            counts[np.argsort(keys)] = found
             out.append(_b(counts))
         distinct = sum(right["distinct"].to_pylist())
-        row = (r["block"], r["ids"], r["null_ids"], r["held"], r["lengths"], r["numbers"], *out, distinct)
+        row = (r["block"], r["train_tokens"], r["train_docs"], r["ids"], r["null_ids"], r["held"], r["lengths"], r["numbers"], *out, distinct)
         return pa.Table.from_batches([_batch([row], _schema(SCORED))])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED)
@@ -278,16 +281,20 @@ def score_documents(docs: DataFrame, block_tokens: int = 1 << 20) -> DataFrame:
     training document N and V are 0 and all words are unknown.
 
     Returns one row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Repeated rows
-    count as often as they occur and get equal scores. An empty table gives no rows. Words are told apart by
-    64-bit hashes, bigrams by 56 bits. `block_tokens` bounds a task's memory: a block closes with the document that reaches it.
+    count as often as they occur and get equal scores. An empty table gives no rows. docs must
+    give the same rows in the same order when a lost part is read again, as tables do. Words are told apart by
+    64-bit hashes, bigrams by 20 bits more than their number has. `block_tokens` bounds a task's memory: a block closes with the document that reaches it.
     """
     small_batches(docs.sparkSession)
-    blocks = durable(_blocks(docs, block_tokens))
-    n, train_docs, n_blocks = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(1, n_blocks // 2)
-    answers = _answers(_asks(blocks, buckets), buckets)
-    answered = durable(_answered(blocks, answers, buckets))
-    v = answered.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, size // (11 * block_tokens))
+    bits = min(64, 20 + (size // 6).bit_length())  # a bigram shares its hash with another at odds of 2**-20, at any size
+    # dealt once and read twice, by the questions and with the answers; a lost part is packed again from its own input
+    blocks = _blocks(docs, block_tokens).repartition("block")
+    answers = _answers(_asks(blocks, buckets, bits), buckets)
+    answered = durable(_answered(blocks, answers, buckets, bits))
+    sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "distinct"))
+    n, train_docs, v = answered.agg(*sums).first()
     deleted = _deleted(answered, n, v, train_docs).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in deleted.collect()])
     return _scores(answered, weights, n, v, train_docs).withColumn("train_tokens", F.lit(n).cast("bigint"))
