@@ -12,7 +12,7 @@ DOMAIN = r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b"
 BASE64 = r"^[A-Za-z0-9+/]{20,}={0,2}$"
 TOKEN = r"[a-zA-Z0-9_.$]+"
 QUOTED = r'"([^"]*)"'
-KEYWORDS = ("root", "su", "superuser", "xposed", "frida", "magisk", "emulator", "genymotion", "debugger", "vpn", "proxy", "keylog", "inject", "hook", "payload", "shell", "exec")
+KEYWORDS = ("dex", "payload", "update", "socket", "telegram", "c2", "command", "shell", "root", "accessibility", "overlay")
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
