@@ -88,4 +88,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL = {"op4_mixing": sql.OP4, "op10_decontamination": sql.OP10}
+ORACLE_SQL = {"op3_url_rules": sql.OP3, "op4_mixing": sql.OP4, "op10_decontamination": sql.OP10}

@@ -54,3 +54,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN names USING (rid)
 """
+
+_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: FP-growth as an enumeration of the token sets of each URL; only tokens that are frequent on blocked URLs can be in a rule.
+OP3 = rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS rid, page_id, url, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+         coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path
+  FROM pages),
+fixed(rule, name, start, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+ruled AS (
+  SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS fixed
+  FROM parts JOIN fixed ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY rid),
+judged AS (
+  SELECT parts.*, rule, fixed, list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)=', 1), lambda x: 'field:' || x))) AS tokens
+  FROM parts LEFT JOIN ruled USING (rid)),
+least AS (SELECT ceil(0.01 * count(*)) AS n FROM judged WHERE len(tokens) > 0),
+single AS (SELECT rid, fixed, unnest(tokens) AS x FROM judged),
+frequent AS (SELECT x FROM single WHERE fixed = 'block' GROUP BY x HAVING count(*) >= (SELECT n FROM least)),
+short AS (SELECT rid, any_value(fixed) AS fixed, list_sort(list(x)) AS t FROM single JOIN frequent USING (x) GROUP BY rid),
+sets AS (SELECT rid, fixed, list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS c FROM short, range(1, 1 << len(t)) r(b)),
+mined AS (
+  SELECT c, count(*) FILTER (fixed = 'block') / count(*) AS confidence FROM sets GROUP BY c
+  HAVING count(*) FILTER (fixed = 'block') >= (SELECT n FROM least) AND count(*) FILTER (fixed = 'block') / count(*) >= 0.8),
+best AS (
+  SELECT rid, arg_max(array_to_string(c, ' '), (confidence, -len(c), array_to_string(c, ' '))) AS mined, max(confidence) AS confidence
+  FROM sets JOIN mined USING (c) GROUP BY rid)
+SELECT page_id, host, path, rule, CASE WHEN fixed IS NOT NULL THEN fixed WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN fixed IS NULL THEN mined END AS mined, CASE WHEN fixed IS NULL THEN confidence END AS confidence
+FROM judged LEFT JOIN best USING (rid)
+"""
