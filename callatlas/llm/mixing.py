@@ -11,6 +11,8 @@ from ._common import WORD, durable
 HASH_BITS = 60
 #: Each level of the histogram splits a bucket into 2**15, so four levels reach single hash values.
 LEVEL_BITS = 15
+#: Tables of one row a source are broadcast up to so many sources (a few MB), else joined as they come.
+FEW_SOURCES = 50_000
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], most: float) -> list[tuple[str | None, int, float]]:
@@ -29,6 +31,10 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ..
     return [(s, n, float(most * n) if k in capped else level * weight[k]) for k, (s, n) in enumerate(rows)]
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW_SOURCES else df
+
+
 def _boundaries(part: DataFrame, shift: int) -> DataFrame:
     """The bucket of each source in which its budget ends: source, rem (what is left of it there), bucket, rows, words."""
     sums = part.groupBy("source", "rem", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
@@ -75,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     open_ = spark.createDataFrame([(p[0], p[4], 0) for p in plan if p[4]], "src string, rem bigint, lo bigint")
     shift = HASH_BITS
     while shift and not open_.isEmpty():
-        within = sized.join(open_, sized["source"].eqNullSafe(open_["src"]) & (F.shiftright("h", shift) == F.shiftright("lo", shift)))
+        within = sized.join(_small(open_, len(plan)), sized["source"].eqNullSafe(open_["src"]) & (F.shiftright("h", shift) == F.shiftright("lo", shift)))
         shift -= LEVEL_BITS
         found = _boundaries(within.select("source", "rem", "h", "size"), shift).collect()
         for r in found:
@@ -86,5 +92,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     exact = F.expr("cast(size as decimal(18,0)) * cast(left_over as decimal(18,0)) div cast(words as decimal(18,0))")
     extra = F.when(F.col("h") < F.col("lo"), F.col("size")).when(F.col("h") < F.col("hi"), exact).otherwise(F.lit(0))
     rows = _measured(docs, F.struct(*docs.columns).alias("row")) if carry else sized
-    return rows.join(budgets, rows["source"].eqNullSafe(budgets["src"])).select(
+    return rows.join(_small(budgets, len(plan)), rows["source"].eqNullSafe(budgets["src"])).select(
         *(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes") + extra).cast("bigint").alias("taken"))
