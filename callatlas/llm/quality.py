@@ -118,7 +118,7 @@ def train_quality(docs: DataFrame, sample: int = 1500) -> QualityModel:
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p > 0.5]), pa.array([p], pa.float64()), pa.array([t.as_py()], pa.binary())], ["k", "good", "p", "bytes"])
 
     keyed = docs.select(F.xxhash64("text").alias("k"), "text")
-    x, target = [], []
+    x, target = np.empty((2 * sample, WIDTH), np.float32), []
     for good in (True, False):
         expected = sum(n for v, n in patterns.items() if (posterior[v] >= 0.9 if good else posterior[v] <= 0.1))
         # a hash range that holds the sample several times over, so that few texts are carried to the driver's choice
@@ -128,13 +128,13 @@ def train_quality(docs: DataFrame, sample: int = 1500) -> QualityModel:
         rows = near.mapInArrow(run, "k bigint, good boolean, p double, bytes binary").where(F.col("good") == good).dropDuplicates(["k"])
         for r in rows.orderBy("k", "bytes").limit(sample).select("p", "bytes").toLocalIterator():
             t = bytes(r["bytes"])
-            x.append(features(t, statistics(t)).astype(np.float32))
+            x[len(target)] = features(t, statistics(t))
             target.append(r["p"])
     y = np.array(target)
     if not len(y):
         return QualityModel(chances, share, posterior, np.zeros(WIDTH), 0.0)
     balance = np.where(y > 0.5, 1 / max((y > 0.5).sum(), 1), 1 / max((y <= 0.5).sum(), 1))
-    w, b = logistic(np.stack(x), y, balance)
+    w, b = logistic(x[: len(y)], y, balance)
     return QualityModel(chances, share, posterior, w, b)
 
 

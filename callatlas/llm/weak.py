@@ -45,8 +45,8 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     weight = weight / max(weight.sum(), 1e-12)
     for step in range(1, rounds + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50))) - target) * weight
-        g = np.append(x.T @ error + decay * w, error.sum())
+        error = (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -50, 50))) - target) * weight
+        g = np.append(error.astype(x.dtype) @ x + decay * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / np.sqrt(step)
         w, b = w - move[:-1], b - move[-1]
