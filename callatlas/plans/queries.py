@@ -190,7 +190,7 @@ def ancestor_component(t) -> DataFrame:
 @query
 def backward_slice_orders(t) -> DataFrame:
     """Lines of an order lead to the next line; the slice of an order's fourth line."""
-    u = t.lineitem.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").cast("string").alias("method"), "l_linenumber").distinct()
+    u = t.lineitem.select(F.col("l_orderkey").cast("string").alias("method"), "l_linenumber").distinct()
     units = u.select("method", F.col("l_linenumber").cast("string").alias("unit_id"), F.array((F.col("l_linenumber") + 1).cast("string")).alias("succs"))
     s = graph.backward_slice(units, u.where("l_linenumber = 4").select(F.concat(F.lit("seed"), F.col("method")).alias("seed_id"), "method", F.lit("4").alias("unit_id")))
     return s.select("seed_id", "unit_id")
@@ -411,7 +411,7 @@ def source_intent_extras(t) -> DataFrame:
 @query
 def composed_flows(t) -> DataFrame:
     line = F.struct(F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<android.p"), F.col("l_partkey"), F.lit(">"))).otherwise(F.concat(F.lit("<p"), F.col("l_partkey"), F.lit(">"))).alias("method"))
-    path = t.lineitem.where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("flow_id"), "l_linenumber").agg(F.min(line).alias("x")).select("flow_id", "x.pos", "x.method")
+    path = t.lineitem.groupBy(F.col("l_orderkey").alias("flow_id"), "l_linenumber").agg(F.min(line).alias("x")).select("flow_id", "x.pos", "x.method")
     cache = t.part.select(F.concat(F.lit("<p"), F.col("p_partkey"), F.lit(">")).alias("method"), F.col("p_name").alias("summary"), (F.col("p_size") / 100).alias("confidence"), F.when(F.col("p_size") % 2 == 0, "jadx").otherwise("jimple_only").alias("source"))
     f = flows.compose(flows.with_analysis(path, cache))
     return f.select("flow_id", F.col("n_methods").cast("bigint").alias("n_methods"), "summary", "sink", F.round("confidence", 6).alias("confidence"))

@@ -69,3 +69,21 @@ def test_neighbours_of_all_parts(spark, tables, purchases):
             for _, d in found:
                 want[start, d, hop] = want.get((start, d, hop), 0) + 1
     assert {(r["start"], r["direction"], r["hop"]): r["n"] for r in QUERIES["k_hop_callers_callees"](spark, tables[0]).collect()} == want
+
+
+def test_slices_of_all_orders(spark, tables):
+    have = {(k, n) for k, n, *_ in tables[2]}
+    want = {(f"seed{k}", str(n)) for k, m in have if m == 4 for n in range(1, 5)}
+    assert {tuple(r) for r in QUERIES["backward_slice_orders"](spark, tables[0]).collect()} == want
+
+
+def test_flows_of_all_orders(spark, tables):
+    want = {}
+    for k, n, p, _, flag, _ in tables[2]:
+        want.setdefault(k, []).append((n, p, flag))
+    got = {r["flow_id"]: r for r in QUERIES["composed_flows"](spark, tables[0]).collect()}
+    assert set(got) == set(want)
+    for k, lines in want.items():
+        text = ["not analysed" if flag == "R" else f"name {p}" for _, p, flag in sorted(lines)]
+        sinks = [f"<android.p{p}>" for _, p, flag in sorted(lines) if flag == "R"]
+        assert (got[k]["n_methods"], got[k]["summary"], got[k]["sink"]) == (len(lines), " → ".join(text), sinks[-1] if sinks else None)
