@@ -321,7 +321,7 @@ def reflection_verdicts(t) -> DataFrame:
 
 @query
 def missing_support(t) -> DataFrame:
-    facts = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("seed_id"), F.lit(0).alias("idx"), F.array(*(F.lit(str(k)) for k in (1, 3, 5, 7))).alias("support_unit_ids"))
+    facts = t.orders.select(F.col("o_orderkey").alias("seed_id"), F.lit(0).alias("idx"), F.array(*(F.lit(str(k)) for k in (1, 3, 5, 7))).alias("support_unit_ids"))
     units = t.lineitem.select(F.col("l_orderkey").alias("seed_id"), F.col("l_linenumber").cast("string").alias("unit_id")).distinct()
     return evidence.missing_support(facts, units).select("seed_id", joined("missing").alias("missing"))
 
@@ -395,7 +395,7 @@ def listener_bridges(t) -> DataFrame:
 @query
 def source_file_artifacts(t) -> DataFrame:
     text = F.concat(F.lit('x = new File(getCacheDir(), "r'), F.col("role"), F.lit('.db"); // new File("gone.db")\nLog.d("T'), F.col("turn"), F.lit('", "said"); /* Log.e("no", "no") */'))
-    s = t.conversations.where("turn < 4").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("turn").cast("string"), F.lit(";\n"), text))), "\n").alias("text")).select(F.concat(F.lit("c"), F.col("conv_id")).alias("class_name"), "text")
+    s = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(";\n"), text).alias("x")))).alias("x")).withColumn("text", F.array_join("x.x", "\n")).select(F.concat(F.lit("c"), F.col("conv_id")).alias("class_name"), "text")
     a, b = X2.file_artifacts(s), X2.log_hints(s)
     return a.select("class_name", F.lit("file").alias("kind"), F.col("path_hint").alias("value")).unionByName(b.select("class_name", F.lit("log").alias("kind"), F.concat("tag", F.lit(":"), "message").alias("value")))
 
@@ -448,7 +448,7 @@ def hints_with_fallback(t) -> DataFrame:
 
 @query
 def evidence_verified(t) -> DataFrame:
-    facts = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("seed_id"), F.lit(0).alias("idx"), F.array(F.lit("1")).alias("support_unit_ids"))
+    facts = t.orders.select(F.col("o_orderkey").alias("seed_id"), F.lit(0).alias("idx"), F.array(F.lit("1")).alias("support_unit_ids"))
     units = t.lineitem.select(F.col("l_orderkey").alias("seed_id"), F.col("l_linenumber").cast("string").alias("unit_id")).distinct()
     return evidence.verified(facts, units)
 

@@ -15,7 +15,7 @@ def tables(spark, tmp_path_factory):
     orders = [(k, rng.randint(1, 9)) for k in range(1, 40) if k % 10]
     lines = [(k, n, rng.randint(1, 12), rng.randint(1, 6), rng.choice("ANR"), rng.choice("FO")) for k, _ in orders for n in range(1, rng.randint(2, 8))]
     suppliers = [(k, k % 3) for k in range(1, 7)]
-    turns = [(c, n, rng.choice(["user", "assistant"])) for c in range(3) for n in range(9)]
+    turns = [(c, n, rng.choice(["user", "assistant"])) for c in range(3) for n in range(12 * c + 2)]
     at = tmp_path_factory.mktemp("whole")
     for name, rows, schema in (
         ("orders", orders, "o_orderkey bigint, o_custkey bigint"),
@@ -87,3 +87,15 @@ def test_flows_of_all_orders(spark, tables):
         text = ["not analysed" if flag == "R" else f"name {p}" for _, p, flag in sorted(lines)]
         sinks = [f"<android.p{p}>" for _, p, flag in sorted(lines) if flag == "R"]
         assert (got[k]["n_methods"], got[k]["summary"], got[k]["sink"]) == (len(lines), " → ".join(text), sinks[-1] if sinks else None)
+
+
+def test_support_of_all_orders(spark, tables):
+    have = {(k, n) for k, n, *_ in tables[2]}
+    missing = {k: "|".join(str(n) for n in (1, 3, 5, 7) if (k, n) not in have) for k, _ in tables[1]}
+    assert {tuple(r) for r in QUERIES["missing_support"](spark, tables[0]).collect()} == {x for x in missing.items() if x[1]}
+    assert {tuple(r) for r in QUERIES["evidence_verified"](spark, tables[0]).collect()} == {(k, "VERIFIED" if (k, 1) in have else "FAILED") for k in missing}
+
+
+def test_artifacts_of_all_turns(spark, tables):
+    want = {(f"c{c}", "file", f"cacheDir/r{role}.db") for c, _, role in tables[4]} | {(f"c{c}", "log", f"T{n}:said") for c, n, _ in tables[4]}
+    assert {tuple(r) for r in QUERIES["source_file_artifacts"](spark, tables[0]).collect()} == want
