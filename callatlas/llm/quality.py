@@ -121,15 +121,21 @@ def train_quality(docs: DataFrame, sample: int = 1500) -> QualityModel:
     x, target = np.empty((2 * sample, WIDTH), np.float32), []
     for good in (True, False):
         expected = sum(n for v, n in patterns.items() if (posterior[v] >= 0.9 if good else posterior[v] <= 0.1))
-        # a hash range that holds the sample several times over, so that few texts are carried to the driver's choice
-        share_of = min(1.0, 8 * sample / max(expected, 1))
-        bound = min(-(1 << 63) + int(share_of * (1 << 64)), (1 << 63) - 1)
-        near = keyed.where(F.col("k") <= F.lit(bound)).select("k", text_bytes().alias("bytes"))
-        rows = near.mapInArrow(run, "k bigint, good boolean, p double, bytes binary").where(F.col("good") == good).dropDuplicates(["k"])
-        for r in rows.orderBy("k", "bytes").limit(sample).select("p", "bytes").toLocalIterator():
-            t = bytes(r["bytes"])
-            x[len(target)] = features(t, statistics(t))
-            target.append(r["p"])
+        # a hash range that holds the sample several times over, so that few texts are carried to the driver's choice; copies
+        # may leave it with fewer different texts, and it is widened until the sample is full or all texts are in
+        share_of, begin = min(1.0, 8 * sample / max(expected, 1)), len(target)
+        while True:
+            bound = min(-(1 << 63) + int(share_of * (1 << 64)), (1 << 63) - 1)
+            near = keyed.where(F.col("k") <= F.lit(bound)).select("k", text_bytes().alias("bytes"))
+            rows = near.mapInArrow(run, "k bigint, good boolean, p double, bytes binary").where(F.col("good") == good).dropDuplicates(["k"])
+            for r in rows.orderBy("k", "bytes").limit(sample).select("p", "bytes").toLocalIterator():
+                t = bytes(r["bytes"])
+                x[len(target)] = features(t, statistics(t))
+                target.append(r["p"])
+            if share_of >= 1 or len(target) - begin >= sample:
+                break
+            share_of = min(1.0, 8 * share_of)
+            del target[begin:]
     y = np.array(target)
     if not len(y):
         return QualityModel(chances, share, posterior, np.zeros(WIDTH), 0.0)
