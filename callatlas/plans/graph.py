@@ -5,13 +5,21 @@ Every round writes its frontier to the shared checkpoint folder: lineage stays s
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
 
 
-def weighted_distances(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _grown(found: DataFrame, level: DataFrame, n: int) -> DataFrame:
+    """found and round n's level; every eighth round it is written, so that the plan stays short in long loops."""
+    both = found.unionByName(level)
+    return both if n % 8 else checkpointed(both)
+
+
+def weighted_distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """analysis_id, method, dist, pred: least summed weight from any root, and the method before on such a path.
 
     edges: analysis_id, caller, callee, weight (whole, positive); roots: analysis_id, method. Of several predecessors the
@@ -19,7 +27,7 @@ def weighted_distances(edges: DataFrame, roots: DataFrame, most_rounds: int = 10
     """
     state = checkpointed(roots.select("analysis_id", "method").distinct().withColumn("dist", F.lit(0).cast("bigint")))
     frontier = state
-    for _ in range(most_rounds):
+    while True:
         steps = frontier.withColumnRenamed("method", "caller").join(edges, ["analysis_id", "caller"])
         found = steps.groupBy("analysis_id", F.col("callee").alias("method")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
         frontier = checkpointed(found.join(state, ["analysis_id", "method"], "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("analysis_id", "method", F.col("new").alias("dist")))
@@ -50,7 +58,7 @@ def paths(reached: DataFrame, most: int = 20) -> DataFrame:
     return reached.join(done, ["analysis_id", "method"])
 
 
-def bfs_roots(edges: DataFrame, roots: DataFrame, most_levels: int = 1000) -> DataFrame:
+def bfs_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """analysis_id, method, level, root: first in, first out, from the roots in order of name, along edges in order of ord.
 
     A method's parent is the one that the queue would reach it from; its place in the queue is a rank within its level.
@@ -58,7 +66,7 @@ def bfs_roots(edges: DataFrame, roots: DataFrame, most_levels: int = 1000) -> Da
     rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy("method"))
     level = checkpointed(roots.select("analysis_id", "method").distinct().withColumn("rank", rank).withColumn("root", F.col("method")).withColumn("level", F.lit(0)))
     seen = level
-    for n in range(1, most_levels + 1):
+    for n in count(1):
         steps = level.select("analysis_id", F.col("method").alias("caller"), "rank", "root").join(edges.select("analysis_id", "caller", F.col("callee").alias("method"), "ord"), ["analysis_id", "caller"])
         first = steps.groupBy("analysis_id", "method").agg(F.min(F.struct("rank", "ord", "root")).alias("k")).join(seen.select("analysis_id", "method"), ["analysis_id", "method"], "left_anti")
         place = F.row_number().over(Window.partitionBy("analysis_id").orderBy("k.rank", "k.ord"))
@@ -96,16 +104,17 @@ def k_hop(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def closure(links: DataFrame, most_levels: int = 64) -> DataFrame:
-    """child, ancestor, depth (least) over links child, parent without cycles."""
+def closure(links: DataFrame) -> DataFrame:
+    """child, ancestor, depth (least) over links child, parent; pairs found before are not walked again, so cycles end."""
     level = checkpointed(links.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
     out, up = level, links.select(F.col("child").alias("ancestor"), "parent").distinct()
-    for depth in range(2, most_levels + 1):
-        level = checkpointed(level.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(depth)))
+    for depth in count(2):
+        found = level.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        level = checkpointed(found.join(out, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
-        out = out.unionByName(level)
-    return out.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        out = _grown(out, level, depth)
+    return out
 
 
 def nearest_ancestor(chain: DataFrame, marked: DataFrame, most: int = 15) -> DataFrame:
@@ -126,7 +135,7 @@ def nearest_ancestor(chain: DataFrame, marked: DataFrame, most: int = 15) -> Dat
     return out.groupBy("method").agg(F.min_by(F.struct("component", "depth"), "depth").alias("c")).select("method", "c.*")
 
 
-def backward_slice(units: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def backward_slice(units: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed_id, method, unit_id: units from which a seed's units are reached within their method.
 
     units: method, unit_id, succs; seeds: seed_id, method, unit_id.
@@ -134,11 +143,11 @@ def backward_slice(units: DataFrame, seeds: DataFrame, most: int = 100) -> DataF
     back = units.select("method", F.col("unit_id").alias("from"), F.explode("succs").alias("unit_id"))
     seen = checkpointed(seeds.select("seed_id", "method", "unit_id").distinct())
     level = seen
-    for _ in range(most):
+    for n in count(1):
         level = checkpointed(level.join(back, ["method", "unit_id"]).select("seed_id", "method", F.col("from").alias("unit_id")).distinct().join(seen, ["seed_id", "method", "unit_id"], "left_anti"))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = _grown(seen, level, n)
     return seen
 
 
