@@ -1,6 +1,8 @@
 """Graph operators as rounds of joins. All analyses advance together, so the rounds follow the longest path, not their sum.
 
 Every round writes its frontier to the shared checkpoint folder: lineage stays short, and a lost executor costs one round.
+Edges are written once before the first round, so no round computes them again. Where tables have an analysis_id, it is part
+of every key: a path never leaves its analysis.
 """
 
 from __future__ import annotations
@@ -13,6 +15,21 @@ from pyspark.sql import functions as F
 from .durable import checkpointed
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """analysis_id, where the table has it."""
+    return [c for c in ("analysis_id",) if c in df.columns]
+
+
+def _numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, in their key's order. Rows are dealt by range and numbered range by range; only the
+    numbers of rows of each range meet, so no task holds all rows of a key."""
+    dealt = checkpointed(rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order))
+    return dealt.withColumn("_place", place).join(counts, [*key, "_range"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
+
+
 def _grown(found: DataFrame, level: DataFrame, n: int) -> DataFrame:
     """found and round n's level; every eighth round it is written, so that the plan stays short in long loops."""
     both = found.unionByName(level)
@@ -25,6 +42,7 @@ def weighted_distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
     edges: analysis_id, caller, callee, weight (whole, positive); roots: analysis_id, method. Of several predecessors the
     one with the least distance, then name, is taken, which is the order in which a heap would settle them.
     """
+    edges = checkpointed(edges.select("analysis_id", "caller", "callee", "weight"))
     state = checkpointed(roots.select("analysis_id", "method").distinct().withColumn("dist", F.lit(0).cast("bigint")))
     frontier = state
     while True:
@@ -48,13 +66,13 @@ def paths(reached: DataFrame, most: int = 20) -> DataFrame:
     """
     level = checkpointed(reached.where(F.col("pred").isNull()).select("analysis_id", "method", F.lit(0).alias("hops"), F.array("method").alias("path")))
     done, rest = level, checkpointed(reached.where(F.col("pred").isNotNull()))
-    while True:
+    for n in count(1):
         above = level.select("analysis_id", F.col("method").alias("pred"), "hops", "path")
         grown = F.when(F.size("path") < most, F.concat("path", F.array("method"))).otherwise(F.col("path"))
         level = checkpointed(rest.join(above, ["analysis_id", "pred"]).select("analysis_id", "method", (F.col("hops") + 1).alias("hops"), grown.alias("path")))
         if level.isEmpty():
             break
-        done = done.unionByName(level)
+        done = _grown(done, level, n)
     return reached.join(done, ["analysis_id", "method"])
 
 
@@ -63,17 +81,18 @@ def bfs_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     A method's parent is the one that the queue would reach it from; its place in the queue is a rank within its level.
     """
-    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy("method"))
-    level = checkpointed(roots.select("analysis_id", "method").distinct().withColumn("rank", rank).withColumn("root", F.col("method")).withColumn("level", F.lit(0)))
+    edges = checkpointed(edges.select("analysis_id", "caller", F.col("callee").alias("method"), "ord"))
+    first = roots.select("analysis_id", "method").distinct()
+    level = checkpointed(_numbered(first, ["analysis_id"], ["method"], "rank").select("analysis_id", "method", "rank", F.col("method").alias("root"), F.lit(0).alias("level")))
     seen = level
     for n in count(1):
-        steps = level.select("analysis_id", F.col("method").alias("caller"), "rank", "root").join(edges.select("analysis_id", "caller", F.col("callee").alias("method"), "ord"), ["analysis_id", "caller"])
+        steps = level.select("analysis_id", F.col("method").alias("caller"), "rank", "root").join(edges, ["analysis_id", "caller"])
         first = steps.groupBy("analysis_id", "method").agg(F.min(F.struct("rank", "ord", "root")).alias("k")).join(seen.select("analysis_id", "method"), ["analysis_id", "method"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("analysis_id").orderBy("k.rank", "k.ord"))
-        level = checkpointed(first.select("analysis_id", "method", place.alias("rank"), F.col("k.root").alias("root"), F.lit(n).alias("level")))
+        first = first.select("analysis_id", "method", F.col("k.rank").alias("parent"), F.col("k.ord").alias("ord"), F.col("k.root").alias("root"))
+        level = checkpointed(_numbered(first, ["analysis_id"], ["parent", "ord", "method"], "rank").select("analysis_id", "method", "rank", "root", F.lit(n).alias("level")))
         if level.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(level))
+        seen = _grown(seen, level, n)
     return seen.select("analysis_id", "method", "level", "root")
 
 
@@ -89,28 +108,31 @@ def strict_preferred(strict: DataFrame, augmented: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """start, method, direction (caller or callee), hop: methods met within k hops of each start; each hop goes on from all
     methods found so far in either direction."""
-    links = edges.select("caller", "callee").distinct()
-    frontier = starts.select(F.col("method").alias("start"), "method")
+    key = keys_of(edges)
+    links = checkpointed(edges.select(*key, "caller", "callee").distinct())
+    frontier = starts.select(*key, F.col("method").alias("start"), "method")
     found = None
     for hop in range(1, k + 1):
         at = frontier.withColumnRenamed("method", "at")
-        up = at.join(links, at["at"] == links["callee"]).select("start", F.col("caller").alias("method"), F.lit("caller").alias("direction"))
-        down = at.join(links, at["at"] == links["caller"]).select("start", F.col("callee").alias("method"), F.lit("callee").alias("direction"))
+        up = at.join(links.withColumnRenamed("callee", "at"), [*key, "at"]).select(*key, "start", F.col("caller").alias("method"), F.lit("caller").alias("direction"))
+        down = at.join(links.withColumnRenamed("caller", "at"), [*key, "at"]).select(*key, "start", F.col("callee").alias("method"), F.lit("callee").alias("direction"))
         new = up.union(down).distinct()
-        new = new.join(found, ["start", "method", "direction"], "left_anti") if found is not None else new
+        new = new.join(found, [*key, "start", "method", "direction"], "left_anti") if found is not None else new
         new = checkpointed(new.withColumn("hop", F.lit(hop)))
         found = new if found is None else found.unionByName(new)
-        frontier = new.select("start", "method").distinct()
+        frontier = new.select(*key, "start", "method").distinct()
     return found
 
 
 def closure(links: DataFrame) -> DataFrame:
     """child, ancestor, depth (least) over links child, parent; pairs found before are not walked again, so cycles end."""
-    level = checkpointed(links.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
-    out, up = level, links.select(F.col("child").alias("ancestor"), "parent").distinct()
+    key = keys_of(links)
+    up = checkpointed(links.select(*key, F.col("child").alias("ancestor"), "parent").distinct())
+    level = up.select(*key, F.col("ancestor").alias("child"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out = level
     for depth in count(2):
-        found = level.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        level = checkpointed(found.join(out, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = level.join(up, [*key, "ancestor"]).select(*key, "child", F.col("parent").alias("ancestor")).distinct()
+        level = checkpointed(found.join(out, [*key, "child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         out = _grown(out, level, depth)
@@ -118,21 +140,21 @@ def closure(links: DataFrame) -> DataFrame:
 
 
 def nearest_ancestor(chain: DataFrame, marked: DataFrame, most: int = 15) -> DataFrame:
-    """method, component, depth: the nearest method up the predecessor chain (itself included) that is marked.
-
-    chain: method, pred; marked: method, component.
+    """method, component, depth: the nearest method up the predecessor chain (itself included) that is marked, at most `most`
+    steps away. chain: method, pred; marked: method, component.
     """
-    at = chain.select("method", F.col("method").alias("at"))
-    up = chain.select(F.col("method").alias("at"), "pred")
+    key = keys_of(chain)
+    at = chain.select(*key, "method", F.col("method").alias("at"))
+    up = chain.select(*key, F.col("method").alias("at"), "pred")
     out = None
     for depth in range(most + 1):
-        hit = at.join(marked.withColumnRenamed("method", "at"), "at").select("method", "component", F.lit(depth).alias("depth"))
+        hit = at.join(marked.select(*key, F.col("method").alias("at"), "component"), [*key, "at"]).select(*key, "method", "component", F.lit(depth).alias("depth"))
         out = hit if out is None else out.unionByName(hit)
-        at = at.join(hit.select("method").distinct(), "method", "left_anti").join(up, "at").where(F.col("pred").isNotNull()).select("method", F.col("pred").alias("at"))
+        at = at.join(hit.select(*key, "method").distinct(), [*key, "method"], "left_anti").join(up, [*key, "at"]).where(F.col("pred").isNotNull()).select(*key, "method", F.col("pred").alias("at"))
         at = checkpointed(at)
         if at.isEmpty():
             break
-    return out.groupBy("method").agg(F.min_by(F.struct("component", "depth"), "depth").alias("c")).select("method", "c.*")
+    return out.groupBy(*key, "method").agg(F.min_by(F.struct("component", "depth"), F.struct("depth", "component")).alias("c")).select(*key, "method", "c.*")
 
 
 def backward_slice(units: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -140,11 +162,12 @@ def backward_slice(units: DataFrame, seeds: DataFrame) -> DataFrame:
 
     units: method, unit_id, succs; seeds: seed_id, method, unit_id.
     """
-    back = units.select("method", F.col("unit_id").alias("from"), F.explode("succs").alias("unit_id"))
-    seen = checkpointed(seeds.select("seed_id", "method", "unit_id").distinct())
+    key = [*keys_of(units), "method"]
+    back = checkpointed(units.select(*key, F.col("unit_id").alias("from"), F.explode("succs").alias("unit_id")))
+    seen = checkpointed(seeds.select("seed_id", *key, "unit_id").distinct())
     level = seen
     for n in count(1):
-        level = checkpointed(level.join(back, ["method", "unit_id"]).select("seed_id", "method", F.col("from").alias("unit_id")).distinct().join(seen, ["seed_id", "method", "unit_id"], "left_anti"))
+        level = checkpointed(level.join(back, [*key, "unit_id"]).select("seed_id", *key, F.col("from").alias("unit_id")).distinct().join(seen, ["seed_id", *key, "unit_id"], "left_anti"))
         if level.isEmpty():
             break
         seen = _grown(seen, level, n)
@@ -157,14 +180,15 @@ def union_edges(*sources: DataFrame) -> DataFrame:
     for n, s in enumerate(sources):
         one = s.withColumn("source_ord", F.lit(n))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    rest = [c for c in rows.columns if c not in ("caller", "callee", "callsite")]
-    return rows.groupBy("caller", "callee", "callsite").agg(F.min_by(F.struct(*rest), F.struct("source_ord", "ord")).alias("r")).select("caller", "callee", "callsite", "r.*")
+    key = [*keys_of(rows), "caller", "callee", "callsite"]
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("source_ord", "ord")).alias("r")).select(*key, "r.*")
 
 
 def to_dot(edges: DataFrame, most: int = 500) -> DataFrame:
-    """dot text of each analysis with at most `most` edges; larger graphs are left out with a note."""
+    """n (edges) and dot text of each analysis; `skipped` where it has more than `most` edges, with an empty graph."""
     line = F.concat(F.lit('  "'), F.col("caller"), F.lit('" -> "'), F.col("callee"), F.lit('";'))
     n = edges.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n"))
     small = edges.join(n.where(F.col("n") <= most), "analysis_id").groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("x"))
     drawn = small.select("analysis_id", F.concat(F.lit("digraph {\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n"), F.lit("\n}")).alias("dot"))
-    return n.join(drawn, "analysis_id", "left").select("analysis_id", "n", F.coalesce("dot", F.lit("digraph { }")).alias("dot"))
+    return n.join(drawn, "analysis_id", "left").select("analysis_id", "n", F.coalesce("dot", F.lit("digraph { }")).alias("dot"), F.col("dot").isNull().alias("skipped"))

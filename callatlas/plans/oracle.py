@@ -26,12 +26,12 @@ def _flags(source: str) -> str:
 
 
 _PURCHASE = """
-a AS (SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0),
+a AS (SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 g AS (SELECT caller, callee, min(w) AS w FROM (
   SELECT 'c' || o_custkey AS caller, 'p' || l_partkey AS callee, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS w FROM a
   UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END FROM a
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier) GROUP BY caller, callee),
-roots AS (SELECT 'c' || c_custkey AS method FROM customer WHERE c_custkey % 50 = 0)"""
+roots AS (SELECT 'c' || c_custkey AS method FROM customer)"""
 #: Distances in the layers customer, part, supplier, nation: least over the layer before, and its first settled method.
 _DIST = f"""{_PURCHASE},
 d0 AS (SELECT method, CAST(0 AS BIGINT) AS dist, CAST(NULL AS VARCHAR) AS pred, method AS path FROM roots),
@@ -102,7 +102,7 @@ SELECT o_orderkey, priority, row_number() OVER (PARTITION BY priority ORDER BY o
     "bfs_levels": f"WITH {_DIST} SELECT method, CAST(min(hops) AS BIGINT) AS level FROM d GROUP BY method",
     "weighted_distance": f"WITH {_DIST} SELECT method, CAST(dist AS BIGINT) AS dist, pred FROM d",
     "weighted_paths": f"WITH {_DIST} SELECT method, CAST(dist AS BIGINT) AS dist, CAST(hops AS BIGINT) AS hops, path FROM d",
-    "k_hop_callers_callees": f"""WITH {_PURCHASE}, s AS (SELECT 'p' || p_partkey AS start FROM part WHERE p_partkey % 500 = 0),
+    "k_hop_callers_callees": f"""WITH {_PURCHASE}, s AS (SELECT 'p' || p_partkey AS start FROM part WHERE p_partkey % 100 = 0),
 h1 AS (SELECT DISTINCT start, caller AS method, 'caller' AS direction FROM s JOIN g ON callee = start UNION SELECT start, callee, 'callee' FROM s JOIN g ON caller = start),
 h2 AS (SELECT DISTINCT start, caller AS method, 'caller' AS direction FROM h1 JOIN g ON callee = method UNION SELECT start, callee, 'callee' FROM h1 JOIN g ON caller = method),
 n2 AS (SELECT * FROM h2 EXCEPT SELECT * FROM h1)
@@ -111,7 +111,7 @@ SELECT start, direction, CAST(hop AS BIGINT) AS hop, count(*) AS n FROM (SELECT
     "ancestor_component": f"""WITH RECURSIVE {_TREE}, marked AS (SELECT 'n' || n_nationkey AS m, n_name AS component FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'r' || r_regionkey, r_name FROM region),
 up AS (SELECT child AS method, child AS cur, CAST(0 AS BIGINT) AS depth FROM tree UNION ALL SELECT method, parent, depth + 1 FROM up JOIN tree ON child = cur)
 SELECT method, arg_min(component, depth) AS component, min(depth) AS depth FROM up JOIN marked ON m = cur GROUP BY method""",
-    "backward_slice_orders": """WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k FROM lineitem WHERE l_orderkey % 20 = 0),
+    "backward_slice_orders": """WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k FROM lineitem),
 s AS (SELECT o, k FROM u WHERE k = 4 UNION ALL SELECT u.o, u.k FROM s JOIN u ON u.o = s.o AND u.k = s.k - 1)
 SELECT 'seed' || o AS seed_id, CAST(k AS VARCHAR) AS unit_id FROM s""",
     "asof_version": "WITH v AS (SELECT DISTINCT p_size AS version FROM part WHERE p_size % 7 = 0) SELECT p_partkey AS id, p_size AS target, coalesce((SELECT min(version) FROM v WHERE version >= p_size), (SELECT max(version) FROM v)) AS version FROM part",
@@ -144,7 +144,7 @@ SELECT seed, round(CAST(0.3 AS DOUBLE) * q + CAST(0.4 AS DOUBLE) * x + CAST(0.3
 f AS (SELECT caller, count(*) FILTER (r) AS n, bool_or(c) AS c FROM h GROUP BY caller)
 SELECT o_orderkey AS hit_id, CASE WHEN s THEN 'sensitive_target' WHEN n > 1 THEN 'obfuscated_chain' WHEN f.c THEN 'crypto_chain' END AS verdict FROM h JOIN f USING (caller) WHERE r""",
     "missing_support": """SELECT o_orderkey AS seed_id, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS missing FROM orders, (VALUES (1), (3), (5), (7)) w(k)
-WHERE o_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = k) GROUP BY o_orderkey""",
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = k) GROUP BY o_orderkey""",
     "stage_durations": "SELECT user_id, event_type AS stage, round((epoch_us(max(ts) FILTER (event_id % 2 = 1)) - epoch_us(min(ts) FILTER (event_id % 2 = 0))) / 1e6, 3) AS seconds FROM events GROUP BY user_id, event_type",
     "run_summary": "SELECT user_id, arg_min(event_type, event_id) AS first_event, arg_max(event_type, event_id) AS last_event, count(*) AS n_events FROM events GROUP BY user_id",
     "event_levels": "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1",
@@ -157,13 +157,13 @@ SELECT '<app.N' || k || ': void ' || s || '()>' AS method FROM m WHERE CASE k %
     "app_prefix_members": "SELECT 'com.' || lower(p_type) || '.x' AS package, count(*) AS n FROM part GROUP BY p_type QUALIFY rank() OVER (ORDER BY count(*) DESC) = 1",
     "listener_bridges": """WITH p AS (SELECT s_suppkey, s_nationkey, n_nationkey, CASE WHEN s_nationkey = n_nationkey THEN 2 ELSE 3 END AS tier FROM supplier JOIN nation ON s_suppkey % 7 = n_nationkey % 7)
 SELECT CAST(s_suppkey AS VARCHAR) AS callsite, 'm' || n_nationkey AS callee, CASE tier WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM p QUALIFY tier = min(tier) OVER (PARTITION BY s_suppkey)""",
-    "source_file_artifacts": """SELECT DISTINCT 'c' || conv_id AS class_name, 'file' AS kind, 'cacheDir/r' || role || '.db' AS value FROM conversations WHERE turn < 4
-UNION ALL SELECT DISTINCT 'c' || conv_id, 'log', 'T' || turn || ':said' FROM conversations WHERE turn < 4""",
+    "source_file_artifacts": """SELECT DISTINCT 'c' || conv_id AS class_name, 'file' AS kind, 'cacheDir/r' || role || '.db' AS value FROM conversations
+UNION ALL SELECT class_name, 'log', value FROM (SELECT DISTINCT 'c' || conv_id AS class_name, turn, 'T' || turn || ':said' AS value FROM conversations) QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY turn) <= 30""",
     "source_intent_extras": """WITH u AS (SELECT DISTINCT event_type, user_id FROM events), x AS (
  SELECT event_type AS class_name, 'k' || (user_id % 5) AS name, 'int' AS type, true AS required, CAST(NULL AS VARCHAR) AS hint FROM u
  UNION ALL SELECT event_type, event_type, NULL, false, CAST(user_id AS VARCHAR) FROM u)
 SELECT class_name, name, max(type) AS type, bool_or(required) AS required, count(DISTINCT hint) AS n_hints FROM x GROUP BY class_name, name""",
-    "composed_flows": """WITH l AS (SELECT l_orderkey AS flow_id, l_linenumber AS pos, min(CASE WHEN l_returnflag = 'R' THEN '<android.p' ELSE '<p' END || l_partkey || '>') AS method FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2),
+    "composed_flows": """WITH l AS (SELECT l_orderkey AS flow_id, l_linenumber AS pos, min(CASE WHEN l_returnflag = 'R' THEN '<android.p' ELSE '<p' END || l_partkey || '>') AS method FROM lineitem GROUP BY 1, 2),
 c AS (SELECT l.*, coalesce(p_name, 'not analysed') AS summary, p_size / 100 AS confidence, p_size % 2 = 0 AS jadx FROM l LEFT JOIN part ON method = '<p' || p_partkey || '>')
 SELECT flow_id, count(*) AS n_methods, string_agg(summary, ' → ' ORDER BY pos) AS summary, arg_max(method, pos) FILTER (method LIKE '<android.%') AS sink, round(coalesce(avg(confidence) FILTER (jadx), 0.5), 6) AS confidence FROM c GROUP BY flow_id""",
     "feasibility_rollup": """WITH f AS (SELECT o_custkey AS flow_id, CASE WHEN o_orderstatus = 'F' THEN 'full' WHEN o_totalprice > 480000 THEN 'blocked' ELSE 'partial' END AS f FROM orders)
@@ -174,7 +174,7 @@ UNION ALL SELECT 's' || user_id, count(*), min(event_id) FROM events WHERE event
     "confidence_histogram": "SELECT printf('%.1f', p_size / 50) AS confidence, count(*) AS n FROM part GROUP BY 1",
     "hints_with_fallback": """WITH c AS (SELECT DISTINCT s_nationkey AS k, 'n' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '$S' || s_suppkey ELSE '' END AS class FROM supplier)
 SELECT class, coalesce((SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) FROM customer WHERE c_nationkey = k AND k % 3 = 0), '') AS hints FROM c""",
-    "evidence_verified": "SELECT o_orderkey AS seed_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) THEN 'VERIFIED' ELSE 'FAILED' END AS status FROM orders WHERE o_orderkey % 10 = 0",
+    "evidence_verified": "SELECT o_orderkey AS seed_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) THEN 'VERIFIED' ELSE 'FAILED' END AS status FROM orders",
     "timeline_order": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events",
     "catalog_pattern_scores": _catalog_scores(),
     "ledger_stream_available_now": "SELECT user_id, event_type AS stage, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1, 2",

