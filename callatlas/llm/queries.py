@@ -16,7 +16,7 @@ from .quality import score_quality, train_quality
 from .secrets import KINDS, count_kind, scan_secrets, spans_text, trained_on
 from .simhash import near_duplicates
 from .sketches import edited_sketches, text_of
-from .urls import judge_urls
+from .urls import judge_urls, page_labels
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

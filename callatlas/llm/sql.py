@@ -56,7 +56,8 @@ FROM docs LEFT JOIN words USING (rid) LEFT JOIN names USING (rid)
 """
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: FP-growth as an enumeration of the token sets of each URL; only tokens that are frequent on blocked URLs can be in a rule.
+_SEEDS = "['casino', 'bet', 'bets', 'poker', 'adult', 'porn', 'xxx', 'pills', 'viagra', 'spam', 'ads']"
+#: FP-growth as an enumeration of the token sets of each blocked URL; only tokens that are frequent there can be in a rule.
 OP3 = rf"""
 WITH parts AS (
   SELECT row_number() OVER () AS rid, page_id, url, translate(coalesce(regexp_extract(url, '{_PARTS}', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
@@ -67,20 +68,22 @@ fixed(rule, name, start, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block')
 ruled AS (
   SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS fixed
   FROM parts JOIN fixed ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY rid),
+taught AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS bad FROM labels GROUP BY doc_id),
 judged AS (
-  SELECT parts.*, rule, fixed, list_distinct(list_concat(
+  SELECT parts.*, rule, fixed, CASE WHEN list_has_any(regexp_split_to_array(host, '[._-]'), {_SEEDS}) THEN true ELSE bad END AS blocked, list_distinct(list_concat(
     list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+    list_transform(list_filter(flatten(list_transform(list_filter(string_split(host, '.'), lambda x: regexp_matches(x, '[_-]')), lambda x: regexp_split_to_array(x, '[_-]'))), lambda x: x <> ''), lambda x: 'word:' || x),
     list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '#', 'g')),
     list_transform(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)=', 1), lambda x: 'field:' || x))) AS tokens
-  FROM parts LEFT JOIN ruled USING (rid)),
-least AS (SELECT ceil(0.01 * count(*)) AS n FROM judged WHERE len(tokens) > 0),
-single AS (SELECT rid, fixed, unnest(tokens) AS x FROM judged),
-frequent AS (SELECT x FROM single WHERE fixed = 'block' GROUP BY x HAVING count(*) >= (SELECT n FROM least)),
-short AS (SELECT rid, any_value(fixed) AS fixed, list_sort(list(x)) AS t FROM single JOIN frequent USING (x) GROUP BY rid),
-sets AS (SELECT rid, fixed, list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS c FROM short, range(1, 1 << len(t)) r(b)),
+  FROM parts LEFT JOIN ruled USING (rid) LEFT JOIN taught ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1) AS BIGINT)),
+open_ AS (SELECT rid, blocked, unnest(tokens) AS x FROM judged WHERE fixed IS NULL AND contains(url, '://')),
+least AS (SELECT greatest(5, ceil(0.002 * count(DISTINCT rid))) AS n FROM open_ WHERE blocked),
+frequent AS (SELECT x FROM open_ WHERE blocked GROUP BY x HAVING count(*) >= (SELECT n FROM least)),
+short AS (SELECT rid, blocked, list_sort(list(x)) AS t FROM open_ JOIN frequent USING (x) GROUP BY rid, blocked),
+sets AS (SELECT rid, blocked, list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS c FROM short, range(1, 1 << len(t)) r(b)),
 mined AS (
-  SELECT c, count(*) FILTER (fixed = 'block') / count(*) AS confidence FROM sets GROUP BY c
-  HAVING count(*) FILTER (fixed = 'block') >= (SELECT n FROM least) AND count(*) FILTER (fixed = 'block') / count(*) >= 0.8),
+  SELECT c, count(*) FILTER (blocked) / count(*) FILTER (blocked IS NOT NULL) AS confidence FROM sets GROUP BY c
+  HAVING count(*) FILTER (blocked) >= (SELECT n FROM least) AND count(*) FILTER (blocked) / count(*) FILTER (blocked IS NOT NULL) >= 0.9),
 best AS (
   SELECT rid, arg_max(array_to_string(c, ' '), (confidence, -len(c), array_to_string(c, ' '))) AS mined, max(confidence) AS confidence
   FROM sets JOIN mined USING (c) GROUP BY rid)
