@@ -25,7 +25,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE_KINDS]
     plain = F.concat("base", F.transform("extra", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(plain).alias("spans"), F.size("extra").cast("bigint").alias("n_extra"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(plain).alias("spans"), F.size("extra").cast("bigint").alias("n_extra"), (F.size("base") + F.size("extra")).cast("bigint").alias("n_spans"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,17 @@ import numpy as np
 VOTES = "+-."
 
 
-def expectation_maximisation(patterns: dict[str, int], labellers: int, prior: float = 0.5, trust: float = 0.8, rounds: int = 100, least: tuple[float, float] = (0.0, 0.0)) -> tuple[np.ndarray, float, dict[str, float]]:
+def expectation_maximisation(patterns: dict[str, int], labellers: int, prior: float = 0.5, trust: float = 0.8, rounds: int = 100, least: tuple[float, float] = (0.0, 0.0), better: float = 0.0) -> tuple[np.ndarray, float, dict[str, float]]:
     """Reliabilities of labellers and posteriors of vote patterns, without true labels.
 
     patterns: votes, one character of VOTES a labeller, and how often they were cast together. Each class has its own
     chance that a labeller that votes is for it, given which the votes are independent; having no vote says nothing. To start
     with, a labeller is right with chance `trust`. Returns chances[class, labeller, vote] (class 1: for), the share of
     class 1, and each pattern's posterior of class 1. `least` bounds what a labeller's silence of its own kind can prove: the
-    least chance of a vote for it in class 0, and of a vote for it in class 1. Patterns and their number are all that is needed of the rows, so counts of any size
-    of corpus give the exact result.
+    least chance of a vote for it in class 0, and of a vote for it in class 1. `better`, if above 0.5, holds every labeller to be
+    better than chance: its votes are for in class 1, and against in class 0, with that chance at least, so that the classes
+    can't change places. Patterns and their number are all that is needed of the rows, so counts of any size of corpus give the
+    exact result.
     """
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
@@ -33,6 +35,8 @@ def expectation_maximisation(patterns: dict[str, int], labellers: int, prior: fl
             seen = np.einsum("p,plv->lv", w, onehot)[:, :2] + 0.1
             chances[k, :, :2] = seen / seen.sum(1, keepdims=True)
             chances[k, :, 0] = np.maximum(chances[k, :, 0], least[k])
+            if better:
+                chances[k, :, 0] = np.maximum(chances[k, :, 0], better) if k else np.minimum(chances[k, :, 0], 1 - better)
             chances[k, :, 1] = 1 - chances[k, :, 0]
         chances[:, :, :2] = np.clip(chances[:, :, :2], 1e-6, 1 - 1e-6)
         share = float(np.clip((n * posterior).sum() / n.sum(), 1e-6, 1 - 1e-6))
