@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, which has to be set."""
     sc = spark.sparkContext
     where = sc._jsc.sc().getCheckpointDir()
     if where.isDefined():
         return where.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callatlas-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +43,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4194304b")
 
 
+def kept(key: str, make: Callable):
+    """make(), built once in a Python worker and kept for the tasks that come to it; only the value of the latest key is kept."""
+    store = sys.modules.setdefault("callatlas_worker", types.ModuleType("callatlas_worker")).__dict__
+    if store.get("key") != key:
+        store.pop("value", None)
+        store["value"], store["key"] = make(), key
+    return store["value"]
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

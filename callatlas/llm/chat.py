@@ -141,9 +141,9 @@ def _groups(batches, most: int | None):
         yield key, roles, texts
 
 
-def _whole(batches):
+def _whole(batches, most: int | None = None):
     schema, out, size = _arrow(OUT), [], 0
-    for conv, roles, texts in _groups(batches, None):
+    for conv, roles, texts in _groups(batches, most):
         final = final_state(costs(roles, START)[0])
         text, *numbers = render(roles, texts, START, final, True)
         out.append((conv, 0, len(roles), *numbers, text))
@@ -196,24 +196,33 @@ def _in_parts(rows: DataFrame, order: list, most: int) -> DataFrame:
     return both.select("conv_id", "number", "roles", "texts", "entry", "final", "last").mapInArrow(write, OUT)
 
 
+def _joined(parts: DataFrame) -> DataFrame:
+    """One row for each conversation: numbers add up over its parts, and their texts in order are the whole."""
+    numbers = [c for c in parts.columns if c not in ("conv_id", "part", "rendered")]
+    texts = F.array_sort(F.collect_list(F.struct("part", "rendered")))
+    rows = parts.groupBy("conv_id").agg(*(F.sum(c).alias(c) for c in numbers), texts.alias("texts"))
+    return rows.select("conv_id", *numbers, F.array_join(F.transform("texts", lambda x: x["rendered"]), "").alias("rendered"))
+
+
 def format_chats(turns: DataFrame, most: int = 2000) -> DataFrame:
-    """Repaired conversations: conv_id, part, n_turns, n_messages, cost, n_merged, n_relabelled, n_inserted, rendered.
+    """Repaired conversations, one row each: conv_id, n_turns, n_messages, cost, n_merged, n_relabelled, n_inserted, rendered.
 
     turns: conv_id, turn, role, text; other columns are ignored. Messages are ordered by turn (null first); equal turns by
     role, then by hash of the text. Roles other than system, user and assistant, and null, have to be relabelled; null
-    texts are empty; null conv_ids are one conversation; repeated rows are messages of their own. Among repairs of equal
-    cost the one through earlier states is taken. An empty table gives no rows.
+    texts are empty; a message without a conv_id is a conversation of its own; repeated rows are messages of their own. Among
+    repairs of equal cost the one through earlier states is taken. An empty table gives no rows.
 
-    A conversation of up to `most` messages is one row, part 0. Longer ones are dealt by range of their order, cut into
-    pieces of at most `most` messages, and give a row for each piece; numbers add up over the parts and texts, in order of
-    part, are the whole. Only a cost matrix of each piece meets those of its conversation.
+    Conversations of more than `most` messages are dealt by range of their order and repaired in pieces of at most `most`
+    messages, of which only a cost matrix meets those of the conversation; the pieces' texts are then joined. So `most` bounds
+    what a task repairs and changes no result; a rendered conversation has to fit into a row.
     """
     small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text").withColumn("th", F.xxhash64("text"))
     order = ["turn", "role", "th"]
-    long = durable(rows.groupBy("conv_id").count().where(F.col("count") > most).select(F.col("conv_id").alias("c")))
-    is_long = rows["conv_id"].eqNullSafe(long["c"])
+    alone = rows.where("conv_id is null").select("conv_id", "role", "text").mapInArrow(lambda batches: _whole(batches, 1), OUT)
+    rows = rows.where("conv_id is not null")
+    long = durable(rows.groupBy("conv_id").count().where(F.col("count") > most).select("conv_id"))
     some = not long.isEmpty()
-    usual = rows.join(long, is_long, "left_anti") if some else rows
-    out = usual.repartition("conv_id").sortWithinPartitions("conv_id", *order).select("conv_id", "role", "text").mapInArrow(_whole, OUT)
-    return out.unionByName(_in_parts(rows.join(long, is_long, "left_semi"), order, most)) if some else out
+    usual = rows.join(long, "conv_id", "left_anti") if some else rows
+    out = usual.repartition("conv_id").sortWithinPartitions("conv_id", *order).select("conv_id", "role", "text").mapInArrow(_whole, OUT).unionByName(alone).drop("part")
+    return out.unionByName(_joined(_in_parts(rows.join(long, "conv_id", "left_semi"), order, most))) if some else out

@@ -54,30 +54,32 @@ def test_cheapest_legal_repair(spark, most):
         want[conv] = roles
         rows += [(conv, 10 * k, r, f"text {k}" if k % 3 else None, "clash") for k, r in enumerate(roles)]
     rng.shuffle(rows)
-    got = {}
-    for r in C.format_chats(spark.createDataFrame(rows, SCHEMA), most).collect():
-        got.setdefault(r["conv_id"], []).append(r)
+    got = {r["conv_id"]: r for r in C.format_chats(spark.createDataFrame([r for r in rows if r[0] is not None], SCHEMA), most).collect()}
+    del want[None]
     assert set(got) == set(want)
-    for conv, parts in got.items():
-        parts.sort(key=lambda r: r["part"])
-        roles = want[conv]
-        text = "".join(p["rendered"] for p in parts)
-        assert sum(p["n_turns"] for p in parts) == len(roles) and legal(parse(text))
-        assert sum(p["n_messages"] for p in parts) == len(parse(text))
-        numbers = [sum(p[n] for p in parts) for n in ("n_merged", "n_relabelled", "n_inserted")]
-        cost = sum(p["cost"] for p in parts)
-        assert cost == least_cost([C.role_of(r) for r in roles]) == sum(a * b for a, b in zip(numbers, (C.MERGE, C.RELABEL, C.INSERT)))
+    for conv, r in got.items():
+        roles, text = want[conv], r["rendered"]
+        assert r["n_turns"] == len(roles) and legal(parse(text)) and r["n_messages"] == len(parse(text))
+        numbers = [r[n] for n in ("n_merged", "n_relabelled", "n_inserted")]
+        assert r["cost"] == least_cost([C.role_of(x) for x in roles]) == sum(a * b for a, b in zip(numbers, (C.MERGE, C.RELABEL, C.INSERT)))
         assert [k for k in range(len(roles)) if k % 3 and f"text {k}" not in text] == []
 
 
-def test_parts_join_to_the_whole(spark):
+def test_messages_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a", ""), (None, 0, "user", "a", ""), (None, 1, "assistant", None, "")]
+    got = sorted((r["conv_id"], r["n_turns"], r["cost"], r["rendered"]) for r in C.format_chats(spark.createDataFrame(rows, SCHEMA)).collect())
+    user = (None, 1, C.INSERT, "<|user|>\na<|end|>\n<|assistant|>\n<|end|>\n")
+    assert sorted(got, key=str) == sorted([user, user, (None, 1, C.INSERT, "<|user|>\n<|end|>\n<|assistant|>\n<|end|>\n")], key=str)
+
+
+def test_long_conversations_are_one_row(spark):
     rng = random.Random(4)
-    rows = [(1, k // 2, rng.choice(["user", "assistant"]), f"<{k}>", "") for k in range(200)] + [(1, 5, "user", "same", "")] * 9
+    rows = [(1, k // 2, rng.choice(["user", "assistant"]), f"<{k}>", "") for k in range(4100)] + [(1, 5, "user", "same", "")] * 9 + [(2, 0, "user", "x", "")]
     turns = spark.createDataFrame(rows, SCHEMA)
-    whole = C.format_chats(turns).collect()
-    parts = sorted(C.format_chats(turns, 16).collect(), key=lambda r: r["part"])
-    assert len(whole) == 1 and len(parts) > 12
-    assert "".join(p["rendered"] for p in parts) == whole[0]["rendered"] and sum(p["cost"] for p in parts) == whole[0]["cost"]
+    whole = sorted(tuple(r) for r in C.format_chats(turns, 100_000).collect())
+    for most in (2000, 16):
+        assert sorted(tuple(r) for r in C.format_chats(turns, most).collect()) == whole
+    assert len(whole) == 2 and whole[0][1] == 4109
 
 
 def test_legal_stays_and_long_text(spark):

@@ -26,8 +26,8 @@ def brute(text, items, window):
     return len(words), len(hit), sorted(ids), marked
 
 
-@pytest.mark.parametrize("slice_bytes", [64 << 20, 60])
-def test_matches_brute_force(spark, slice_bytes):
+@pytest.mark.parametrize("slice_words", [1_500_000, 7])
+def test_matches_brute_force(spark, slice_words):
     rng = random.Random(5)
     items = [(k, " ".join(rng.choice(["a", "b", "É", "ñ9"]) for _ in range(rng.randint(1, 9)))) for k in range(8)]
     items += [(10, "A, b! a"), (11, None), (12, "  ...  "), (10, "other text 77"), (None, "b b b b")]
@@ -35,7 +35,7 @@ def test_matches_brute_force(spark, slice_bytes):
     rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(3, texts[3], "again"), (None, "b b b b", "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id bigint, text string, doc_id string")
-    got = find_contamination(docs, bench, window=4, automaton_bytes=slice_bytes).collect()
+    got = find_contamination(docs, bench, window=4, automaton_words=slice_words).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t, _ in rows:
@@ -53,3 +53,37 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r)[:4] for r in find_contamination(docs, none).collect()] == [(1, 2, 0, [])]
     assert find_contamination(docs.limit(0), none).count() == 0
+
+
+def test_blocks_in_many_items_match_brute_force():
+    """Items that share their beginnings, so that blocks have many places, and some that are repeated."""
+    from callatlas.llm.decontamination import Index
+
+    rng = random.Random(8)
+    for window in (1, 2, 3, 4, 5, 10):
+        items = [(k, "w x y z v " * rng.randint(0, 2) + " ".join(rng.choice("abw") for _ in range(rng.randint(0, 14)))) for k in range(60)]
+        index = Index([([str(k)], t.encode()) for k, t in items], window)
+        for _ in range(60):
+            text = " ".join(rng.choice(["w x y z v", "a", "b", "w", items[rng.randrange(60)][1]]) for _ in range(rng.randint(0, 6)))
+            n, hits, ids = index.scan(text.encode())
+            assert (n, len(hits), sorted(ids)) == brute(text, items, window)[:3]
+
+
+def test_automaton_of_a_large_benchmark_is_bounded():
+    """A slice of the default size is built within some 130 bytes a word, apart from its words' own names."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from callatlas.llm.decontamination import Index
+rng = random.Random(1)
+items = [([str(k)], " ".join(f"w{rng.randrange(50_000)}" for _ in range(100)).encode()) for k in range(15_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = Index(items, 10)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+text = b"x " * 50 + items[77][1][:300] + b" x"
+assert index.scan(text)[2] == {"77"}
+"""
+    mb = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)}).stdout)
+    assert mb < 400, mb
