@@ -8,6 +8,7 @@ block's share of the threshold. Two linked fingerprints then meet at the home an
 
 from __future__ import annotations
 
+import math
 from itertools import islice, repeat
 
 import numpy as np
@@ -46,18 +47,15 @@ def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, families: int =
     return bits.view(np.uint64).ravel().tolist()
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 3, seed: int = 42, families: int = 1) -> DataFrame:
-    """doc_id, family, fp (the 64 bits as a signed long): `families` rows for each row of docs, whole texts."""
+def fingerprint_table(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long): a row for each row of docs, whole texts."""
 
     def run(batches):
         for batch in batches:
-            out = [fingerprints(t.as_py(), shingle, seed, families) for t in batch["bytes"]]
-            fps = np.array(out, np.uint64).reshape(len(out), families)
-            ids = batch["doc_id"]
-            for k in range(families):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), k, np.int32)), pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64))], ["doc_id", "family", "fp"])
+            fps = np.array([fingerprints(t.as_py(), shingle, seed)[0] for t in batch["bytes"]], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("bytes")).mapInArrow(run, "doc_id bigint, family int, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("bytes")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def blocks_of(threshold: int) -> list[tuple[int, int]]:
@@ -90,22 +88,28 @@ def anchors(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([np.full(len(f[0]), f[2]) for f in found])
 
 
-def _replicate(fps: DataFrame, threshold: int) -> DataFrame:
-    """family, block, anchor, fp, home: a row for each anchor that a distinct fingerprint is sent to."""
+def _replicate(nodes: DataFrame, threshold: int) -> DataFrame:
+    """family, block, anchor, and the columns of nodes but fp, then fp, home: a row for each anchor that a fingerprint is sent to."""
+    rest = [c for c in nodes.columns if c not in ("family", "fp")]
 
     def run(batches):
         for batch in batches:
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             family = batch["family"].to_numpy(zero_copy_only=False)
+            own = [batch[c].to_numpy(zero_copy_only=False) for c in rest]
             for block, (first, bits) in enumerate(blocks_of(threshold)):
                 i, anchor, home = anchors(fp >> np.uint64(first) & np.uint64((1 << bits) - 1), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(family[i]), pa.array(np.full(len(i), block, np.int32)), pa.array(anchor.view(np.int64)), pa.array(fp[i].view(np.int64)), pa.array(home)], ["family", "block", "anchor", "fp", "home"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(family[i]), pa.array(np.full(len(i), block, np.int32)), pa.array(anchor.view(np.int64)), *(pa.array(x[i]) for x in own), pa.array(fp[i].view(np.int64)), pa.array(home)],
+                    ["family", "block", "anchor", *rest, "fp", "home"])
 
-    return fps.mapInArrow(run, "family int, block int, anchor bigint, fp bigint, home boolean")
+    return nodes.mapInArrow(run, f"family int, block int, anchor bigint, {', '.join(f'{c} bigint' for c in rest)}, fp bigint, home boolean")
 
 
-def forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between an anchor's home fingerprints and all fingerprints sent to it."""
+def forest(fp: np.ndarray, home: np.ndarray, threshold: int, node: np.ndarray | None = None, checks: list[np.ndarray] = (), most: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links between an anchor's home fingerprints and all fingerprints sent to it, as pairs of
+    nodes. Two are linked if they differ in at most `threshold` bits, and their checks in at most `most` bits together."""
+    node = fp if node is None else node
     left, edges = np.ones(len(fp), bool), []
     for root in np.flatnonzero(home):
         if not left[root]:
@@ -116,17 +120,21 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int,
             u = queue.pop()
             near = np.flatnonzero(left & (home[u] | home))
             near = near[np.bitwise_count(fp[near] ^ fp[u]) <= threshold]
+            if len(checks) and len(near):
+                near = near[sum(np.bitwise_count(c[near] ^ c[u]).astype(np.int64) for c in checks) <= most]
             left[near] = False
-            edges += [(u, v) for v in near if fp[u] != fp[v]]
+            edges += [(u, v) for v in near if node[u] != node[v]]
             queue += near.tolist()
-    return [(int(fp[u]), int(fp[v])) for u, v in edges]
+    return [(int(node[u]), int(node[v])) for u, v in edges]
 
 
-def _compare(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """family, a, b: links found at each anchor, of rows that lie together and sorted by `keys`."""
+def _compare(rows: DataFrame, keys: list[str], checks: list[str], threshold: int, most: int) -> DataFrame:
+    """a, b: links of nodes found at each anchor, of rows that lie together and sorted by `keys`."""
+    columns_ = [*keys, *checks, "node", "fp", "home"]
 
     def links(columns: list[np.ndarray], out: list) -> None:
-        key, fp, home = columns[: len(keys)], columns[-2].view(np.uint64), columns[-1]
+        key, home = columns[: len(keys)], columns[-1]
+        *check, node, fp = (c.view(np.uint64) for c in columns[len(keys) : -1])
         change = np.zeros(len(fp) - 1, bool)
         for k in key:
             change |= k[1:] != k[:-1]
@@ -135,17 +143,16 @@ def _compare(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
         homes = np.add.reduceat(home.astype(np.int64), start)
         for g in np.flatnonzero((homes > 0) & (size > 1)):
             s = slice(start[g], start[g] + size[g])
-            out += [(int(key[0][start[g]]), a, b) for a, b in forest(fp[s], home[s], threshold)]
+            out += forest(fp[s], home[s], threshold, node[s], [c[s] for c in check], most)
 
     def flush(out: list):
-        a = np.array([x[1] for x in out], np.uint64).view(np.int64)
-        b = np.array([x[2] for x in out], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.array([x[0] for x in out], np.int32)), pa.array(a), pa.array(b)], ["family", "a", "b"])
+        both = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            columns = [batch[c].to_numpy(zero_copy_only=False) for c in [*keys, "fp", "home"]]
+            columns = [batch[c].to_numpy(zero_copy_only=False) for c in columns_]
             if not len(columns[0]):
                 continue
             same = np.ones(len(columns[0]), bool)
@@ -165,27 +172,30 @@ def _compare(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
             if out:
                 yield flush(out)
 
-    return rows.select(*keys, "fp", "home").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "family int, a bigint, b bigint")
+    return rows.select(*columns_).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
-def link_fingerprints(fps: DataFrame, threshold: int = 3, most_homes: int = 4096) -> DataFrame:
-    """family, a, b: links between distinct fingerprints that differ in 1 to `threshold` bits, enough of them to connect
+def link_fingerprints(nodes: DataFrame, threshold: int = 3, most: int = 0, most_homes: int = 4096) -> DataFrame:
+    """a, b: links between nodes whose fingerprints of one family differ in at most `threshold` bits, enough of them to connect
     all that are connected.
 
-    fps: family, fp, distinct. Anchors that are home to more than `most_homes` fingerprints are counted first and split:
-    homes into n parts, all that was sent there into n parts, and every part of the one meets every part of the other, so
-    that no task holds more than a few parts; nothing is left out.
+    nodes: family, fp, node, and check columns, if any, in which linked nodes differ in at most `most` bits together. Anchors
+    that are home to more than `most_homes` fingerprints are counted first and split: homes into n parts, all that was sent
+    there into n parts, and every part of the one meets every part of the other, so that no task holds more than a few parts;
+    nothing is left out.
     """
-    rows = _replicate(fps, threshold)
+    rows = _replicate(nodes, threshold)
     key = ["family", "block", "anchor"]
+    checks = [c for c in nodes.columns if c not in ("family", "fp", "node")]
     hot = durable(rows.where("home").groupBy(*key).count().where(F.col("count") > most_homes).withColumn("n", F.ceil(F.col("count") / most_homes).cast("int")).drop("count"))
     if hot.isEmpty():
-        return _compare(rows, key, threshold)
-    parted = rows.join(hot, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+        return _compare(rows, key, checks, threshold, most)
+    rest = [*checks, "node", "fp"]
+    parted = rows.join(hot, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    as_home = parted.where("home").select(*key, F.col("mine").alias("p"), every.alias("q"), "fp", "home")
-    sent = parted.where("n > 1 or not home").select(*key, every.alias("p"), F.col("mine").alias("q"), "fp", F.lit(False).alias("home"))
-    return _compare(as_home.unionByName(sent), [*key, "p", "q"], threshold)
+    as_home = parted.where("home").select(*key, F.col("mine").alias("p"), every.alias("q"), *rest, "home")
+    sent = parted.where("n > 1 or not home").select(*key, every.alias("p"), F.col("mine").alias("q"), *rest, F.lit(False).alias("home"))
+    return _compare(as_home.unionByName(sent), [*key, "p", "q"], checks, threshold, most)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,50 +224,86 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b"), F.col("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3, seed: int = 42, families: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3, seed: int = 42) -> DataFrame:
     """Near-duplicate classes: documents whose fingerprints differ in at most `threshold` bits are linked.
 
     docs: doc_id, text; other columns are ignored. Text is lower-cased (A-Z), words are runs of other characters than
     \\x20 and \\x09-\\x0D, shingles of `shingle` words count as often as they occur; a text of fewer words is one shingle,
-    and one without words (empty, null) has fingerprint zero and is linked like any other. With `families` above 1, further
-    fingerprints out of the same hashes link documents as well, which finds more near copies.
+    and one without words (empty, null) has fingerprint zero and is linked like any other. Long texts take linear time.
 
-    Returns one row for each row of docs: doc_id, fp (signed long, of the first family), component_id (smallest doc_id
-    reachable; null only if all are null). Equal fingerprints are one node whatever their number, so exact copies cost
-    no comparisons.
+    Returns one row for each row of docs: doc_id, fp (signed long), component_id (smallest doc_id reachable; null only if all
+    are null). Equal fingerprints are one node whatever their number, so exact copies and repeated rows cost no comparisons. An
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    fps = durable(fingerprint_table(docs, shingle, seed, families))
-    first = durable(fps.groupBy("family", "fp").agg(F.min("doc_id").alias("first")))
-    links = link_fingerprints(first.select("family", "fp"), threshold)
-    if families > 1:
-        return _by_documents(fps, first, links)
+    fps = durable(fingerprint_table(docs, shingle, seed))
+    first = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    links = link_fingerprints(first.select(F.lit(0).alias("family"), "fp", F.col("fp").alias("node")), threshold)
     roots = components(links)
     least = roots.join(first.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
-    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first").alias("component_id"))
+    # written, so that the rows of a frequent fingerprint meet it in a join that adaptive execution can split
+    ids = durable(first.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first").alias("component_id")))
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def _by_documents(fps: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes over several families: a fingerprint stands for its smallest doc_id, and links join such documents."""
-    side = lambda name: first.select("family", F.col("fp").alias(name), F.col("first").alias(f"doc_{name}"))
-    across = links.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    within = fps.join(first, ["family", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    roots = components(across.union(within).where("a is not null and b is not null"))
-    mine = fps.where("family = 0").select("doc_id", "fp")
-    return mine.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r")), "doc_id", "left").select("doc_id", "fp", F.coalesce("r", "doc_id").alias("component_id"))
+#: Candidates for near copies: families of fingerprints on pairs of words, which a change of one word moves less than those on
+#: longer shingles; checks: families on the shingles themselves.
+FAMILIES, CHECKS = 4, 3
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 5, threshold: int = 5, families: int = 6) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when of each near-duplicate class only the smallest doc_id does.
+def most_bits(similarity: float, bits: int, spread: float = 1.5) -> int:
+    """Bits of SimHash fingerprints in which texts of a Jaccard similarity differ at most, in 93 of 100 cases: their mean and
+    `spread` deviations. A bit differs with the chance of the angle between the shingles' counts."""
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * chance + spread * math.sqrt(bits * chance * (1 - chance)))
 
-    The defaults find near copies of a Jaccard similarity of 0.8 or more on shingles of five words: at most 5 of 64 bits in
-    any of six families. Repeated rows stay once. Rows without a doc_id stay if no row with one is in their class.
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_key, f0 ... (candidate families), c0 ... (checks), as signed longs."""
+    names = [f"f{k}" for k in range(FAMILIES)] + [f"c{k}" for k in range(CHECKS)]
+
+    def run(batches):
+        for batch in batches:
+            rows = [fingerprints(t, 2, families=FAMILIES) + fingerprints(t, shingle, families=CHECKS) for t in batch["bytes"].to_pylist()]
+            table = np.array(rows, np.uint64).reshape(len(rows), len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names)))], ["doc_id", "text_key", *names])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("bytes"))
+    return rows.mapInArrow(run, f"doc_id bigint, text_key bigint, {', '.join(f'{n} bigint' for n in names)}")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = 5) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text): of each class of near copies the smallest doc_id (null last), of texts with one
+    doc_id the smallest key.
+
+    Two texts are linked if their fingerprints on shingles of `shingle` words, CHECKS * 64 bits, differ in no more bits than
+    those of texts of that Jaccard similarity do (most_bits), and they were compared: that is, a fingerprint on pairs of words
+    differs in at most `threshold` bits in one of FAMILIES families. Classes are the connected texts. Texts with equal
+    fingerprints are one node whatever their number.
+    """
+    small_batches(docs.sparkSession)
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    found = _signatures(docs, shingle)
+    marks = [c for c in found.columns if c not in ("doc_id", "text_key")]
+    nodes = found.groupBy(*marks).agg(F.min(own).alias("least"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    checks = [c for c in marks if c.startswith("c")]
+    families = F.explode(F.array(*(F.struct(F.lit(k).alias("family"), F.col(f"f{k}").alias("fp")) for k in range(FAMILIES))))
+    rows = nodes.select("node", *checks, families.alias("f")).select("f.family", "f.fp", "node", *checks)
+    roots = components(link_fingerprints(rows, threshold, most_bits(similarity, 64 * CHECKS)))
+    classes = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
+    return classes.select("least.doc_id", "least.text_key")
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when of each class of near copies (see representatives) one does.
+
+    The smallest doc_id stays; rows without one are linked like any other and stay if no row with one is in their class. Of
+    rows with one doc_id and one text, the one whose columns have the least hash stays. Null and empty texts are one class; long
+    texts are compared whole; columns of any name are kept; an empty table stays empty.
     """
-    found = near_duplicates(docs, shingle, threshold, families=families)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    stay = durable(representatives(docs, shingle, similarity)).select(F.col("doc_id").alias("stay"), F.col("text_key").alias("key"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("text_key"))
-    return rows.withColumn("copy", copy).where("copy = 1").select("row.*")
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]) & (rows["text_key"] == stay["key"]), "left_semi")
+    return rows.groupBy("id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
