@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and reads it
 back as the next stage's docs. A stage that learns does so from the documents it is given.
+
+For every stage: null and empty texts are judged like any other text (they have no words), long texts are read whole, repeated rows
+are judged alike, ties are broken as the stage's operator states, an empty table gives no rows, and columns of any other name are
+carried along.
 """
 
 from __future__ import annotations
@@ -20,27 +24,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Equal texts, null ones as empty, stay or go together."""
     return keep_good(docs, train_quality(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays (null last); null and empty texts are one
+    group, and of rows with one doc_id and one text one stays."""
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null and empty texts hold none, equal texts go together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced; n_chars becomes the new length. All documents stay."""
+    """Secrets are replaced; n_chars becomes the new length. All documents stay, null and empty texts as they are."""
     return redact_secrets(docs, trained_on(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, target (of the source) and taken (words, repeats counted)."""
+    """Documents that the mix takes, with size, target (of the source) and taken (words, repeats counted). Texts without words
+    have no size and are not taken; documents of one doc_id share a threshold; columns of these names are replaced."""
     mixed = mix(docs, carry=True).where("taken > 0")
     return mixed.select(*(mixed["row"][c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")), "size", "source_size", "target", "taken")
 
@@ -53,7 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing),
 ]
 
-#: SQL can express neither the trained stages nor XXH64; tests/llm/test_pipeline.py holds run() against brute force.
+#: SQL can express neither the trained stages nor XXH64. The stages are held against brute-force versions one by one in tests/llm.
 ORACLE_SQL: str | None = None
 
 
