@@ -107,15 +107,16 @@ def _replicate(nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def forest(fp: np.ndarray, home: np.ndarray, threshold: int, node: np.ndarray | None = None, checks: list[np.ndarray] = (), most: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links between an anchor's home fingerprints and all fingerprints sent to it, as pairs of
-    nodes. Two are linked if they differ in at most `threshold` bits, and their checks in at most `most` bits together."""
+    """What is connected by links between an anchor's home fingerprints and all fingerprints sent to it, as pairs of the
+    smallest node and each other one, so that the anchors where a class meets mostly give the same pairs. Two are linked if they
+    differ in at most `threshold` bits, and their checks in at most `most` bits together."""
     node = fp if node is None else node
     left, edges = np.ones(len(fp), bool), []
     for root in np.flatnonzero(home):
         if not left[root]:
             continue
         left[root] = False
-        queue = [root]
+        queue, met = [root], [np.array([root])]
         while queue:
             u = queue.pop()
             near = np.flatnonzero(left & (home[u] | home))
@@ -123,9 +124,11 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int, node: np.ndarray |
             if len(checks) and len(near):
                 near = near[sum(np.bitwise_count(c[near] ^ c[u]).astype(np.int64) for c in checks) <= most]
             left[near] = False
-            edges += [(u, v) for v in near if node[u] != node[v]]
+            met.append(near)
             queue += near.tolist()
-    return [(int(node[u]), int(node[v])) for u, v in edges]
+        nodes = np.unique(node[np.concatenate(met)])
+        edges += [(int(nodes[0]), int(v)) for v in nodes[1:]]
+    return edges
 
 
 def _compare(rows: DataFrame, keys: list[str], checks: list[str], threshold: int, most: int) -> DataFrame:
