@@ -64,48 +64,53 @@ def path_hints(line: Column) -> Column:
     return F.when(F.size(literals) > 0, F.array_distinct(F.concat(single, both))).otherwise(F.array().cast("array<string>"))
 
 
+def key_of(sources: DataFrame) -> list[str]:
+    """class_name, within its analysis where the table has analysis_id."""
+    return [c for c in ("analysis_id", "class_name") if c in sources.columns]
+
+
 def lines_of(sources: DataFrame) -> DataFrame:
     """class_name, known, n, line: the lines of each file without comments, with the file's constants."""
-    clean = sources.select("class_name", strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
-    return clean.select("class_name", "known", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line"))
+    clean = sources.select(*key_of(sources), strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
+    return clean.select(*key_of(sources), "known", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line"))
 
 
 def file_artifacts(sources: DataFrame, most: int = 20) -> DataFrame:
     """class_name, path_hint, line of calls that open files: the first of each path, at most `most` a class."""
-    found = lines_of(sources).where(F.col("line").rlike(FILE_CALL)).select("class_name", "n", "line", F.posexplode(path_hints(F.col("line"))).alias("k", "path_hint"))
-    first = found.groupBy("class_name", "path_hint").agg(F.min(F.struct("n", "k", F.left(strip(F.col("line")), F.lit(200)).alias("line"))).alias("at"))
-    ranked = first.groupBy("class_name").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "path_hint"))), 1, most).alias("x"))
-    return ranked.select("class_name", F.explode("x").alias("x")).select("class_name", "x.path_hint", "x.at.line")
+    found = lines_of(sources).where(F.col("line").rlike(FILE_CALL)).select(*key_of(sources), "n", "line", F.posexplode(path_hints(F.col("line"))).alias("k", "path_hint"))
+    first = found.groupBy(*key_of(sources), "path_hint").agg(F.min(F.struct("n", "k", F.left(strip(F.col("line")), F.lit(200)).alias("line"))).alias("at"))
+    ranked = first.groupBy(*key_of(sources)).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "path_hint"))), 1, most).alias("x"))
+    return ranked.select(*key_of(sources), F.explode("x").alias("x")).select(*key_of(sources), "x.path_hint", "x.at.line")
 
 
 def log_hints(sources: DataFrame, most: int = 30) -> DataFrame:
     """class_name, level, tag, message: the first log call of a line whose tag and message are known; the first of each, at
     most `most` a class."""
     part = lambda g: F.regexp_extract("line", LOG_CALL, g)
-    found = lines_of(sources).where(F.col("line").rlike(LOG_CALL)).select("class_name", "n", F.lower(part(1)).alias("level"), resolve(part(2), F.col("known")).alias("tag"), resolve(part(3), F.col("known")).alias("message")).where("tag is not null and message is not null")
-    first = found.groupBy("class_name", "tag", "message").agg(F.min(F.struct("n", "level")).alias("at"))
-    ranked = first.groupBy("class_name").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "tag", "message"))), 1, most).alias("x"))
-    return ranked.select("class_name", F.explode("x").alias("x")).select("class_name", "x.at.level", "x.tag", "x.message")
+    found = lines_of(sources).where(F.col("line").rlike(LOG_CALL)).select(*key_of(sources), "n", F.lower(part(1)).alias("level"), resolve(part(2), F.col("known")).alias("tag"), resolve(part(3), F.col("known")).alias("message")).where("tag is not null and message is not null")
+    first = found.groupBy(*key_of(sources), "tag", "message").agg(F.min(F.struct("n", "level")).alias("at"))
+    ranked = first.groupBy(*key_of(sources)).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "tag", "message"))), 1, most).alias("x"))
+    return ranked.select(*key_of(sources), F.explode("x").alias("x")).select(*key_of(sources), "x.at.level", "x.tag", "x.message")
 
 
 def intent_extras(sources: DataFrame) -> DataFrame:
     """class_name, name, type, required, value_hint of each use of an extra; roll up with evidence.required_extras."""
-    clean = sources.select("class_name", strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
+    clean = sources.select(*key_of(sources), strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
     kind = F.lit(None).cast("string")
     for getter, name in GETTER_TYPES.items():
         kind = F.when(F.col("x.m") == getter, name).otherwise(kind)
-    got = clean.select("class_name", "known", F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(_groups(F.col("text"), GET_EXTRA, 1, 2), "ma")))).alias("x")).select("class_name", resolve(F.col("x.a"), F.col("known")).alias("name"), kind.alias("type"), F.lit(False).alias("required"), F.lit(None).cast("string").alias("value_hint"))
-    has = clean.select("class_name", "known", F.explode(_groups(F.col("text"), HAS_EXTRA, 1)[0]).alias("a")).select("class_name", resolve(F.col("a"), F.col("known")).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("value_hint"))
+    got = clean.select(*key_of(sources), "known", F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(_groups(F.col("text"), GET_EXTRA, 1, 2), "ma")))).alias("x")).select(*key_of(sources), resolve(F.col("x.a"), F.col("known")).alias("name"), kind.alias("type"), F.lit(False).alias("required"), F.lit(None).cast("string").alias("value_hint"))
+    has = clean.select(*key_of(sources), "known", F.explode(_groups(F.col("text"), HAS_EXTRA, 1)[0]).alias("a")).select(*key_of(sources), resolve(F.col("a"), F.col("known")).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("value_hint"))
     value = clean_token(F.col("x.v"))
     hint = F.coalesce(resolve(F.col("x.v"), F.col("known")), F.when(value.rlike(r"^(-?\d+|true|false)$"), value))
-    put = clean.select("class_name", "known", F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(_groups(F.col("text"), PUT_EXTRA, 1, 2), "av")))).alias("x")).select("class_name", resolve(F.col("x.a"), F.col("known")).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("required"), hint.alias("value_hint"))
+    put = clean.select(*key_of(sources), "known", F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(_groups(F.col("text"), PUT_EXTRA, 1, 2), "av")))).alias("x")).select(*key_of(sources), resolve(F.col("x.a"), F.col("known")).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("required"), hint.alias("value_hint"))
     return got.union(has).union(put).where("name is not null")
 
 
 def actions(sources: DataFrame) -> DataFrame:
-    clean = sources.select("class_name", strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
-    found = clean.select("class_name", "known", F.explode(_groups(F.col("text"), SET_ACTION, 1)[0]).alias("a"))
-    return found.select("class_name", resolve(F.col("a"), F.col("known")).alias("action")).where("action is not null").distinct()
+    clean = sources.select(*key_of(sources), strip_comments(F.col("text")).alias("text")).withColumn("known", constants(F.col("text")))
+    found = clean.select(*key_of(sources), "known", F.explode(_groups(F.col("text"), SET_ACTION, 1)[0]).alias("a"))
+    return found.select(*key_of(sources), resolve(F.col("a"), F.col("known")).alias("action")).where("action is not null").distinct()
 
 
 def reflection_targets(source: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
-URL = r"https?://[^\s\"'<>]+"
+URL = r"(?i)https?://[^\s\"'<>]+"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
-DOMAIN = r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b"
+#: A domain of a run of letters, digits, dots and hyphens: a match begins where the run does, and is tried once.
+DOMAIN = r"(?<![A-Za-z0-9_.-])[.-]*+(\b[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}\b)"
 BASE64 = r"^[A-Za-z0-9+/]{20,}={0,2}$"
 TOKEN = r"[a-zA-Z0-9_.$]+"
 QUOTED = r'"([^"]*)"'
@@ -47,7 +48,7 @@ def addresses(text: Column) -> Column:
 
 
 def domains(text: Column) -> Column:
-    return sorted_distinct(_all(F.lower(text), DOMAIN))
+    return sorted_distinct(_all(text, DOMAIN, 1))
 
 
 def url_host(url: Column) -> Column:

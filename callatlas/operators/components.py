@@ -78,9 +78,10 @@ def listener_edges(registrations: DataFrame, implementors: DataFrame, most: int
     """Synthetic edges of a listener registration to the methods of its implementors: in the same outer class with high
     confidence, else in the same package with medium, else all with low; the first `most` by name.
 
-    registrations: analysis_id, caller, callsite, listener; implementors: listener, class, method.
+    registrations: analysis_id, caller, callsite, listener; implementors: listener, class, method, and analysis_id, where each
+    analysis has its own.
     """
-    rows = registrations.join(implementors, "listener").withColumn("owner", S.class_of(F.col("caller")))
+    rows = registrations.join(implementors, [c for c in ("analysis_id", "listener") if c in implementors.columns]).withColumn("owner", S.class_of(F.col("caller")))
     tier = F.when(S.outer_class(F.col("owner")) == S.outer_class(F.col("class")), 1).when(S.package_of(F.col("owner")) == S.package_of(F.col("class")), 2).otherwise(3)
     per = rows.withColumn("tier", tier).groupBy("analysis_id", "caller", "callsite", "listener").agg(F.min("tier").alias("best"), F.array_sort(F.collect_set(F.struct("tier", "method"))).alias("x"))
     chosen = F.slice(F.filter("x", lambda x: x["tier"] == F.col("best")), 1, most)
@@ -97,7 +98,8 @@ def callback_edges(callbacks: DataFrame, entries: DataFrame) -> DataFrame:
 
 def hints_for(classes: DataFrame, hints: DataFrame) -> DataFrame:
     """Hints (class, hint) of each class, those of its outer class where it has none."""
-    exact = hints.groupBy("class").agg(F.array_sort(F.collect_set("hint")).alias("own"))
-    outer = exact.select(F.col("class").alias("outer"), F.col("own").alias("outer_own"))
-    rows = classes.withColumn("outer", S.outer_class(F.col("class"))).join(exact, "class", "left").join(outer, "outer", "left")
-    return rows.select("class", F.coalesce("own", "outer_own", F.array().cast("array<string>")).alias("hints"))
+    own = [c for c in ("analysis_id",) if c in hints.columns]
+    exact = hints.groupBy(*own, "class").agg(F.array_sort(F.collect_set("hint")).alias("own"))
+    outer = exact.select(*own, F.col("class").alias("outer"), F.col("own").alias("outer_own"))
+    rows = classes.withColumn("outer", S.outer_class(F.col("class"))).join(exact, [*own, "class"], "left").join(outer, [*own, "outer"], "left")
+    return rows.select(*own, "class", F.coalesce("own", "outer_own", F.array().cast("array<string>")).alias("hints"))

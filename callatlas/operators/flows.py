@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,19 +47,26 @@ def guidance(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def permissions(rows: DataFrame) -> DataFrame:
-    """Each permission's most confident row, the first at a tie, with its own evidence."""
-    return rows.groupBy("permission").agg(F.max_by(F.struct("evidence", "confidence"), F.struct("confidence", -F.col("ord"))).alias("r")).select("permission", "r.*")
-
-
-def coverage_level(extracted: Column, expected: Column) -> Column:
-    share = F.when(expected > 0, extracted / expected).otherwise(1.0)
-    return F.when(share >= 0.9, "full").when(share >= 0.5, "partial").when(share > 0, "minimal").otherwise("none")
-
-
-def drifted(first: Column, second: Column, most: float = 0.3) -> Column:
-    """Whether two counts differ by more than a share of the larger one."""
-    larger = F.greatest(first, second)
-    return F.when(larger > 0, F.abs(first - second) / larger > most).otherwise(False)
+    """permission, evidence, confidence: the most confident row of each, the first at a tie. rows: permission, evidence (array),
+    confidence, ord. Read in order, a row that is more confident than all before takes over their evidence; one that isn't is
+    left out with its own."""
+    w = Window.partitionBy("permission").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max("confidence").over(w)
+    kept = rows.withColumn("_best", best).where(F.col("_best").isNull() | (F.col("confidence") > F.col("_best")))
+    return kept.groupBy("permission").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.max("confidence").alias("confidence"))
+
+
+def coverage_level(n_calls: Column, n_guards: Column, has_entrypoint: Column, n_ambiguous: Column) -> Column:
+    """COMPLETE with call sites, guards, an entrypoint and nothing ambiguous; MINIMAL with neither call sites nor guards;
+    else PARTIAL."""
+    whole = (n_calls > 0) & (n_guards > 0) & has_entrypoint & (n_ambiguous == 0)
+    return F.when(whole, "COMPLETE").when((n_calls == 0) & (n_guards == 0), "MINIMAL").otherwise("PARTIAL")
+
+
+def drifted(extracted: Column, listed: Column, most: float = 0.3) -> Column:
+    """Whether the number of extracted call sites is off the listed one by more than a share of it; any is, where none is
+    listed."""
+    return F.when(listed == 0, extracted > 0).otherwise(F.abs(listed - extracted) / listed > most)
 
 
 def feasibility(rows: DataFrame) -> DataFrame:

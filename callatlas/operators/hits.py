@@ -18,6 +18,13 @@ STRICT_WEIGHTS = {"soot_cg": 1, "jimple_invoke": 2}
 SYNTHETIC_WEIGHTS = {"threading_synthetic": (3, 5, 8), "listener_synthetic": (4, 6, 10)}
 
 
+#: Parts of signatures that stand for reflection and loading of classes.
+REFLECTION_PATTERNS = (
+    "java.lang.reflect.Method", "java.lang.reflect.Constructor", "java.lang.reflect.Field", "java.lang.Class.forName", "java.lang.Class.getDeclaredMethod", "java.lang.Class.getMethod",
+    "java.lang.Class.getDeclaredConstructor", "java.lang.Class.newInstance", "dalvik.system.DexClassLoader", "dalvik.system.PathClassLoader", "dalvik.system.InMemoryDexClassLoader", "java.lang.ClassLoader.loadClass",
+)
+
+
 def usable_edges(edges: DataFrame) -> DataFrame:
     return edges.where((F.length("caller") > 0) & (F.length("callee") > 0))
 
@@ -39,34 +46,37 @@ def exact_matches(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def hierarchy_matches(edges: DataFrame, catalog: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Callees that the catalog misses, matched by method, return type and parameters where one class is the other's
-    supertype. subtypes: class, supertype (transitive)."""
+    supertype. subtypes: class, supertype (transitive), and analysis_id, where each analysis has its own."""
     missed = edges.join(catalog.select(F.col("signature").alias("callee")).distinct(), "callee", "left_anti")
     key = lambda c: [S.method_of(c), S.return_of(c), F.array_join(S.params_of(c), ",")]
     names = ["m", "r", "p"]
     left = missed.select("*", S.class_of(F.col("callee")).alias("callee_class"), *(e.alias(n) for n, e in zip(names, key(F.col("callee")))))
     right = catalog.select("*", S.class_of(F.col("signature")).alias("catalog_class"), *(e.alias(n) for n, e in zip(names, key(F.col("signature")))))
     pairs = left.join(right, names)
-    either = subtypes.select(F.col("class").alias("c1"), F.col("supertype").alias("c2")).distinct()
-    both = either.union(either.select("c2", "c1")).distinct()
-    related = pairs.join(both, (pairs["callee_class"] == both["c1"]) & (pairs["catalog_class"] == both["c2"]), "left_semi")
+    own = [c for c in ("analysis_id",) if c in subtypes.columns]
+    either = subtypes.select(*own, F.col("class").alias("c1"), F.col("supertype").alias("c2")).distinct()
+    both = either.union(either.select(*own, "c2", "c1")).distinct()
+    related = pairs.withColumn("c1", F.col("callee_class")).withColumn("c2", F.col("catalog_class")).join(both, [*own, "c1", "c2"], "left_semi").drop("c1", "c2")
     same = pairs.where("callee_class = catalog_class")
     return related.unionByName(same).drop(*names, "callee_class", "catalog_class").withColumn("match_type", F.lit("hierarchy"))
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
     """One hit for each caller, callee and category: the first by ord, with its id."""
-    w = Window.partitionBy("analysis_id", "caller", "callee", "category_id").orderBy("ord")
-    kept = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    key = ["analysis_id", "caller", "callee", "category_id"]
+    rest = F.struct(*[c for c in hits.columns if c not in key])
+    kept = hits.groupBy(*key).agg(F.min_by(rest, "ord").alias("_first")).select(*key, "_first.*")
     return kept.withColumn("hit_id", S.sha1_id("hit-", F.col("category_id"), F.col("caller"), F.col("callee")))
 
 
 def by_category(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("priority").alias("priority"), F.max("weight").alias("weight"))
+    return hits.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min_by("priority", S.priority_rank(F.col("priority"))).alias("priority"), F.max("weight").alias("weight"))
 
 
 def ranked(hits: DataFrame, n: int | None = None) -> DataFrame:
-    """Rank within an analysis: priority, then investigability and weight (both falling), then ord; the first n if given."""
-    w = Window.partitionBy("analysis_id").orderBy(S.priority_rank(F.col("priority")), F.desc("investigability"), F.desc("weight"), "ord")
+    """Rank within an analysis: priority, then investigability and weight (both falling), then ord, caller and callee; the first
+    n if given."""
+    w = Window.partitionBy("analysis_id").orderBy(S.priority_rank(F.col("priority")), F.desc("investigability"), F.desc("weight"), "ord", "caller", "callee")
     out = hits.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= n) if n else out
 
@@ -92,10 +102,16 @@ def best_edges(edges: DataFrame, weight: Column) -> DataFrame:
     return best.select("analysis_id", "caller", "callee", "v.*", F.col("k.w").alias("weight"))
 
 
-def investigability(reachable: Column, length: Column, is_app: Column, reflection_free: Column, exported: Column, slice_hint: Column) -> Column:
-    """Sum of what makes a hit worth following; an empty path counts as free of reflection."""
-    near = F.when(length <= 5, 0.15).when(length <= 10, 0.10).otherwise(0.05)
-    return (F.when(reachable, F.lit(0.25) + near).otherwise(0.0) + F.when(reflection_free, 0.20).otherwise(0.0) + F.when(is_app, 0.10).otherwise(0.0) + F.when(exported | slice_hint, 0.20).otherwise(0.0))
+def investigability(reachable: Column, length: Column, path: Column, component_type: Column, is_app: Column) -> Column:
+    """struct<score, reachable, path_len, component_known, caller_is_app, reflection_free, reflection_sites>: how well static
+    analysis can follow a hit. Reachable 0.25; a path of up to 3 hops 0.15, 6 0.10, 10 0.05, reachable or not; a known
+    component 0.20; a caller of the app 0.10; no reflection on the path, an empty one included, 0.20."""
+    sites = F.filter(F.array(*map(F.lit, REFLECTION_PATTERNS)), lambda p: F.exists(F.coalesce(path, F.array().cast("array<string>")), lambda m: F.contains(m, p)))
+    known, free = F.coalesce(component_type, F.lit("Unknown")) != "Unknown", F.size(sites) == 0
+    near = F.when(length <= 3, 0.15).when(length <= 6, 0.10).when(length <= 10, 0.05).otherwise(0.0)
+    part = lambda c, w: F.when(c, w).otherwise(0.0)
+    score = F.least(part(reachable, 0.25) + near + part(known, 0.20) + part(is_app, 0.10) + part(free, 0.20), F.lit(1.0))
+    return F.struct(F.round(score, 6).alias("score"), reachable.alias("reachable"), length.alias("path_len"), known.alias("component_known"), is_app.alias("caller_is_app"), free.alias("reflection_free"), sites.alias("reflection_sites"))
 
 
 def component_contexts(hits: DataFrame, components: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def static_context(manifest: DataFrame, strings: DataFrame, most: int = 200) ->
 def fallback_cases(groups: DataFrame) -> DataFrame:
     """A case for each group, for when none was made: CASE-GRP- and the first 8 characters of the group's digest."""
     digest = F.regexp_replace("group_id", "^grp-", "")
-    return groups.select("analysis_id", F.concat(F.lit("CASE-GRP-"), F.left(digest, F.lit(8))).alias("case_id"), "group_id", F.row_number().over(Window.partitionBy("analysis_id").orderBy("ord")).alias("place"))
+    return groups.select("analysis_id", F.concat(F.lit("CASE-GRP-"), F.left(digest, F.lit(8))).alias("case_id"), "group_id", F.row_number().over(Window.partitionBy("analysis_id").orderBy("ord", "group_id")).alias("place"))
 
 
 def component_hints(seeds: DataFrame, paths: DataFrame, manifest: DataFrame) -> DataFrame:

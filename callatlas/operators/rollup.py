@@ -27,7 +27,7 @@ def groups(hits: DataFrame) -> DataFrame:
 
 
 def blocks(group_rows: DataFrame) -> DataFrame:
-    """Groups of one outer class: categories together, sums, best priority, any reachable, shortest path."""
+    """Groups of one outer class: categories together, sums, best priority, mean score."""
     rows = group_rows.withColumn("outer", S.outer_class(F.col("caller_class")))
     return rows.groupBy("analysis_id", "outer").agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum("n_hits").alias("n_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"),
@@ -61,22 +61,34 @@ def dominant(rows: DataFrame, key: str) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.max("n").alias("n"))), "n").select(key, "n")
 
 
-def stratified_preview(rows: DataFrame, priority: str, order: list, limit: int, shares=(("CRITICAL", 0.4), ("HIGH", 0.3), ("MEDIUM", 0.2), ("LOW", 0.1))) -> DataFrame:
-    """At most `limit` rows, each priority up to its share; what a priority leaves is given to the others in turn, largest
-    rest first. Only the number of rows of each priority comes to the driver."""
-    have = {r[priority]: r["n"] for r in rows.groupBy(priority).agg(F.count(F.lit(1)).alias("n")).collect()}
+def preview_shares(have: dict[str, int], limit: int, shares=(("CRITICAL", 0.4), ("HIGH", 0.3), ("MEDIUM", 0.2), ("LOW", 0.1))) -> dict[str, int]:
+    """Rows to take of each priority: its share of the limit; then what is left by how many rows each still has, rounded
+    down; then the rest to the priorities with the most rows left, in order of priority at a tie."""
+    names = [p for p, _ in shares]
     take = {p: min(have.get(p, 0), int(limit * s)) for p, s in shares}
-    while (left := limit - sum(take.values())) > 0:
-        p = max((p for p, _ in shares), key=lambda p: have.get(p, 0) - take[p])
-        more = min(left, have.get(p, 0) - take[p])
-        if more <= 0:
-            break
-        take[p] += more
+    spare = {p: have.get(p, 0) - take[p] for p in names}
+    left, total = limit - sum(take.values()), sum(spare.values())
+    if left > 0 and total > 0:
+        for p in names:
+            take[p] += min(int(left * spare[p] / total), spare[p])
+    for p in sorted(names, key=lambda p: take[p] - have.get(p, 0)):
+        take[p] += max(0, min(limit - sum(take.values()), have.get(p, 0) - take[p]))
+    return take
+
+
+def stratified_preview(rows: DataFrame, priority: str, order: list, limit: int) -> DataFrame:
+    """At most `limit` rows, shared out among the priorities (preview_shares), in each the first in `order`.
+
+    Only the number of rows of each priority comes to the driver. The rank is bounded by a literal, so each partition keeps
+    no more than `limit` rows of a priority before they meet.
+    """
+    have = {r[priority]: r["n"] for r in rows.groupBy(priority).agg(F.count(F.lit(1)).alias("n")).collect()}
+    take = preview_shares(have, limit)
     quota = F.lit(0)
     for p, n in take.items():
         quota = F.when(F.col(priority) == p, n).otherwise(quota)
     numbered = rows.withColumn("stratum_rank", F.row_number().over(Window.partitionBy(priority).orderBy(*order)))
-    return numbered.where(F.col("stratum_rank") <= quota)
+    return numbered.where(F.col("stratum_rank") <= max(take.values())).where(F.col("stratum_rank") <= quota)
 
 
 def capped(rows: DataFrame, key: list[str], distinct: list[str], order: str, most: int) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share and which has to be set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callatlas-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

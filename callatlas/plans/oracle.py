@@ -11,8 +11,8 @@ edges AS (
          CASE WHEN l_suppkey % 10 = 0 THEN 'framework' WHEN s_nationkey % 7 = 0 THEN 'library' WHEN s_nationkey > 20 THEN 'not_app' ELSE 'kept' END AS reason
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 _CATALOG = "catalog(kind, category_id, priority, weight, prank) AS (VALUES ('PROMO', 'CAT_PROMO', 'CRITICAL', CAST(0.9 AS DOUBLE), 1), ('ECONOMY', 'CAT_ECONOMY', 'HIGH', CAST(0.6 AS DOUBLE), 2), ('STANDARD', 'CAT_STANDARD', 'MEDIUM', CAST(0.4 AS DOUBLE), 3), ('LARGE', 'CAT_LARGE', 'LOW', CAST(0.2 AS DOUBLE), 4))"
-_HITS = f"{_EDGES}, {_CATALOG}, hits AS (SELECT DISTINCT caller, callee, category_id, priority, weight, prank, l_suppkey, s_nationkey, CAST(0.05 AS DOUBLE) * (l_suppkey % 11) AS investigability FROM edges JOIN catalog ON kind = p_type WHERE reason = 'kept')"
-_GROUPS = f"{_HITS}, groups AS (SELECT caller, s_nationkey, l_suppkey, count(*) AS n_hits, string_agg(DISTINCT category_id, '|' ORDER BY category_id) AS categories, min(prank) AS prank, count(*) FILTER (priority = 'CRITICAL') AS n_critical, count(*) FILTER (priority = 'HIGH') AS n_high, count(*) FILTER (priority = 'MEDIUM') AS n_medium, count(*) FILTER (priority = 'LOW') AS n_low, round(avg(investigability), 6) AS investigability, max(weight) AS weight FROM hits GROUP BY ALL)"
+_HITS = f"{_EDGES}, {_CATALOG}, hits AS (SELECT caller, callee, category_id, priority, weight, prank, l_suppkey, s_nationkey, CAST(0.05 AS DOUBLE) * (l_suppkey % 11) AS investigability, min(ord) AS ord FROM edges JOIN catalog ON kind = p_type WHERE reason = 'kept' GROUP BY caller, callee, category_id, priority, weight, prank, l_suppkey, s_nationkey)"
+_GROUPS = f"{_HITS}, groups AS (SELECT caller, s_nationkey, l_suppkey, count(*) AS n_hits, string_agg(DISTINCT category_id, '|' ORDER BY category_id) AS categories, min(prank) AS prank, count(*) FILTER (priority = 'CRITICAL') AS n_critical, count(*) FILTER (priority = 'HIGH') AS n_high, count(*) FILTER (priority = 'MEDIUM') AS n_medium, count(*) FILTER (priority = 'LOW') AS n_low, round(avg(investigability), 6) AS investigability, max(weight) AS weight, min(ord) AS ord FROM hits GROUP BY ALL)"
 _GROUPS = _GROUPS.replace("GROUP BY ALL", "GROUP BY caller, s_nationkey, l_suppkey")
 _NAME = "CASE prank WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END"
 _DAYS = "days AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, list_sort(list(DISTINCT event_type)) AS c FROM events GROUP BY ALL)"
@@ -72,8 +72,8 @@ SELECT c_custkey, CAST({count} AS BIGINT) AS n_patterns, round(CAST(0.3 + {boost
 _TOK = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_.$]+')), lambda x: length(x) > 2)"
 
 SQL = {
-    "hits_by_category": f"WITH {_HITS} SELECT category_id, count(*) AS n_hits, max(priority) AS priority, max(weight) AS weight FROM hits GROUP BY category_id",
-    "hits_ranked_topk": f"WITH {_HITS} SELECT caller, callee, priority, row_number() OVER (ORDER BY prank, investigability DESC, weight DESC, caller, callee) AS rank FROM hits QUALIFY rank <= 50",
+    "hits_by_category": f"WITH {_HITS} SELECT category_id, count(*) AS n_hits, arg_min(priority, prank) AS priority, max(weight) AS weight FROM hits GROUP BY category_id",
+    "hits_ranked_topk": f"WITH {_HITS} SELECT caller, callee, priority, row_number() OVER (ORDER BY prank, investigability DESC, weight DESC, ord, caller, callee) AS rank FROM hits QUALIFY rank <= 50",
     "hits_hierarchy_match": f"WITH {_EDGES} SELECT 'CAT_PROMO' AS category_id, callee, count(*) AS n, count(DISTINCT caller) AS n_callers FROM edges WHERE p_type = 'SMALL' GROUP BY callee",
     "filter_reason_counts": f"WITH {_EDGES} SELECT reason, count(*) AS n FROM edges GROUP BY reason",
     "best_edge_per_pair": f"""WITH {_EDGES}, w AS (SELECT *, CASE edge_source WHEN 'threading_synthetic' THEN CASE WHEN confidence = 'high' THEN 3 ELSE 5 END WHEN 'soot_cg' THEN 1 ELSE 2 END AS weight FROM edges)
@@ -139,7 +139,7 @@ SELECT s_suppkey, '<' || class || ': void run(int,long[],java.lang.String)>' AS
 SELECT component, extra, CASE WHEN count(DISTINCT k % 2) > 1 THEN 'mixed' WHEN max(k % 2) = 0 THEN 'int' ELSE 'string' END AS type, bool_or(value > 60) AS required, string_agg(DISTINCT 'h' || (k % 3), '|' ORDER BY 'h' || (k % 3)) AS hints FROM e GROUP BY component, extra""",
     "capped_buckets": "WITH f AS (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role) SELECT conv_id, role, first_turn, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) AS n FROM f QUALIFY n <= 2",
     "confidence_formula": """WITH g AS (SELECT doc_id % 20 AS seed, avg(quality) AS q, avg(toxic) AS x, count(*) AS n FROM labels GROUP BY 1)
-SELECT seed, round(CAST(0.3 AS DOUBLE) * q + CAST(0.4 AS DOUBLE) * x + CAST(0.3 AS DOUBLE) * (n / 100), 6) AS raw, CASE WHEN x > 0.5 OR 1 - q > 0.5 THEN 'failed' WHEN x > 0 OR 1 - q > 0.2 THEN 'partial' ELSE 'ok' END AS status FROM g""",
+SELECT seed, round(CAST(0.3 AS DOUBLE) * q + CAST(0.4 AS DOUBLE) * x + CAST(0.3 AS DOUBLE) * (n / 1000), 2) AS raw, CASE WHEN x > 0.5 OR 1 - q > 0.5 THEN 'failed' WHEN x > 0 OR 1 - q > 0.2 THEN 'partial' ELSE 'ok' END AS status FROM g""",
     "reflection_verdicts": """WITH h AS (SELECT o_orderkey, o_custkey % 1000 AS caller, o_orderpriority = '1-URGENT' AS r, o_orderpriority = '2-HIGH' AS c, o_totalprice > 400000 AS s FROM orders),
 f AS (SELECT caller, count(*) FILTER (r) AS n, bool_or(c) AS c FROM h GROUP BY caller)
 SELECT o_orderkey AS hit_id, CASE WHEN s THEN 'sensitive_target' WHEN n > 1 THEN 'obfuscated_chain' WHEN f.c THEN 'crypto_chain' END AS verdict FROM h JOIN f USING (caller) WHERE r""",
@@ -170,7 +170,8 @@ SELECT flow_id, count(*) AS n_methods, string_agg(summary, ' → ' ORDER BY pos)
 SELECT flow_id, CASE WHEN bool_and(f = 'full') THEN 'full' WHEN bool_or(f = 'blocked') THEN 'blocked' ELSE 'partial' END AS feasibility FROM f GROUP BY flow_id""",
     "model_call_tabs": """SELECT 'All' AS tab, count(*) AS n, CAST(-2 AS BIGINT) AS first FROM events UNION ALL SELECT 'Recon', count(*), -1 FROM events WHERE event_type = 'view'
 UNION ALL SELECT 's' || user_id, count(*), min(event_id) FROM events WHERE event_type <> 'view' GROUP BY user_id""",
-    "permission_best": "SELECT CAST(user_id AS VARCHAR) AS permission, event_type AS evidence, value AS confidence FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
+    "permission_best": """WITH r AS (SELECT user_id, event_type || (event_id % 7) AS e, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+SELECT CAST(user_id AS VARCHAR) AS permission, string_agg(DISTINCT e, '|' ORDER BY e) AS evidence, max(value) AS confidence FROM r WHERE before IS NULL OR value > before GROUP BY user_id""",
     "confidence_histogram": "SELECT printf('%.1f', p_size / 50) AS confidence, count(*) AS n FROM part GROUP BY 1",
     "hints_with_fallback": """WITH c AS (SELECT DISTINCT s_nationkey AS k, 'n' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '$S' || s_suppkey ELSE '' END AS class FROM supplier)
 SELECT class, coalesce((SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) FROM customer WHERE c_nationkey = k AND k % 3 = 0), '') AS hints FROM c""",
@@ -178,4 +179,34 @@ SELECT class, coalesce((SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_
     "timeline_order": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events",
     "catalog_pattern_scores": _catalog_scores(),
     "ledger_stream_available_now": "SELECT user_id, event_type AS stage, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1, 2",
+    "hit_investigability": """SELECT o_orderkey, round(CAST(CASE WHEN o_orderstatus = 'F' THEN 0.25 ELSE 0 END + CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 13 <= 3 THEN 0.15 WHEN o_orderkey % 13 <= 6 THEN 0.10 WHEN o_orderkey % 13 <= 10 THEN 0.05 ELSE 0 END
+  + CASE WHEN o_custkey % 2 = 1 THEN 0.20 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 0.10 ELSE 0 END + CASE WHEN o_custkey % 3 > 0 AND o_custkey % 5 > 0 THEN 0.20 ELSE 0 END AS DOUBLE), 6) AS score,
+  o_custkey % 3 > 0 AND o_custkey % 5 > 0 AS reflection_free, concat_ws('|', CASE WHEN o_custkey % 3 = 0 THEN 'java.lang.Class.forName' END, CASE WHEN o_custkey % 5 = 0 THEN 'dalvik.system.DexClassLoader' END) AS sites FROM orders""",
+    "preview_shared_out": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN 'CRITICAL' WHEN o_orderkey % 500 < 5 THEN 'HIGH' WHEN o_orderkey % 500 < 50 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM orders),
+h AS (SELECT p, k, q, count(priority) AS have FROM (VALUES ('CRITICAL', 1, 400), ('HIGH', 2, 300), ('MEDIUM', 3, 200), ('LOW', 4, 100)) x(p, k, q) LEFT JOIN o ON priority = p GROUP BY p, k, q),
+a AS (SELECT p, k, have, least(have, q) AS t1 FROM h),
+b AS (SELECT *, t1 + CASE WHEN sum(have - t1) OVER () > 0 THEN least(have - t1, CAST(floor((1000 - sum(t1) OVER ()) * (have - t1) / sum(have - t1) OVER ()) AS BIGINT)) ELSE 0 END AS t2 FROM a),
+c AS (SELECT *, t2 + greatest(0, least(have - t2, 1000 - sum(t2) OVER () - coalesce(sum(have - t2) OVER (ORDER BY have - t2 DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM b)
+SELECT o_orderkey, priority FROM o JOIN c ON p = priority QUALIFY row_number() OVER (PARTITION BY priority ORDER BY o_orderkey) <= take""",
+    "extraction_coverage": """WITH o AS (SELECT o_custkey, count(*) AS c, count(*) FILTER (o_orderstatus = 'F') AS g, count(*) FILTER (o_orderstatus = 'P') AS a FROM orders GROUP BY o_custkey),
+x AS (SELECT c_custkey, c_mktsegment, coalesce(c, 0) AS c, coalesce(g, 0) AS g, coalesce(a, 0) AS a FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+SELECT c_custkey, CASE WHEN c > 0 AND g > 0 AND c_mktsegment = 'BUILDING' AND a = 0 THEN 'COMPLETE' WHEN c = 0 AND g = 0 THEN 'MINIMAL' ELSE 'PARTIAL' END AS level, CASE WHEN c = 0 THEN g > 0 ELSE abs(c - g) / c > 0.3 END AS drifted FROM x""",
+    "ioc_domains": r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b')) AS domain FROM documents",
+    "ioc_urls": "SELECT page_id, url FROM pages UNION SELECT page_id, regexp_replace(url, '^http', 'HTTP') FROM pages",
+    "method_usage": "SELECT l_partkey AS method, count(*) AS n, count(DISTINCT l_orderkey) AS n_flows FROM lineitem GROUP BY l_partkey",
+    "call_texts": f"WITH {_EDGES} SELECT caller, callee, 'line ' || min(ord) AS callsite FROM edges GROUP BY caller, callee",
+    "flow_inputs": "SELECT user_id AS flow_id, event_type AS type, CAST(event_id % 3 AS VARCHAR) AS name, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type, event_id % 3",
+    "callback_edges": "SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'site' || (s_suppkey % 9) ELSE '<app.N' || s_nationkey || ': void onCreate()>' END AS caller, 'm' || s_suppkey AS callee FROM supplier WHERE s_suppkey % 3 = 0 OR s_nationkey < 20",
+    "kept_cases": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 500000 ELSE 0 END >= 0.5)",
+    "fallback_cases": f"WITH {_GROUPS} SELECT 'CASE-GRP-' || substr(sha1(caller), 1, 8) AS case_id, 'grp-' || sha1(caller) AS group_id, row_number() OVER (ORDER BY ord, 'grp-' || sha1(caller)) AS place FROM groups",
+    "changed_runs": "SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0",
+    "bare_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "bundle_keys": "SELECT CASE WHEN o_orderkey % 4 > 0 THEN 'CASE:' || o_custkey || ':' || o_orderstatus ELSE 'SINGLE:' || o_orderkey END AS key, count(*) AS n FROM orders GROUP BY 1",
+    "api_permissions": f"WITH {_EDGES}, s AS (SELECT DISTINCT callee AS signature FROM edges) SELECT signature, concat_ws('|', CASE WHEN contains(signature, 'promo.') THEN 'P1' END, CASE WHEN contains(signature, '.P7') THEN 'P2' END, CASE WHEN contains(signature, 'economy') THEN 'P3' END, CASE WHEN contains(signature, 'P77') THEN 'P4' END) AS permissions FROM s",
+    "rule_subset": f"WITH {_CATALOG}, s AS (SELECT '<tpch.' || lower(kind) || '.P' || p || ': void call(int)>' AS signature, category_id FROM catalog, range(0, 100) r(p)) SELECT * FROM s WHERE lower(signature) LIKE '%p1%' OR lower(signature) LIKE '%promo%'",
+    "framework_flags": "SELECT s_suppkey, s_suppkey % 2 = 0 AND s_suppkey % 3 > 0 AND s_suppkey % 4 = 0 AS is_framework FROM supplier",
+    "safe_ids": "SELECT page_id, left(trim(regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g'), '._-'), 60) AS id FROM pages",
+    "printable_runs": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x20-\x7e]{4,}')) AS BIGINT) AS n FROM documents",
+    "best_claims": "SELECT o_custkey, arg_max(o_orderkey, (round(o_totalprice / 500000, 1), -o_orderkey)) AS o_orderkey, max(round(o_totalprice / 500000, 1)) AS confidence FROM orders GROUP BY o_custkey",
+    "hand_off_errors": "SELECT * FROM (SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderstatus = 'P' THEN 'status' END, CASE WHEN o_totalprice >= 400000 THEN 'price' END, CASE WHEN o_custkey % 10 = 0 THEN 'customer' END) AS errors FROM orders) WHERE errors <> ''",
 }

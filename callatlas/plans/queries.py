@@ -9,7 +9,7 @@ from ..functions import signatures as S
 from ..functions import source as X2
 from ..functions import text as X
 from ..operators import components as C
-from ..operators import evidence, flows, hits, rollup, rules, triage
+from ..operators import evidence, flows, hits, lookups, rollup, rules, triage
 from ..streaming import ledger as L
 from . import adapters as A
 from . import graph
@@ -42,9 +42,7 @@ def hits_by_category(t) -> DataFrame:
 
 @query
 def hits_ranked_topk(t) -> DataFrame:
-    w = Window.orderBy(S.priority_rank(F.col("priority")), F.desc("investigability"), F.desc("weight"), "caller", "callee")
-    top = A.hits(t).orderBy(S.priority_rank(F.col("priority")), F.desc("investigability"), F.desc("weight"), "caller", "callee").limit(50)
-    return top.select("caller", "callee", "priority", F.row_number().over(w).cast("bigint").alias("rank"))
+    return hits.ranked(A.hits(t), 50).select("caller", "callee", "priority", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
@@ -310,8 +308,7 @@ def capped_buckets(t) -> DataFrame:
 @query
 def confidence_formula(t) -> DataFrame:
     g = t.labels.groupBy((F.col("doc_id") % 20).alias("seed")).agg(F.avg("quality").alias("q"), F.avg("toxic").alias("x"), F.count(F.lit(1)).alias("n"))
-    score = F.lit(0.3) * F.col("q") + F.lit(0.4) * F.col("x") + F.lit(0.3) * (F.col("n") / 100)
-    return g.select("seed", F.round(score, 6).alias("raw"), evidence.phase_status(F.col("x"), 1 - F.col("q")).alias("status"))
+    return g.select("seed", evidence.confidence(F.col("q"), F.col("x"), F.col("n") / 1000).alias("raw"), evidence.phase_status(F.col("x"), 1 - F.col("q")).alias("status"))
 
 
 @query
@@ -431,8 +428,8 @@ def model_call_tabs(t) -> DataFrame:
 
 @query
 def permission_best(t) -> DataFrame:
-    p = t.events.select(F.col("user_id").cast("string").alias("permission"), F.col("event_type").alias("evidence"), F.col("value").alias("confidence"), F.col("event_id").alias("ord"))
-    return flows.permissions(p)
+    p = t.events.select(F.col("user_id").cast("string").alias("permission"), F.array(F.concat("event_type", F.col("event_id") % 7)).alias("evidence"), F.col("value").alias("confidence"), F.col("event_id").alias("ord"))
+    return flows.permissions(p).select("permission", joined("evidence").alias("evidence"), "confidence")
 
 
 @query
@@ -485,3 +482,140 @@ def ledger_stream_available_now(t) -> DataFrame:
     query_ = query_.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
     query_.awaitTermination()
     return t.spark.read.parquet(f"{at}/out")
+
+
+# Operators that the queries above leave out.
+
+
+@query
+def hit_investigability(t) -> DataFrame:
+    site = F.when(F.col("o_custkey") % 3 == 0, "<java.lang.Class.forName(x)>").otherwise("<a.B: void m()>")
+    more = F.when(F.col("o_custkey") % 5 == 0, "<dalvik.system.DexClassLoader: void x()>").otherwise("<c.D: void m()>")
+    kind = F.when(F.col("o_custkey") % 2 == 0, "Unknown").otherwise("activity")
+    length = F.when(F.col("o_orderkey") % 17 > 0, F.col("o_orderkey") % 13)
+    x = hits.investigability(F.col("o_orderstatus") == "F", length, F.array(site, more), kind, F.col("o_totalprice") > 200000)
+    return t.orders.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.score", "x.reflection_free", joined("x.reflection_sites").alias("sites"))
+
+
+@query
+def preview_shared_out(t) -> DataFrame:
+    """Few orders of the upper priorities, so that their places are shared out among the others."""
+    k = F.col("o_orderkey") % 500
+    o = t.orders.select("o_orderkey", F.when(k == 0, "CRITICAL").when(k < 5, "HIGH").when(k < 50, "MEDIUM").otherwise("LOW").alias("priority"))
+    return rollup.stratified_preview(o, "priority", ["o_orderkey"], 1000).select("o_orderkey", "priority")
+
+
+@query
+def extraction_coverage(t) -> DataFrame:
+    o = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("o_orderstatus") == "F").alias("guards"), F.count_if(F.col("o_orderstatus") == "P").alias("ambiguous"))
+    c = t.customer.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").fillna(0)
+    level = flows.coverage_level(F.col("calls"), F.col("guards"), F.col("c_mktsegment") == "BUILDING", F.col("ambiguous"))
+    return c.select("c_custkey", level.alias("level"), flows.drifted(F.col("guards"), F.col("calls")).alias("drifted"))
+
+
+@query
+def ioc_domains(t) -> DataFrame:
+    return t.documents.select("doc_id", F.explode(X.domains(F.col("text"))).alias("domain"))
+
+
+@query
+def ioc_urls(t) -> DataFrame:
+    text = F.concat(F.lit("see <"), F.regexp_replace("url", "^http", "HTTP"), F.lit("> and '"), F.col("url"), F.lit("'"))
+    return t.pages.select("page_id", F.explode(X.urls(text)).alias("url"))
+
+
+@query
+def method_usage(t) -> DataFrame:
+    path = t.lineitem.select(F.col("l_orderkey").alias("flow_id"), F.col("l_partkey").alias("method"))
+    return flows.method_usage(path).select("method", "n", F.size("flows").cast("bigint").alias("n_flows"))
+
+
+@query
+def call_texts(t) -> DataFrame:
+    e = A.edges(t).select("caller", "callee", "ord", F.concat(F.lit("line "), "ord").alias("callsite"))
+    return flows.call_texts(e.select("caller", "callee").distinct(), e)
+
+
+@query
+def flow_inputs(t) -> DataFrame:
+    i = t.events.select(F.col("user_id").alias("flow_id"), F.col("event_type").alias("type"), (F.col("event_id") % 3).cast("string").alias("name"), "value", F.col("event_id").alias("ord"))
+    return flows.first_inputs(i).select("flow_id", "type", "name", "value")
+
+
+@query
+def callback_edges(t) -> DataFrame:
+    cb = t.supplier.select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("m"), "s_suppkey").alias("method"), F.concat(F.lit("app.N"), "s_nationkey").alias("component"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("site"), F.col("s_suppkey") % 9)).alias("registration_site"))
+    return C.callback_edges(cb, _declared(t).select("analysis_id", F.concat(F.lit("<"), "name", F.lit(": void onCreate()>")).alias("method"))).select("caller", "callee")
+
+
+@query
+def kept_cases(t) -> DataFrame:
+    o = t.orders.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("should_prune"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") / 500000).alias("pruning_confidence"))
+    return triage.keep_cases(o, 0.5).select("o_orderkey")
+
+
+@query
+def fallback_cases(t) -> DataFrame:
+    return lookups.fallback_cases(rollup.groups(A.hits(t))).select("case_id", "group_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query
+def changed_runs(t) -> DataFrame:
+    """Users whose summary errors change."""
+    summary = lambda e: e.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    return lookups.changed_runs(summary(t.events.where("event_type <> 'error'")), summary(t.events)).select("run_id", "n")
+
+
+@query
+def bare_runs(t) -> DataFrame:
+    """Customers as run folders, urgent orders as ledgers."""
+    run = lambda d, c: d.select((F.col(c) % 5).alias("analysis_id"), F.col(c).alias("run_id"))
+    return lookups.bare_runs(run(t.customer, "c_custkey"), run(t.orders.where("o_orderpriority = '1-URGENT'"), "o_custkey").distinct()).select("run_id")
+
+
+@query
+def bundle_keys(t) -> DataFrame:
+    key = lookups.bundle_key(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey").cast("string")), F.col("o_orderstatus"), F.col("o_orderkey").cast("string"))
+    return t.orders.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def api_permissions(t) -> DataFrame:
+    m = t.spark.createDataFrame([("promo.", "P1"), (".P7", "P2"), ("economy", "P3"), ("P77", "P4")], "api string, permission string")
+    p = C.permissions_for(A.edges(t).select(F.col("callee").alias("signature")).distinct(), m)
+    return p.select("signature", joined("permissions").alias("permissions"))
+
+
+@query
+def rule_subset(t) -> DataFrame:
+    words = t.spark.createDataFrame([("P1",), ("promo",)], "keyword string")
+    return lookups.rule_subset(A.catalog(t), words).select("signature", "category_id")
+
+
+@query
+def framework_flags(t) -> DataFrame:
+    nodes = t.supplier.where("s_suppkey % 2 = 0").select(F.lit("tpch").alias("analysis_id"), F.col("s_suppkey").alias("ord"), A.caller_of(F.col("s_nationkey"), F.col("s_suppkey")).alias("method"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 4 == 0).alias("is_android_framework"))
+    e = t.supplier.select(F.lit("tpch").alias("analysis_id"), "s_suppkey", A.caller_of(F.col("s_nationkey"), F.col("s_suppkey")).alias("caller"))
+    return hits.with_framework_flag(e, nodes).select("s_suppkey", "is_framework")
+
+
+@query
+def safe_ids(t) -> DataFrame:
+    return t.pages.select("page_id", X.safe_id(F.col("url")).alias("id"))
+
+
+@query
+def printable_runs(t) -> DataFrame:
+    return t.documents.select("doc_id", F.size(X.ascii_runs(F.encode("text", "UTF-8"))).cast("bigint").alias("n"))
+
+
+@query
+def best_claims(t) -> DataFrame:
+    o = t.orders.select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 500000, 1).alias("confidence"), F.col("o_orderkey").alias("ord"))
+    return triage.max_confidence(o, "o_custkey").select("o_custkey", "o_orderkey", "confidence")
+
+
+@query
+def hand_off_errors(t) -> DataFrame:
+    checks = ("status", F.col("o_orderstatus") != "P"), ("price", F.col("o_totalprice") < 400000), ("customer", F.col("o_custkey") % 10 > 0)
+    return lookups.violations(t.orders, *checks).select("o_orderkey", "errors")

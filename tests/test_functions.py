@@ -34,3 +34,13 @@ def test_text(spark):
     assert one(spark, X.invoked_signature(F.lit("$r = virtualinvoke $a.<a.B: void c(int)>(1)"))) == "<a.B: void c(int)>"
     assert one(spark, F.to_json(X.tolerant_json(F.lit('Sure: ```json\n{"a": 1}\n``` done')))) == '{"a":1}'
     assert one(spark, F.to_json(X.tolerant_json(F.lit('so {"a": [1]} is it')))) == '{"a":[1]}' and one(spark, X.tolerant_json(F.lit("none")).isNull())
+
+
+def test_domains_of_long_texts(spark):
+    import time
+
+    rows = [(0, "a." * 50_000 + "com"), (1, "1." * 50_000), (2, "x Ex-Ample.org, see .b.co_ and a.com1 or mail@q.r.net."), (3, None)]
+    began = time.time()
+    got = {r["k"]: r["d"] for r in spark.createDataFrame(rows, "k int, t string").select("k", X.domains(F.col("t")).alias("d")).collect()}
+    assert time.time() - began < 20
+    assert got == {0: ["a." * 50_000 + "com"], 1: [], 2: ["Ex-Ample.org", "q.r.net"], 3: None}

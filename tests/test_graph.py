@@ -80,3 +80,31 @@ def test_strict_is_preferred_and_edges_unite(spark):
     assert {(r["callsite"], r["kind"]) for r in united.collect()} == {("u", "first"), ("v", "second")}
     dot = G.to_dot(spark.createDataFrame([("x", 0, "a", "b")], "analysis_id string, ord int, caller string, callee string")).first()["dot"]
     assert dot == 'digraph {\n  "a" -> "b";\n}'
+
+
+def test_analyses_stay_apart(spark):
+    """Edges a to b of one analysis and b to c of another make no path; so for links, chains, slices, listeners and hints."""
+    from callatlas.operators import components as C
+    from callatlas.operators import hits as H
+
+    df = spark.createDataFrame
+    edges = df([("x", "a", "b"), ("y", "b", "c")], "analysis_id string, caller string, callee string")
+    starts = df([("x", "a"), ("y", "a")], "analysis_id string, method string")
+    assert {(r["analysis_id"], r["method"]) for r in G.k_hop(edges, starts, 2).where("method <> 'a'").collect()} == {("x", "b")}
+    links = df([("x", "a", "b"), ("y", "b", "c")], "analysis_id string, child string, parent string")
+    assert {(r["analysis_id"], r["child"], r["ancestor"]) for r in G.closure(links).collect()} == {("x", "a", "b"), ("y", "b", "c")}
+    chain = df([("x", "a", "b"), ("x", "b", None), ("y", "b", None)], "analysis_id string, method string, pred string")
+    assert [(r["analysis_id"], r["method"]) for r in G.nearest_ancestor(chain, df([("y", "b", "k")], "analysis_id string, method string, component string")).collect()] == [("y", "b")]
+    units = df([("x", "m", "1", ["2"]), ("y", "m", "0", ["1"])], "analysis_id string, method string, unit_id string, succs array<string>")
+    assert {r["unit_id"] for r in G.backward_slice(units, df([("s", "x", "m", "2")], "seed_id string, analysis_id string, method string, unit_id string")).collect()} == {"1", "2"}
+    both = df([("x", "a", "b", "", 0), ("y", "a", "b", "", 1)], "analysis_id string, caller string, callee string, callsite string, ord int")
+    assert G.union_edges(both).count() == 2
+    reg = df([("x", "<a.A: void m()>", "u", "L")], "analysis_id string, caller string, callsite string, listener string")
+    imp = df([("x", "L", "a.A", "in"), ("y", "L", "a.A", "other")], "analysis_id string, listener string, class string, method string")
+    assert [r["callee"] for r in C.listener_edges(reg, imp).collect()] == ["in"]
+    hints = df([("y", "a.A", "h")], "analysis_id string, class string, hint string")
+    assert {(r["analysis_id"], tuple(r["hints"])) for r in C.hints_for(df([("x", "a.A"), ("y", "a.A$1")], "analysis_id string, class string"), hints).collect()} == {("x", ()), ("y", ("h",))}
+    e = df([(n, 1, "<a.A: void m()>", "<p.Sub: void s()>") for n in "xy"], "analysis_id string, ord int, caller string, callee string")
+    catalog = df([("C1", "HIGH", 0.5, "<p.Q: void s()>")], "category_id string, priority string, weight double, signature string")
+    sub = df([("x", "p.Sub", "p.Q")], "analysis_id string, class string, supertype string")
+    assert [r["analysis_id"] for r in H.hierarchy_matches(e, catalog, sub).collect()] == ["x"]

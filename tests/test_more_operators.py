@@ -62,9 +62,9 @@ def test_flows(spark):
     assert W.method_usage(path).first()["n"] == 2
     steps = spark.createDataFrame([("f", "full"), ("f", "full"), ("g", "full"), ("g", "blocked"), ("h", "partial")], "flow_id string, feasibility string")
     assert rows(W.feasibility(steps), "flow_id", "feasibility") == [("f", "full"), ("g", "blocked"), ("h", "partial")]
-    r = spark.range(1).select(W.warnings_of((F.lit(True), "a"), (F.lit(False), "b")).alias("w"), W.drifted(F.lit(10), F.lit(6)).alias("d"), W.coverage_level(F.lit(1), F.lit(2)).alias("c"), W.chain_summary(F.array(*map(F.lit, "abcd"))).alias("s")).first()
-    assert (r["w"], r["d"], r["c"], r["s"]) == (["a"], True, "partial", "a; b; c")
+    r = spark.range(1).select(W.warnings_of((F.lit(True), "a"), (F.lit(False), "b")).alias("w"), W.drifted(F.lit(10), F.lit(6)).alias("d"), W.coverage_level(F.lit(1), F.lit(2), F.lit(True), F.lit(1)).alias("c"), W.chain_summary(F.array(*map(F.lit, "abcd"))).alias("s")).first()
+    assert (r["w"], r["d"], r["c"], r["s"]) == (["a"], True, "PARTIAL", "a; b; c")
     calls = spark.createDataFrame([(0, None), (1, "s2"), (2, "s1"), (3, "s2")], "ord bigint, seed_id string")
     assert [r["tab"] for r in W.grouped_calls(calls).orderBy("first").collect()] == ["All", "Recon", "s2", "s1"]
-    perms = spark.createDataFrame([("p", "e1", 0.5, 0), ("p", "e2", 0.5, 1), ("q", "e3", 0.1, 2)], "permission string, evidence string, confidence double, ord int")
-    assert rows(W.permissions(perms), "permission", "evidence") == [("p", "e1"), ("q", "e3")]
+    perms = spark.createDataFrame([("p", ["e1"], 0.5, 0), ("p", ["e2"], 0.5, 1), ("p", ["e4"], 0.9, 3), ("q", ["e3"], 0.1, 2)], "permission string, evidence array<string>, confidence double, ord int")
+    assert rows(W.permissions(perms), "permission", "evidence") == [("p", ["e1", "e4"]), ("q", ["e3"])]

@@ -37,6 +37,7 @@ def test_bridges_components_and_weights(spark):
 def test_preview_gives_spare_places_away(spark):
     df = spark.createDataFrame([(k, "CRITICAL") for k in range(2)] + [(k, "LOW") for k in range(100, 150)], "id int, p string")
     got = rows(rollup.stratified_preview(df, "p", ["id"], 10), "id", "p")
+    assert [rollup.preview_shares(h, 100) for h in ({"HIGH": 500, "MEDIUM": 100, "LOW": 50}, {}, {"LOW": 3})] == [{"CRITICAL": 0, "HIGH": 63, "MEDIUM": 25, "LOW": 12}, {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 0}, {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 3}]
     assert len(got) == 10 and [g for g in got if g[1] == "CRITICAL"] == [(0, "CRITICAL"), (1, "CRITICAL")]
 
 
