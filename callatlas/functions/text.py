@@ -13,6 +13,17 @@ DOMAIN = r"(?<![A-Za-z0-9_.-])[.-]*+(\b[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}\b
 BASE64 = r"^[A-Za-z0-9+/]{20,}={0,2}$"
 TOKEN = r"[a-zA-Z0-9_.$]+"
 QUOTED = r'"([^"]*)"'
+FIELD = r"<([a-zA-Z0-9_.$]+):\s*java\.lang\.String\s+([A-Za-z_][A-Za-z0-9_]*)>"
+#: Texts of platform fields.
+FIELD_VALUES = {
+    "android.provider.Settings.ACTION_ACCESSIBILITY_SETTINGS": "android.settings.ACCESSIBILITY_SETTINGS",
+    "android.provider.Settings.ACTION_NOTIFICATION_LISTENER_SETTINGS": "android.settings.ACTION_NOTIFICATION_LISTENER_SETTINGS",
+    "android.provider.Settings.ACTION_USAGE_ACCESS_SETTINGS": "android.settings.USAGE_ACCESS_SETTINGS",
+    "android.provider.Settings.ACTION_MANAGE_OVERLAY_PERMISSION": "android.settings.action.MANAGE_OVERLAY_PERMISSION",
+    "android.provider.Settings.ACTION_REQUEST_IGNORE_BATTERY_OPTIMIZATIONS": "android.settings.REQUEST_IGNORE_BATTERY_OPTIMIZATIONS",
+    "android.provider.Settings.ACTION_MANAGE_UNKNOWN_APP_SOURCES": "android.settings.MANAGE_UNKNOWN_APP_SOURCES",
+    "android.provider.Settings.ACTION_APPLICATION_DETAILS_SETTINGS": "android.settings.APPLICATION_DETAILS_SETTINGS",
+}
 KEYWORDS = ("dex", "payload", "update", "socket", "telegram", "c2", "command", "shell", "root", "accessibility", "overlay")
 
 
@@ -77,6 +88,22 @@ def quoted(text: Column) -> Column:
     return _all(text, QUOTED, 1)
 
 
+def field_values(stmt: Column) -> Column:
+    """Texts of the platform fields that a statement reads."""
+    known = F.create_map(*(F.lit(x) for pair in FIELD_VALUES.items() for x in pair))
+    names = F.zip_with(_all(stmt, FIELD, 1), _all(stmt, FIELD, 2), lambda c, f: F.concat_ws(".", c, f))
+    return F.filter(F.transform(names, lambda n: known[n]), lambda v: v.isNotNull())
+
+
+def statement_strings(stmt: Column) -> Column:
+    """Quoted texts of a statement and those of the fields it reads."""
+    return F.array_distinct(F.concat(quoted(stmt), field_values(stmt)))
+
+
+def likely_domain(value: Column) -> Column:
+    return ~value.startswith(".") & ~F.lower(value).isin("example.com", "test.com", "localhost.local") & (F.length(value) >= 4)
+
+
 def ascii_runs(content: Column, least: int = 4) -> Column:
     """Printable ASCII runs of binary content."""
     return _all(F.decode(content, "ISO-8859-1"), f"[\\x20-\\x7e]{{{least},}}")
@@ -87,8 +114,12 @@ def quote_regex(literal: Column) -> Column:
 
 
 def has_indicator(text: Column, indicator: Column) -> Column:
-    """A domain- or path-like indicator within boundaries: a neighbour must not be a letter, digit, dot or hyphen."""
-    return F.rlike(F.lower(text), F.concat(F.lit(r"(^|[^a-z0-9.\-])"), quote_regex(F.lower(indicator)), F.lit(r"($|[^a-z0-9.\-])")))
+    """An indicator within boundaries. A neighbour must not be a letter or digit; beside one without a slash, which is like a
+    domain, nor a dot or hyphen."""
+    low, quoted_ = F.lower(text), quote_regex(F.lower(indicator))
+    domain = F.rlike(low, F.concat(F.lit(r"(^|[^a-z0-9.\-])"), quoted_, F.lit(r"($|[^a-z0-9.\-])")))
+    path = F.rlike(low, F.concat(F.lit(r"(^|[^a-z0-9])"), quoted_, F.lit(r"($|[^a-z0-9])")))
+    return F.when(F.contains(indicator, F.lit("/")), path).otherwise(domain)
 
 
 def first_line_with(text: Column, query: Column) -> Column:

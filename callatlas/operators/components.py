@@ -15,7 +15,14 @@ ENTRY_METHODS = {
     "provider": ("onCreate", "query", "insert", "update", "delete", "call"),
 }
 ACCESSIBILITY_SUPERTYPE = "android.accessibilityservice.AccessibilityService"
-ACCESSIBILITY_METHODS = ("onAccessibilityEvent", "onServiceConnected", "onInterrupt", "onKeyEvent", "onGesture")
+ACCESSIBILITY_METHODS = ("onAccessibilityEvent", "onInterrupt", "onServiceConnected")
+#: Methods that the platform calls, by the class they are inherited from.
+_FRAGMENT = ("onAttach", "onCreate", "onCreateView", "onViewCreated", "onActivityCreated", "onStart", "onResume", "onPause", "onStop", "onDestroyView", "onDestroy", "onDetach")
+BASE_METHODS = {
+    "android.app.Activity": ENTRY_METHODS["activity"], "android.app.Service": ENTRY_METHODS["service"], "android.app.IntentService": ("onHandleIntent",),
+    "android.content.BroadcastReceiver": ENTRY_METHODS["receiver"], "android.content.ContentProvider": ENTRY_METHODS["provider"], "android.app.Application": ("onCreate",),
+    ACCESSIBILITY_SUPERTYPE: ACCESSIBILITY_METHODS, "android.app.Fragment": _FRAGMENT, "androidx.fragment.app.Fragment": _FRAGMENT,
+}
 #: Prefixes of common libraries.
 LIBRARY_PREFIXES = (
     "androidx.", "android.support.", "com.google.android.material.", "com.google.android.gms.", "com.google.android.play.", "com.android.billingclient.", "com.google.android.datatransport.", "com.google.firebase.", "com.google.mlkit.",
@@ -51,6 +58,18 @@ def entrypoints(methods: DataFrame, declared: DataFrame, subtypes: DataFrame | N
     return out.select("analysis_id", "method").distinct()
 
 
+def inherited_entrypoints(methods: DataFrame, subtypes: DataFrame) -> DataFrame:
+    """Concrete methods (analysis_id, method) of classes that extend, or are, a platform base class, by name. subtypes: class,
+    supertype (transitive), and analysis_id, where each analysis has its own."""
+    own = [c for c in ("analysis_id",) if c in subtypes.columns]
+    allowed = F.create_map(*(x for base, names in BASE_METHODS.items() for x in (F.lit(base), F.array(*map(F.lit, names)))))
+    bases = subtypes.where(F.col("supertype").isin(*BASE_METHODS)).select(*own, "class", F.explode(allowed[F.col("supertype")]).alias("short")).distinct()
+    rows = methods.select("analysis_id", "method", S.class_of(F.col("method")).alias("class"), S.method_of(F.col("method")).alias("short"))
+    below = rows.join(bases, [*own, "class", "short"], "left_semi")
+    itself = rows.where(F.array_contains(allowed[F.col("class")], F.col("short")))
+    return below.unionByName(itself).select("analysis_id", "method").distinct()
+
+
 def app_prefixes(names: DataFrame) -> DataFrame:
     """analysis_id, prefix (first two parts of the package): the most frequent outside libraries, all at a tie."""
     rows = names.where(~is_library(F.col("class")) & ~S.is_framework_name(F.col("class"))).select("analysis_id", F.substring_index(S.package_of(F.col("class")), ".", 2).alias("prefix")).where("prefix <> ''")

@@ -47,6 +47,28 @@ def indicators_in(rows: DataFrame, text: str, indicators: DataFrame, boundary: b
     return rows.join(F.broadcast(packed), F.lit(True)).withColumn("indicator", F.explode(F.filter("_indicators", met))).drop("_indicators")
 
 
+#: Categories whose indicators are telling enough to be searched in texts; the first without boundaries.
+STRING_CATEGORIES = ("SOCIAL_ENGINEERING_PERMISSION_LURE_SETTINGS", "C2_MESSAGING_PLATFORM_ENDPOINTS")
+
+
+def method_strings(units: DataFrame) -> DataFrame:
+    """analysis_id, method, text: different texts in the statements (stmt) of a method."""
+    return units.select("analysis_id", "method", F.explode(X.statement_strings(F.col("stmt"))).alias("text")).distinct()
+
+
+def string_categories(strings: DataFrame, indicators: DataFrame, categories: tuple[str, ...] = STRING_CATEGORIES) -> DataFrame:
+    """analysis_id, method, category_id, indicators (sorted) whose text occurs in a method's, in any case.
+
+    indicators: category_id, indicator, written by hand and kept in one row. Only `categories` count; the first takes any
+    occurrence, the others one within boundaries. A text of under 5 characters must be the indicator itself.
+    """
+    packed = indicators.where(F.col("category_id").isin(*categories)).agg(F.collect_list(F.struct("category_id", "indicator")).alias("_rules"))
+    low = F.lower(F.col("text"))
+    holds = lambda r: (F.contains(low, F.lower(r["indicator"])) & ((F.length(low) >= 5) | (low == F.lower(r["indicator"]))) & ((r["category_id"] == categories[0]) | X.has_indicator(F.col("text"), r["indicator"])))
+    met = strings.where(F.length("text") > 0).join(F.broadcast(packed), F.lit(True)).select("analysis_id", "method", F.explode(F.filter("_rules", holds)).alias("r"))
+    return met.groupBy("analysis_id", "method", F.col("r.category_id").alias("category_id")).agg(F.array_sort(F.collect_set("r.indicator")).alias("indicators"))
+
+
 def reflection_verdicts(hits: DataFrame, reflection: str, crypto: str, target: str = "target_is_sensitive") -> DataFrame:
     """hit_id, verdict of reflection hits: a sensitive target, else a chain of calls in one caller, else crypto beside it.
 

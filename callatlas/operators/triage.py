@@ -54,3 +54,21 @@ def last_definition(rows: DataFrame, key: list[str], order: str, value: str) ->
 def max_confidence(rows: DataFrame, key: str) -> DataFrame:
     """The row of each key with the highest confidence, the first at a tie."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct("confidence", -F.col("ord"))).alias("r")).select(key, "r.*")
+
+
+def resolve_values(uses: DataFrame, definitions: DataFrame, steps: int = 6) -> DataFrame:
+    """uses (method, idx, value, and analysis_id, where there is one) plus resolved: the value behind locals and casts.
+
+    definitions: method, idx, local, value. A step takes off a cast, or goes from a local to its last definition at or before
+    the use; after `steps` steps, or without a definition, what is there stays. Each step is one join by method and local.
+    """
+    key = [c for c in ("analysis_id",) if c in uses.columns] + ["method"]
+    known = definitions.select(*key, F.col("idx").alias("_at"), F.col("local").alias("_local"), F.col("value").alias("_next"))
+    rows = uses.withColumn("resolved", F.col("value"))
+    cast = r"^\([^()]+\)\s+"
+    for _ in range(steps):
+        rows = rows.withColumn("_local", F.when(~F.col("resolved").rlike(cast), F.col("resolved"))).withColumn("resolved", F.regexp_replace("resolved", cast, ""))
+        met = rows.select(*key, "idx", "_local").where("_local is not null").distinct().join(known, [*key, "_local"]).where(F.col("_at") <= F.col("idx"))
+        last = met.groupBy(*key, "idx", "_local").agg(F.max_by("_next", "_at").alias("_next"))
+        rows = rows.join(last, [*key, "idx", "_local"], "left").withColumn("resolved", F.coalesce("_next", "resolved")).drop("_next", "_local")
+    return rows

@@ -139,6 +139,24 @@ def closure(links: DataFrame) -> DataFrame:
     return out
 
 
+def resolve_methods(calls: DataFrame, methods: DataFrame, parents: DataFrame, most: int = 25) -> DataFrame:
+    """calls (analysis_id, class, name) plus owner: the nearest class, from the called one up, that has the method, among
+    `most` classes. methods: analysis_id, class, name; parents: analysis_id, class, parent (one each). Calls that are settled
+    leave the loop."""
+    have = checkpointed(methods.select("analysis_id", F.col("class").alias("at"), "name", F.lit(True).alias("_has")).distinct())
+    up = checkpointed(parents.groupBy("analysis_id", F.col("class").alias("at")).agg(F.min("parent").alias("_up")))
+    key = ["analysis_id", "class", "name"]
+    left, found = calls.select(*key).distinct().withColumn("at", F.col("class")), None
+    for n in range(most):
+        seen = checkpointed(left.join(have, ["analysis_id", "at", "name"], "left"))
+        done = seen.where("_has").select(*key, F.col("at").alias("owner"))
+        found = done if found is None else _grown(found, done, n)
+        left = seen.where("_has is null").select(*key, "at").join(up, ["analysis_id", "at"]).select(*key, F.col("_up").alias("at"))
+        if left.isEmpty():
+            break
+    return calls.join(found, key, "left")
+
+
 def nearest_ancestor(chain: DataFrame, marked: DataFrame, most: int = 15) -> DataFrame:
     """method, component, depth: the nearest method up the predecessor chain (itself included) that is marked, at most `most`
     steps away. chain: method, pred; marked: method, component.

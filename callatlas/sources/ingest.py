@@ -88,3 +88,61 @@ def append_events(df: DataFrame, path: str) -> None:
 
 def cache_misses(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     return wanted.join(cached, key, "left_anti")
+
+
+def signature_index(entries: DataFrame) -> DataFrame:
+    """signature, category_id of catalog rows (ord, category_id, signature): of a repeated signature the last."""
+    return entries.groupBy(F.trim("signature").alias("signature")).agg(F.max_by("category_id", "ord").alias("category_id"))
+
+
+def read_techniques(spark: SparkSession, path: str) -> DataFrame:
+    """technique_id, name, tactics of the attack patterns of a STIX bundle; objects without an id of the source are left out,
+    and of a repeated id the last counts."""
+    ref, phase = "struct<source_name:string,external_id:string>", "struct<phase_name:string>"
+    rows = spark.read.schema(f"objects array<struct<type:string,name:string,external_references:array<{ref}>,kill_chain_phases:array<{phase}>>>").option("multiLine", True).json(path)
+    each = rows.select(F.posexplode("objects").alias("ord", "o")).where("o.type = 'attack-pattern'")
+    ours = F.filter("o.external_references", lambda r: (r["source_name"] == "mitre-attack") & (F.length(r["external_id"]) > 0))
+    named = F.filter(F.coalesce("o.kill_chain_phases.phase_name", F.array().cast("array<string>")), lambda p: F.length(p) > 0)
+    flat = each.select("ord", F.get(ours, F.lit(0))["external_id"].alias("technique_id"), F.struct(F.col("o.name").alias("name"), named.alias("tactics")).alias("t")).where("technique_id is not null")
+    return flat.groupBy("technique_id").agg(F.max_by("t", "ord").alias("t")).select("technique_id", "t.*")
+
+
+def read_batch(spark: SparkSession, path: str) -> DataFrame:
+    """input, run_id of lines `input` or `input,id`, null without an id; blank lines and those that begin with # are left out."""
+    line = F.trim("value")
+    rows = spark.read.text(path).where((F.length(line) > 0) & ~line.startswith("#"))
+    return rows.select(F.trim(F.substring_index(line, ",", 1)).alias("input"), F.when(F.contains(line, F.lit(",")), F.trim(F.regexp_extract(line, r"^[^,]*,(.*)$", 1))).alias("run_id"))
+
+
+def settings(read: dict, environment: dict[str, str], forced: dict[str, str], usual: dict[str, str], overrides: dict[str, object]) -> dict:
+    """Settings as read; then variables of the environment (variable: section.name), the forced ones always, the usual ones
+    where nothing is set; then overrides (section.name: value) that are not empty. `read` stays as it is."""
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in read.items()}
+    given = [(key, environment.get(name), True) for name, key in forced.items()] + [(key, environment.get(name), False) for name, key in usual.items()] + [(key, v, True) for key, v in overrides.items()]
+    for key, value, always in given:
+        section, _, name = key.partition(".")
+        if value and (always or not out.get(section, {}).get(name)):
+            out.setdefault(section, {})[name] = value
+    return out
+
+
+def read_table(spark: SparkSession, path: str, analysis_id: str | None = None) -> DataFrame:
+    """A table that write_table wrote; of one analysis only its folder is read."""
+    rows = spark.read.parquet(path)
+    return rows if analysis_id is None else rows.where(F.col("analysis_id") == analysis_id)
+
+
+def delete_analysis(spark: SparkSession, path: str, analysis_id: str) -> bool:
+    """Remove one analysis from a table that write_table wrote; whether it was there. The name must be one folder's."""
+    if not analysis_id or "/" in analysis_id or analysis_id in (".", ".."):
+        raise ValueError(f"not the name of an analysis: {analysis_id!r}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(analysis_id)
+    folder = hadoop.Path(path, f"analysis_id={escaped}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and files.delete(folder, True)
+
+
+def latest_runs(files: DataFrame) -> DataFrame:
+    """analysis_id, run_id of the file changed last (analysis_id, run_id, modified); the greater name at a tie."""
+    return files.groupBy("analysis_id").agg(F.max_by("run_id", F.struct("modified", "run_id")).alias("run_id"))
