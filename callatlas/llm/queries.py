@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from . import sql
 from ._common import table
+from .audit import audit_filters
 from .chat import format_chats
 from .decontamination import find_contamination
+from .infill import form_texts, restore_texts
+from .licenses import PHRASES, default_templates, scan_licenses
 from .mixing import mix
 from .ngrams import score_documents
 from .pii import BASE_KINDS, find_pii, train_pii
@@ -77,6 +80,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle texts of all documents and what comes back from them; edge cases as form_texts states."""
+    found = restore_texts(form_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each order, by language; edge cases as audit_filters states."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in all documents; edge cases as scan_licenses states."""
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -88,5 +107,8 @@ QUERIES = {
     "op8_sketches": op8_sketches,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_infill": op11_infill,
+    "op12_audit": op12_audit,
+    "op13_licenses": op13_licenses,
 }
-ORACLE_SQL = {"op3_url_rules": sql.OP3, "op4_mixing": sql.OP4, "op10_decontamination": sql.OP10}
+ORACLE_SQL = {"op3_url_rules": sql.OP3, "op4_mixing": sql.OP4, "op10_decontamination": sql.OP10, "op11_infill": sql.OP11, "op12_audit": sql.OP12, "op13_licenses": sql.op13(default_templates(), PHRASES)}

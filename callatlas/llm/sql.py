@@ -91,3 +91,88 @@ SELECT page_id, host, path, rule, CASE WHEN fixed IS NOT NULL THEN fixed WHEN mi
        CASE WHEN fixed IS NULL THEN mined END AS mined, CASE WHEN fixed IS NULL THEN confidence END AS confidence
 FROM judged LEFT JOIN best USING (rid)
 """
+
+OP11 = r"""
+WITH lines AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lines),
+cut AS (
+  SELECT doc_id, n, form, text, array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1 :], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+#: The filters applied one after the other, in each order, to counts of failure patterns.
+OP12 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+smallest AS (SELECT text, min(doc_id) AS first FROM words GROUP BY text),
+marked AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 100 AS fa, 100 * len(list_distinct(w)) < 80 * len(w) AS fb,
+         100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS fc, regexp_matches(text, '[#$%&*|]') AS fd, coalesce(d.doc_id > first, false) AS fe
+  FROM words d JOIN smallest USING (text) LEFT JOIN marked ON marked.doc_id = d.doc_id),
+patterns AS (
+  SELECT part, CASE WHEN fa THEN 'A' ELSE '' END || CASE WHEN fb THEN 'B' ELSE '' END || CASE WHEN fc THEN 'C' ELSE '' END || CASE WHEN fd THEN 'D' ELSE '' END || CASE WHEN fe THEN 'E' ELSE '' END AS fails,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flags GROUP BY ALL),
+letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+meets AS (  -- the step that removes a pattern, and how often each filter fails
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, n, good, toxic, fails, contains(fails, substr(filter_order, step, 1)) AS fails_this,
+         length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+  FROM patterns, orders, range(1, 6) s(step)),
+counted AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT gone AND NOT fails_this), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_this), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND fails_this), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails_this AND length(fails) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND fails_this), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails_this), 0)::BIGINT AS toxic_lost
+  FROM meets GROUP BY part, filter_order, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM counted
+"""
+
+
+def op13(templates: list[tuple[str, str]], phrases: dict[str, str]) -> str:
+    """Votes, diagonals and verified spans with windows. Templates and phrases are fixed values and come from the operator."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    forms = ", ".join(f"({k}, {quoted(label)}, {quoted(text)})" for k, (label, text) in enumerate(templates))
+    says = ", ".join(f"({quoted(label)}, {quoted(phrase)})" for phrase, label in phrases.items())
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_TEN} AS w FROM documents),
+templates AS (SELECT t, label, {_TEN} AS w FROM (VALUES {forms}) x(t, label, text)),
+grams AS (SELECT t, label, len(w) AS n, i - 1 AS p, array_to_string(w[i : i + 2], ' ') AS g FROM templates, range(1, len(w) - 1) r(i)),
+runs AS (SELECT rid, i - 1 AS p, array_to_string(w[i : i + 2], ' ') AS g FROM docs, range(1, len(w) - 1) r(i)),
+votes AS (SELECT DISTINCT rid, t, label, n, runs.p - grams.p AS d, grams.p AS x FROM runs JOIN grams USING (g)),
+diagonals AS (SELECT rid, t, label, n, greatest(CAST(floor(n * (1 - 0.8::DOUBLE) + 1e-9) AS BIGINT), 1) AS slack, d, list(x) AS xs FROM votes GROUP BY ALL),
+far AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY rid, t ORDER BY d) <= slack THEN 0 ELSE 1 END AS far FROM diagonals),
+grouped AS (SELECT *, sum(far) OVER (PARTITION BY rid, t ORDER BY d) AS grp FROM far),
+covers AS (
+  SELECT rid, t, label, n, slack, grp, d, min(d + x) AS s, max(d + x) + 3 AS e, list_distinct(flatten(list([x, x + 1, x + 2]))) AS c
+  FROM (SELECT * EXCLUDE (xs), unnest(xs) AS x FROM grouped) GROUP BY rid, t, label, n, slack, grp, d),
+merged AS (SELECT rid, t, label, n, slack, grp, min(s) AS s, max(e) AS e, len(list_distinct(flatten(list(c)))) AS covered FROM covers GROUP BY rid, t, label, n, slack, grp),
+whole AS (SELECT *, covered >= 0.8::DOUBLE * n - 1e-9 AND e - s <= n + slack AS holds FROM merged),
+verified AS (
+  SELECT rid, label, n, s, e, covered FROM whole WHERE holds
+  UNION ALL
+  SELECT rid, label, n, c.s, c.e, len(c.c) FROM covers c JOIN whole USING (rid, t, label, n, grp)
+  WHERE NOT holds AND len(c.c) >= 0.8::DOUBLE * n - 1e-9 AND c.e - c.s <= n + c.slack),
+apart AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY rid ORDER BY s, e DESC, label, covered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS apart FROM verified),
+placed AS (SELECT *, sum(apart) OVER (PARTITION BY rid ORDER BY s, e DESC, label, covered ROWS UNBOUNDED PRECEDING) AS place FROM apart),
+best AS (SELECT rid, place, arg_max(label, (covered / n, covered, label)) AS label, max(covered / n) AS share FROM placed GROUP BY rid, place),
+added AS (SELECT rid, list(label) AS labels, max(share) AS score FROM best GROUP BY rid),
+says AS (SELECT label, string_split(phrase, ' ') AS q FROM (VALUES {says}) x(label, phrase)),
+places AS (SELECT rid, label, i - 1 AS x FROM docs, says, range(1, len(w) - len(q) + 2) r(i) WHERE w[i] = q[1] AND w[i : i + len(q) - 1] = q),
+base AS (SELECT rid, count(*) AS n_base, min(x) AS first_word, max(x) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, added.labels))), ','), '') AS labels, coalesce(score, 0) AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN added USING (rid)
+"""
