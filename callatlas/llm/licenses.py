@@ -20,6 +20,9 @@ GRAM = 3
 #: Least share of a template's words that a span covers.
 SHARE = 0.8
 
+#: Runs of the templates are broadcast up to so many (some 20 MB), else both sides are shuffled by hash.
+FEW_RUNS = 200_000
+
 #: Words, once A-Z are lower-case; and the same in a text as it is.
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -86,7 +89,8 @@ def _template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> Da
         if len(words) < GRAM:
             raise ValueError(f"a template needs {GRAM} words or more: {text!r}")
         rows += [(" ".join(words[i : i + GRAM]), k, label, len(words), i) for i in range(len(words) - GRAM + 1)]
-    return spark.createDataFrame(rows, "gram string, template int, label string, length int, at int").withColumn("hash", F.xxhash64("gram"))
+    grams = spark.createDataFrame(rows, "gram string, template int, label string, length int, at int").withColumn("hash", F.xxhash64("gram"))
+    return F.broadcast(grams) if len(rows) <= FEW_RUNS else grams
 
 
 def _lower_words(text: Column) -> Column:
