@@ -178,7 +178,6 @@ SELECT class, coalesce((SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_
     "evidence_verified": "SELECT o_orderkey AS seed_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) THEN 'VERIFIED' ELSE 'FAILED' END AS status FROM orders",
     "timeline_order": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events",
     "catalog_pattern_scores": _catalog_scores(),
-    "ledger_stream_available_now": "SELECT user_id, event_type AS stage, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1, 2",
     "hit_investigability": """SELECT o_orderkey, round(CAST(CASE WHEN o_orderstatus = 'F' THEN 0.25 ELSE 0 END + CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 13 <= 3 THEN 0.15 WHEN o_orderkey % 13 <= 6 THEN 0.10 WHEN o_orderkey % 13 <= 10 THEN 0.05 ELSE 0 END
   + CASE WHEN o_custkey % 2 = 1 THEN 0.20 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 0.10 ELSE 0 END + CASE WHEN o_custkey % 3 > 0 AND o_custkey % 5 > 0 THEN 0.20 ELSE 0 END AS DOUBLE), 6) AS score,
   o_custkey % 3 > 0 AND o_custkey % 5 > 0 AS reflection_free, concat_ws('|', CASE WHEN o_custkey % 3 = 0 THEN 'java.lang.Class.forName' END, CASE WHEN o_custkey % 5 = 0 THEN 'dalvik.system.DexClassLoader' END) AS sites FROM orders""",

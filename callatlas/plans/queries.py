@@ -468,22 +468,6 @@ def catalog_pattern_scores(t) -> DataFrame:
     return s.select("c_custkey", F.size("patterns").cast("bigint").alias("n_patterns"), F.round("raw_score", 6).alias("raw_score"), "effective_priority")
 
 
-@query
-def ledger_stream_available_now(t) -> DataFrame:
-    """The events table as a stream of files, through to its end: starts, ends and events of each user's stages."""
-    import uuid
-
-    from ..plans.durable import shared_folder
-
-    at = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    state = source.groupBy("user_id", F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
-    query_ = state.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    query_ = query_.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
-    query_.awaitTermination()
-    return t.spark.read.parquet(f"{at}/out")
-
-
 # Operators that the queries above leave out.
 
 

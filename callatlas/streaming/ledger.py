@@ -40,18 +40,22 @@ def event_level(event_type: Column, status: Column, error: Column) -> Column:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Events with their place: by time, and by input order where the time can't be read."""
-    return events.withColumn("at", F.coalesce(F.unix_micros(F.col("ts").try_cast("timestamp")), F.col("ord"))).orderBy("at", "ord")
+    """Events with `at`, by which, and then by `ord`, they are in order: the time, or the input order where the time can't be read.
+    The caller sorts, as far as it needs an order."""
+    return events.withColumn("at", F.coalesce(F.unix_micros(F.col("ts").try_cast("timestamp")), F.col("ord")))
 
 
-def stage_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Starts and ends of stages as a stream's running state; the watermark bounds the state."""
-    seen = events.withColumn("at", F.try_to_timestamp("ts")).withWatermark("at", late)
+def stage_state(events: DataFrame) -> DataFrame:
+    """Starts and ends of stages, of a stream as its running state: one row for each stage of a run. Events may come in any order
+    and none is too late, so the state has all stages ever seen; no bound would be safe for runs of any length."""
+    seen = events.withColumn("at", F.try_to_timestamp("ts"))
     return seen.groupBy("analysis_id", "run_id", "stage").agg(F.min(F.when(F.col("event_type") == "stage.start", F.col("at"))).alias("started"), F.max(F.when(F.col("event_type") == "stage.end", F.col("at"))).alias("ended"), F.count(F.lit(1)).alias("n_events"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, through the stream, as a table in memory (summaries are small)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, folder: str, checkpoint: str, schema: str, key: list[str]) -> DataFrame:
+    """Everything that is there now, through the stream: the latest row of each key. Batches write what they changed to the folder,
+    so nothing passes through the driver."""
+    from .progress import latest, run_batches, upsert
+
+    run_batches(stream, upsert(folder), checkpoint)
+    return latest(stream.sparkSession, folder, schema, key)

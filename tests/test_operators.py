@@ -82,7 +82,7 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
     batch = L.read_ledger(spark, str(folder))
     assert batch.count() == 12
     stream = L.stage_state(L.stream_ledger(spark, str(folder), 1))
-    out = L.run_available(stream, "ledger_state", str(tmp_path / "cp"))
+    out = L.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "analysis_id string, run_id string, stage string, started timestamp, ended timestamp, n_events bigint", ["analysis_id", "run_id", "stage"])
     key = ("stage", "started", "ended", "n_events")
     assert rows(out, *key) == rows(L.stage_state(batch), *key) and out.count() == 3
     d = L.stage_durations(batch.select("run_id", "stage", F.substring_index("event_type", ".", -1).alias("kind"), L.parsed(F.col("ts")).alias("ts")), ["run_id"])
