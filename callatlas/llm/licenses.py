@@ -23,9 +23,8 @@ SHARE = 0.8
 #: Runs of the templates are broadcast up to so many (some 20 MB), else both sides are shuffled by hash.
 FEW_RUNS = 200_000
 
-#: Words, once A-Z are lower-case; and the same in a text as it is.
+#: Words, once A-Z are lower-case; and what stands between the words of a text as it is.
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,8 +92,13 @@ def _template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> Da
     return F.broadcast(grams) if len(rows) <= FEW_RUNS else grams
 
 
+def _words(text: Column) -> Column:
+    """Words as they are written; to split takes half the time of to extract."""
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def _lower_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0))
+    return _words(F.translate(text, UPPER, LOWER))
 
 
 def _places(text: Column, phrases: dict[str, str]) -> Column:
@@ -182,7 +186,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     templates = default_templates() if templates is None else templates
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
-    rows = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(ANY_WORD)).cast("bigint").alias("n_words"), _places(F.col("text"), phrases).alias("places"))
+    rows = keyed.select("doc_id", "key", F.size(_words(F.col("text"))).cast("bigint").alias("n_words"), _places(F.col("text"), phrases).alias("places"))
     best = spans(votes(keyed, _template_grams(spark, templates)), share)
     span = F.struct("start", "end", "label", "share")
     found = best.groupBy("key").agg(F.collect_set("label").alias("added"), F.max("share").alias("score"), F.sort_array(F.collect_list(span)).alias("spans"))
