@@ -9,7 +9,7 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, let
@@ -51,12 +51,13 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def first_of_texts(alike: DataFrame) -> DataFrame:
-    """Adds the failure E to groups of rows of one text: those of its smallest doc_id, and those without any, pass."""
-    heads = alike.groupBy("key").agg(F.min("first").alias("smallest"))
-    both = alike.join(heads, "key")
-    passing = F.col("no_id") + F.when(F.col("first") == F.col("smallest"), F.col("at_first")).otherwise(0)
-    two = F.array(F.struct(F.col("mask"), passing.alias("n")), F.struct((F.col("mask") + (1 << FILTERS.index("E"))).alias("mask"), (F.col("n") - passing).alias("n")))
-    return both.select("part", "good", "toxic", F.explode(two).alias("x")).select("part", F.col("x.mask").alias("mask"), "good", "toxic", F.col("x.n").alias("n")).where("n > 0")
+    """Adds the failure E to groups of rows of one text: those of its smallest doc_id, and those without any, pass. The window is
+    over the groups of one text, a few for each part, however many copies it has."""
+    smallest = F.min("first").over(Window.partitionBy("key"))
+    passing = F.col("no_id") + F.when(F.col("first") == smallest, F.col("at_first")).otherwise(0)
+    rows = alike.withColumn("passing", passing)
+    two = F.array(F.struct(F.col("mask"), F.col("passing").alias("n")), F.struct((F.col("mask") + (1 << FILTERS.index("E"))).alias("mask"), (F.col("n") - F.col("passing")).alias("n")))
+    return rows.select("part", "good", "toxic", F.explode(two).alias("x")).select("part", F.col("x.mask").alias("mask"), "good", "toxic", F.col("x.n").alias("n")).where("n > 0")
 
 
 def joint_failures(rows: DataFrame) -> DataFrame:
