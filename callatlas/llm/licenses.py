@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import let
+from ._common import durable, let
 
 #: Words of three or more templates' runs; a template has that many words at least.
 GRAM = 3
@@ -190,7 +190,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     best = spans(votes(keyed, _template_grams(spark, templates)), share)
     span = F.struct("start", "end", "label", "share")
     found = best.groupBy("key").agg(F.collect_set("label").alias("added"), F.max("share").alias("score"), F.sort_array(F.collect_list(span)).alias("spans"))
-    both = rows.join(found, "key", "left")
+    both = rows.join(durable(found), "key", "left")  # a table, so that the copies of one text can be split among tasks
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
     added = F.coalesce("added", F.expr("cast(array() as array<string>)"))
     starts = F.transform("places", lambda p: p["at"])
