@@ -38,7 +38,7 @@ def _units(t) -> DataFrame:
     text = F.replace(F.replace(F.col("stmt"), F.lit("{c}"), c.cast("string")), F.lit("{d}"), ((c + 1) % _N).cast("string"))
     rows = t.orders.select("o_orderkey", "o_custkey", F.posexplode(F.get(bodies, (F.col("o_orderkey") % len(_BODIES)).cast("int"))).alias("idx", "stmt"))
     rows = rows.select(F.concat(F.lit("a"), F.col("o_orderkey") % 3).alias("analysis_id"), F.concat(F.lit("<q.S"), c, F.lit(": void m"), "o_orderkey", F.lit("()>")).alias("method"), "idx", text.alias("stmt"))
-    ids = rows.select("analysis_id").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(_N // 2 - 1))).cast("string"))
+    ids = rows.select("analysis_id").distinct().withColumn("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(_N // 2 - 1)), lambda n: n.cast("string"))))
     stores = F.array(F.concat(F.lit("$n = new q.T"), "n"), F.concat(F.lit("r0.<q.S"), "n", F.lit(": java.lang.Thread w> = $n")))
     made = ids.select("analysis_id", F.concat(F.lit("<q.S"), "n", F.lit(": void onCreate(android.os.Bundle)>")).alias("method"), F.posexplode(stores).alias("idx", "stmt"))
     return rows.unionByName(made)
