@@ -25,12 +25,14 @@ QUALIFIED = {
     "android.media.MediaRecorder.setAudioSource": ("AudioSource", 0), "android.media.MediaRecorder.setOutputFormat": ("OutputFormat", 0), "android.media.MediaRecorder.setAudioEncoder": ("AudioEncoder", 0),
     "android.media.MediaRecorder.setVideoSource": ("VideoSource", 0), "android.view.WindowManager.LayoutParams.<init>": ("WindowType", 2), "android.app.Service.startForeground": ("ForegroundServiceType", 1),
 }
-#: Other names of constants and of methods in claims.
-CONSTANT_ALIASES = {
-    "0": ["get_activities", "get_services", "get_receivers"], "1": ["mic", "microphone", "audiosource.mic"], "2": ["type_phone", "type_application"], "3": ["amr_nb", "amrnb"], "4": ["camcorder"], "5": ["voice_recognition"], "6": ["voice_communication"], "7": ["remote_submix"],
-    "8": ["flag_not_focusable", "not_focusable"], "17": ["center", "gravity.center"], "2002": ["type_system_alert"], "2003": ["type_toast"], "2010": ["type_system_overlay"], "2038": ["type_application_overlay", "application_overlay"], "16777216": ["flag_hardware_accelerated"],
-    "67108864": ["flag_activity_clear_task", "clear_task"], "268435456": ["flag_activity_new_task", "new_task"], "-3": ["translucent", "pixelformat.translucent"], "_id": ["id", "column_id"],
-}
+#: Other names of constants in claims. Of repeated keys the last counts.
+CONSTANT_ALIASES = dict((
+    ("0", ["default", "audiosource"]), ("1", ["mic", "microphone", "audiosource.mic"]), ("4", ["camcorder"]), ("5", ["voice_recognition"]), ("6", ["voice_communication"]), ("7", ["remote_submix"]),
+    ("2", ["mpeg_4", "mpeg4"]), ("3", ["amr_nb", "amrnb"]), ("2", ["type_phone", "type_application"]), ("2002", ["type_system_alert"]), ("2003", ["type_toast"]), ("2010", ["type_system_overlay"]),
+    ("2038", ["type_application_overlay", "application_overlay"]), ("8", ["flag_not_focusable", "not_focusable"]), ("16777216", ["flag_hardware_accelerated"]), ("268435456", ["flag_activity_new_task", "new_task"]),
+    ("67108864", ["flag_activity_clear_task", "clear_task"]), ("_id", ["id", "column_id"]), ("-3", ["translucent", "pixelformat.translucent"]), ("17", ["center", "gravity.center"]), ("0", ["get_activities", "get_services", "get_receivers"]),
+))
+#: Other names of methods in claims.
 METHOD_ALIASES = {
     "getdeviceid": ["imei", "device_id", "deviceid"], "getsubscriberid": ["imsi", "subscriber_id", "subscriberid"], "getimei": ["imei", "device_id"], "getline1number": ["phone_number", "line1", "phonenumber"],
     "setaudiosource": ["audiosource", "mic", "microphone", "audio_source"], "setoutputformat": ["outputformat", "output_format", "mpeg"], "setaudioencoder": ["audioencoder", "audio_encoder", "amr"], "setoutputfile": ["outputfile", "output_file", "filepath"],

@@ -1,4 +1,4 @@
-"""Registered queries over method bodies: what is handed on is found in statements that are made from the driver's orders.
+"""Registered queries over method bodies and claims about them, which are made from the driver's orders.
 
 An order is a method of one of ten classes q.S0 to q.S9, its kind (key modulo 8) the way in which it hands on work. q.T0 to q.T9 are
 threads, odd ones without a run() below even ones; q.R0 to q.R9 are runnables, every third abstract; q.L0 to q.L9 are listeners, odd
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import defuse as D
+from ..operators import grounding as G
 from .queries import query
 
 _N = 10
@@ -81,3 +82,36 @@ def found_threading_edges(t) -> DataFrame:
 @query
 def found_listener_edges(t) -> DataFrame:
     return _counted(D.found_listener_edges(_units(t), *_classes(t), 3))
+
+
+def _claims(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A customer is a seed, its orders are facts and their lines the statements. An eleventh of the facts name no statement, a
+    seventh one that is not there; what they say fits in part."""
+    key, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    seed = F.concat(F.lit("c"), "o_custkey").alias("seed_id")
+    method = F.when(F.col("l_linenumber") % 3 == 1, "setAudioSource").otherwise("addView")
+    stmt = F.concat(F.lit("virtualinvoke $m.<q.P"), F.col("l_partkey") % 20, F.lit(": void "), method, F.lit("(int)>("), F.when(F.col("l_partkey") % 2 == 0, F.col("l_linenumber")).otherwise(2038), F.lit(") 10."), F.col("l_partkey") % 5, F.lit(".0.9"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("unit_id"), stmt.alias("stmt"), "l_linenumber")
+    units = lines.join(t.orders.select("o_orderkey", seed), "o_orderkey").select("seed_id", "unit_id", "stmt")
+    ids = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "unit_id"))).alias("x"))
+    own = F.coalesce(F.transform("x", lambda u: u["unit_id"]), none)
+    named = F.when(key % 11 > 0, F.concat(own, F.when(key % 7 == 0, F.array(F.concat(F.lit("gone-"), key))).otherwise(none)))
+    said = F.array(*map(F.lit, ("records the Microphone", "shows an application_overlay over all of the others", "unrelated words only here", "calls q.p", "type_phone setaudiosource")))
+    fact = F.concat(F.get(said, (key % 5).cast("int")), F.lit(" sent to http://h"), F.col("o_custkey") % 7, F.lit(".example.com/x or 10."), key % 6, F.lit(".7.7 and cdn.site"), F.col("o_custkey") % 3, F.lit(".org"))
+    facts = t.orders.join(ids, "o_orderkey", "left").select(seed, key.alias("idx"), fact.alias("fact"), named.alias("support_unit_ids"))
+    near = F.array(F.concat(F.lit("http://h"), F.col("c_custkey") % 4, F.lit(".example.com/x")), F.concat(F.lit("see site"), F.col("c_custkey") % 2, F.lit(".org")))
+    return facts, units, t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("seed_id"), F.posexplode(near).alias("ord", "text"))
+
+
+@query
+def claim_grounding(t) -> DataFrame:
+    """Faults of all facts."""
+    return G.grounding_faults(*_claims(t)).withColumn("overlap_ratio", F.round("overlap_ratio", 9))
+
+
+@query
+def claim_verdicts_strict(t) -> DataFrame:
+    """Verdicts on all seeds, with every fault an error."""
+    facts, units, strings = _claims(t)
+    out = G.grounding(facts, G.grounding_faults(facts, units, strings, strict=True))
+    return out.select("seed_id", "ok", F.array_join("missing_unit_ids", "|").alias("missing"), "n_mismatched", "n_warnings")
