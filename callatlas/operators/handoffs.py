@@ -5,6 +5,8 @@ A schema is compiled to one expression over a VARIANT, so a document is parsed o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,17 @@ SCHEMAS = {
 UNCLAIMED_FAILS, OPEN_FAILS, OPEN_PARTIAL = 0.5, 0.5, 0.2
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """JSON type of a VARIANT: string, integer, number, boolean, array, object or null."""
-    name = F.schema_of_variant(value)
+    return _let(F.schema_of_variant(value), _kind_named)
+
+
+def _kind_named(name: Column) -> Column:
     return (F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "BIGINT", "integer").when(name == "VOID", "null").otherwise("number"))
 
 
@@ -59,8 +69,17 @@ def faults(value: Column, schema: dict, loc: Column | None = None) -> Column:
     """array<struct<loc, message>>: where a VARIANT departs from a schema, in order of the schema; loc names the place by keys and
     places joined by dots, empty for the whole. Of a value of a wrong type only that is told. A null value has no faults."""
     loc = F.lit("") if loc is None else loc
-    kind, wanted = kind_of(value), schema.get("type")
-    fits = F.lit(True) if wanted is None else kind.isin("integer", "number") if wanted == "number" else kind == wanted
+    wanted = schema.get("type")
+    inside = _inside(value, schema, loc)
+    if wanted is None:
+        return F.when(value.isNull(), F.expr(_NONE)).otherwise(inside)
+    wrong = _told(F.lit(True), loc, F.concat(_shown(value), F.lit(f" is not of type '{wanted}'")))
+    fits = (lambda k: k.isin("integer", "number")) if wanted == "number" else (lambda k: k == wanted)
+    return F.when(value.isNull(), F.expr(_NONE)).when(fits(kind_of(value)), inside).otherwise(wrong)
+
+
+def _inside(value: Column, schema: dict, loc: Column) -> Column:
+    """Faults of a value of the right type."""
     out = []
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
     plain = lambda x: F.lit(str(x))
@@ -78,15 +97,17 @@ def faults(value: Column, schema: dict, loc: Column | None = None) -> Column:
         out.append(_told(F.try_variant_get(value, f"$.{name}", "variant").isNull(), loc, plain(f"'{name}' is a required property")))
     for name, inner in schema.get("properties", {}).items():
         child = F.try_variant_get(value, f"$.{name}", "variant")
-        out.append(F.when(child.isNotNull(), faults(child, inner, _at(loc, F.lit(name)))).otherwise(F.expr(_NONE)))
+        out.append(_let(child, _judge(inner, _at(loc, F.lit(name)))))
     items = F.try_variant_get(value, "$", "array<variant>")
     if "minItems" in schema:
         out.append(_told(F.size(items) < schema["minItems"], loc, F.concat(_shown(value), plain(" is too short"))))
     if "items" in schema:
         out.append(F.flatten(F.transform(items, lambda x, k: faults(x, schema["items"], _at(loc, k.cast("string"))))))
-    inside = F.coalesce(F.concat(*out), F.expr(_NONE)) if out else F.expr(_NONE)
-    wrong = _told(F.lit(True), loc, F.concat(_shown(value), plain(f" is not of type '{wanted}'")))
-    return F.when(value.isNull(), F.expr(_NONE)).when(fits, inside).otherwise(wrong)
+    return F.coalesce(F.concat(*out), F.expr(_NONE)) if out else F.expr(_NONE)
+
+
+def _judge(schema: dict, loc: Column) -> Callable[[Column], Column]:
+    return lambda value: faults(value, schema, loc)
 
 
 def validated(rows: DataFrame, kind: Column, text: str = "body", schemas: dict | None = None) -> DataFrame:
