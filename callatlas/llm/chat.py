@@ -8,6 +8,8 @@ very long conversations are cut into parts that are solved apart and joined.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,9 +85,19 @@ def final_state(now: list[int]) -> int:
     return min(range(4), key=lambda s: now[s] + INSERT * len(CLOSING[s]))
 
 
+def escaped(text: str) -> str:
+    """A text in which no mark begins: every `<|`, and what is already written so, gets a backslash more."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text) if "<" in text else text
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def render(roles: list[int], texts: list[str | None], entry: int, final: int, last: bool) -> tuple[str, int, int, int, int, int]:
     """Text of a part, its messages, cost, and numbers of merges, relabels and insertions. Parts, one after the other, are
-    the whole: a message is closed when the next one begins, or at the end of the last part."""
+    the whole: a message is closed when the next one begins, or at the end of the last part. Marks within a text are escaped, so
+    no text can open or close a message."""
     out, at, n, cost, merged, relabelled, inserted = [], entry, 0, 0, 0, 0, 0
 
     def message(role: int, text: str) -> None:
@@ -99,12 +111,12 @@ def render(roles: list[int], texts: list[str | None], entry: int, final: int, la
         relabelled += to != role
         if merges:
             merged += 1
-            out.append("\n\n" + (text or ""))
+            out.append("\n\n" + escaped(text or ""))
         else:
             for empty in BETWEEN[at, to]:
                 inserted += 1
                 message(empty, "")
-            message(to, text or "")
+            message(to, escaped(text or ""))
     if last:
         for empty in CLOSING[at]:
             inserted, cost = inserted + 1, cost + INSERT
