@@ -102,7 +102,7 @@ def edited_sketches(docs: DataFrame, shingle: int = 5, fraction: float = 1 / 8)
     last = F.col("copy") == 1
     cut = F.floor(F.col("n") / 3).cast("int")
     full = full.select(
-        *key, "n", "text", "sketch", F.when(last, F.col("next_sketch")).otherwise(F.col("sketch")).alias("next_sketch"), (~last | (F.col("next") == F.struct(*key))).alias("next_same"),
+        *key, "n", "text", "sketch", F.when(last, F.col("next_sketch")).otherwise(F.col("sketch")).alias("next_sketch"), (~last | (F.col("next.th") == F.col("th"))).alias("next_same"),
         F.concat(F.expr("left(text, n - cast(floor(n / 3) as int))"), F.when(last, F.col("head")).otherwise(F.left(F.col("text"), cut))).alias("edited"))
     full = full.withColumn("hashes", word_hashes(F.col("edited"))).withColumn("edited_sketch", sketch(F.col("hashes"), shingle, fraction))
     return full.select(

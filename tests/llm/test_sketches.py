@@ -1,8 +1,13 @@
+import functools
 import hashlib
 import random
+import re
+import struct
 
 import pytest
+import xxhash
 from callatlas.llm import sketches as S
+from callatlas.llm.queries import op8_sketches
 from pyspark.sql import functions as F
 
 
@@ -59,3 +64,30 @@ def test_digest_is_of_utf8(spark):
     docs = spark.createDataFrame([(1, "é😀x")], "doc_id bigint, text string")
     r = S.edited_sketches(docs).select(F.sha2("edited", 256).alias("s")).first()
     assert r["s"] == hashlib.sha256("é😀é".encode()).hexdigest()
+
+
+def sketch_by_hand(text, shingle=5, share=1 / 8):
+    """Sorted hashes of a text's shingles below the bound, with XXH64 of its own."""
+    fold = lambda values: functools.reduce(lambda seed, v: xxhash.xxh64_intdigest(struct.pack("<Q", v), seed), values, 42)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    grams = {fold(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} if len(words) >= shingle else {fold(words)} if words else set()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return sorted(signed(h) for h in grams if h >> 1 < int(share * (1 << 63)))
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["a", "bb", "é😀", "dog", "cat", "x\ty", "Ö", "\n"]
+    rows = [(k * 2, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 5, 6, 40, 300])))) for k in range(70)]
+    rows += [(501, rows[30][1]), (500, rows[30][1]), (503, None), (502, ""), (504, "one"), (505, "one"), (-3, "w " * 9000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    order = [(i, t or "") for i, t in sorted(rows, key=lambda r: -r[0])]
+    text_of = lambda s: "".join(f"{h % (1 << 64):016x}" for h in s)
+    like = lambda a, b, same: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else float(same)
+    want = {}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        edit = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, new, following = sketch_by_hand(t), sketch_by_hand(edit), sketch_by_hand(after)
+        want[i] = (len(t), hashlib.sha256(edit.encode()).hexdigest(), text_of(own), text_of(new), like(own, new, edit == t), like(own, following, t == after))
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for r in op8_sketches(spark, str(tmp_path)).collect()}
+    assert got == want and len({v[2] for v in got.values()}) > 20
