@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODIFIERS = r"(?:public|private|protected|static|final|synchronized|native|abstract|\s)*"
@@ -56,12 +56,16 @@ def method_sources(methods: DataFrame, sources: DataFrame, most_lines: int = 100
 
 def ir_summary(units: DataFrame, most: int = 100) -> DataFrame:
     """Statements, invoked methods and field accesses of each method's first units, their number, and whether some were cut.
-    units: method, idx, stmt."""
-    per = units.groupBy("method").agg(F.count(F.lit(1)).alias("unit_count"), F.array_sort(F.collect_list(F.struct("idx", "stmt"))).alias("x"))
-    statements = F.filter(F.transform(F.slice("x", 1, most), lambda u: u["stmt"]), lambda s: F.length(s) > 0)
+    units: method, idx, stmt, and analysis_id, where each analysis has its own methods. Units are cut before they are collected,
+    so a row holds `most` of them, however long its method is."""
+    key = [c for c in ("analysis_id", "method") if c in units.columns]
+    whole = Window.partitionBy(*key)
+    numbered = units.select(*key, "idx", "stmt", F.row_number().over(whole.orderBy("idx", "stmt")).alias("_n"), F.count(F.lit(1)).over(whole).alias("unit_count"))
+    per = numbered.where(F.col("_n") <= most).groupBy(*key, "unit_count").agg(F.array_sort(F.collect_list(F.struct("_n", "stmt"))).alias("x"))
+    statements = F.filter(F.transform("x", lambda u: u["stmt"]), lambda s: F.length(s) > 0)
     calls = F.filter(F.transform(F.filter("statements", lambda s: s.contains("invoke")), lambda s: F.regexp_extract(s, "<([^>]+)>", 1)), lambda s: F.length(s) > 0)
     out = per.withColumn("statements", statements)
-    return out.select("method", "statements", calls.alias("invoked_methods"), F.filter("statements", lambda s: s.contains(".<") & s.contains(": ")).alias("field_accesses"), "unit_count", (F.col("unit_count") > most).alias("truncated"))
+    return out.select(*key, "statements", calls.alias("invoked_methods"), F.filter("statements", lambda s: s.contains(".<") & s.contains(": ")).alias("field_accesses"), "unit_count", (F.col("unit_count") > most).alias("truncated"))
 
 
 def lookup_strategy(has_source: Column, has_ir: Column) -> Column:

@@ -74,3 +74,12 @@ g AS (SELECT o_custkey, string_agg('gone-' || o_orderkey, '|' ORDER BY 'gone-' |
 SELECT 'c' || o_custkey AS seed_id, n IS NULL AND missing IS NULL AS ok, coalesce(missing, '') AS missing, coalesce(n, 0) AS n_mismatched, CAST(0 AS BIGINT) AS n_warnings
 FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN n USING (o_custkey) LEFT JOIN g USING (o_custkey)""",
 }
+
+SQL["ir_summaries"] = """WITH u AS (
+  SELECT CAST(date_part('year', o_orderdate) AS VARCHAR) AS analysis_id, 'm' || l_partkey AS method, l_orderkey * 8 + l_linenumber AS idx,
+    CASE l_linenumber % 3 WHEN 0 THEN 'virtualinvoke $m.<q.S' || (l_suppkey % 9) || ': void f()>()' WHEN 1 THEN '$f = r0.<q.P: int f' || (l_suppkey % 9) || '>' ELSE '' END AS stmt
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, method ORDER BY idx, stmt) AS n, count(*) OVER (PARTITION BY analysis_id, method) AS unit_count FROM u)
+SELECT analysis_id, method, coalesce(string_agg(stmt, '|' ORDER BY n) FILTER (stmt <> ''), '') AS statements, coalesce(string_agg(regexp_extract(stmt, '<([^>]+)>', 1), '|' ORDER BY n) FILTER (stmt LIKE '%invoke%'), '') AS invoked,
+  coalesce(string_agg(stmt, '|' ORDER BY n) FILTER (contains(stmt, '.<') AND contains(stmt, ': ')), '') AS fields, unit_count, unit_count > 4 AS truncated
+FROM n WHERE n <= 4 GROUP BY analysis_id, method, unit_count"""

@@ -12,9 +12,10 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bodies import ir_summary
 from ..operators import defuse as D
 from ..operators import grounding as G
-from .queries import query
+from .queries import joined, query
 
 _N = 10
 _START = "virtualinvoke $t.<java.lang.Thread: void start()>()"
@@ -115,3 +116,13 @@ def claim_verdicts_strict(t) -> DataFrame:
     facts, units, strings = _claims(t)
     out = G.grounding(facts, G.grounding_faults(facts, units, strings, strict=True))
     return out.select("seed_id", "ok", F.array_join("missing_unit_ids", "|").alias("missing"), "n_mismatched", "n_warnings")
+
+
+@query
+def ir_summaries(t) -> DataFrame:
+    """Statements, calls and fields of the first four units of each method (a part's lines, by the year of their order; the
+    years are analyses that share the methods' names)."""
+    stmt = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("virtualinvoke $m.<q.S"), F.col("l_suppkey") % 9, F.lit(": void f()>()"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("$f = r0.<q.P: int f"), F.col("l_suppkey") % 9, F.lit(">"))).otherwise("")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("string").alias("analysis_id"))
+    units = t.lineitem.join(orders, "l_orderkey").select("analysis_id", F.concat(F.lit("m"), "l_partkey").alias("method"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), stmt.alias("stmt"))
+    return ir_summary(units, 4).select("analysis_id", "method", joined("statements").alias("statements"), joined("invoked_methods").alias("invoked"), joined("field_accesses").alias("fields"), "unit_count", "truncated")

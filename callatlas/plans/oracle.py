@@ -202,7 +202,7 @@ SELECT c_custkey, CASE WHEN c > 0 AND g > 0 AND c_mktsegment = 'BUILDING' AND a
     "bare_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "bundle_keys": "SELECT CASE WHEN o_orderkey % 4 > 0 THEN 'CASE:' || o_custkey || ':' || o_orderstatus ELSE 'SINGLE:' || o_orderkey END AS key, count(*) AS n FROM orders GROUP BY 1",
     "api_permissions": f"WITH {_EDGES}, s AS (SELECT DISTINCT callee AS signature FROM edges) SELECT signature, concat_ws('|', CASE WHEN contains(signature, 'promo.') THEN 'P1' END, CASE WHEN contains(signature, '.P7') THEN 'P2' END, CASE WHEN contains(signature, 'economy') THEN 'P3' END, CASE WHEN contains(signature, 'P77') THEN 'P4' END) AS permissions FROM s",
-    "rule_subset": f"WITH {_CATALOG}, s AS (SELECT '<tpch.' || lower(kind) || '.P' || p || ': void call(int)>' AS signature, category_id FROM catalog, range(0, 100) r(p)) SELECT * FROM s WHERE lower(signature) LIKE '%p1%' OR lower(signature) LIKE '%promo%'",
+    "rule_subset": "WITH s AS (SELECT DISTINCT '<tpch.' || lower(p_type) || '.P' || (p_partkey % 100) || ': void call(int)>' AS signature, p_brand AS category_id FROM part) SELECT * FROM s WHERE lower(signature) LIKE '%p1%' OR lower(signature) LIKE '%promo%'",
     "framework_flags": "SELECT s_suppkey, s_suppkey % 2 = 0 AND s_suppkey % 3 > 0 AND s_suppkey % 4 = 0 AS is_framework FROM supplier",
     "safe_ids": "SELECT page_id, left(trim(regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g'), '._-'), 60) AS id FROM pages",
     "printable_runs": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x20-\x7e]{4,}')) AS BIGINT) AS n FROM documents",

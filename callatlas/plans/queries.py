@@ -572,8 +572,10 @@ def api_permissions(t) -> DataFrame:
 
 @query
 def rule_subset(t) -> DataFrame:
+    """Rules for the methods of all parts, by brand, that have a keyword."""
     words = t.spark.createDataFrame([("P1",), ("promo",)], "keyword string")
-    return lookups.rule_subset(A.catalog(t), words).select("signature", "category_id")
+    rules_ = t.part.select(A.callee_of(F.col("p_type"), F.col("p_partkey")).alias("signature"), F.col("p_brand").alias("category_id")).distinct()
+    return lookups.rule_subset(rules_, words).select("signature", "category_id")
 
 
 @query

@@ -37,6 +37,8 @@ def test_method_bodies(spark):
     r = B.ir_summary(u, 2).first()
     assert (list(r["invoked_methods"]), list(r["field_accesses"]), r["unit_count"], r["truncated"]) == (["p.Q: void s()"], ["$a.<p.F: int f> = 1"], 3, True)
     assert spark.range(1).select(B.lookup_strategy(F.lit(True), F.lit(False)).alias("s")).first()["s"] == "jadx"
+    two = u.withColumn("analysis_id", F.explode(F.array(F.lit("a"), F.lit("b")))).where("analysis_id = 'a' or idx = 0")
+    assert {r["analysis_id"]: r["unit_count"] for r in B.ir_summary(two, 2).collect()} == {"a": 3, "b": 1}
 
 
 def test_archives(spark, tmp_path):
