@@ -148,7 +148,7 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_lin
     "stage_durations": "SELECT user_id, event_type AS stage, round((epoch_us(max(ts) FILTER (event_id % 2 = 1)) - epoch_us(min(ts) FILTER (event_id % 2 = 0))) / 1e6, 3) AS seconds FROM events GROUP BY user_id, event_type",
     "run_summary": "SELECT user_id, arg_min(event_type, event_id) AS first_event, arg_max(event_type, event_id) AS last_event, count(*) AS n_events FROM events GROUP BY user_id",
     "event_levels": "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1",
-    "edge_union_dedup": f"WITH {_EDGES}, b AS (SELECT caller, callee, min(CASE edge_source WHEN 'soot_cg' THEN 0 WHEN 'jimple_invoke' THEN 1 ELSE 2 END) AS k FROM edges GROUP BY caller, callee) SELECT CASE k WHEN 0 THEN 'soot_cg' WHEN 1 THEN 'jimple_invoke' ELSE 'threading_synthetic' END AS edge_source, count(*) AS n FROM b GROUP BY 1",
+    "edge_union_dedup": f"WITH {_EDGES}, b AS (SELECT caller, callee, min(CASE edge_source WHEN 'soot_cg' THEN 0 WHEN 'jimple_invoke' THEN 1 ELSE 2 END) AS k FROM edges GROUP BY caller, callee, ord % 3) SELECT CASE k WHEN 0 THEN 'soot_cg' WHEN 1 THEN 'jimple_invoke' ELSE 'threading_synthetic' END AS edge_source, count(*) AS n FROM b GROUP BY 1",
     "library_filter": """WITH n AS (SELECT ['androidx.', 'okhttp3.', 'com.example.', 'org.jsonx.', 'com.google.gson.'][p_size % 5 + 1] AS p FROM part)
 SELECT p IN ('androidx.', 'okhttp3.', 'com.google.gson.') AS library, p = 'androidx.' AS framework, count(*) AS n FROM n GROUP BY 1, 2""",
     "declared_entrypoints": """WITH m AS (SELECT DISTINCT s_nationkey AS k, ['onCreate', 'onReceive', 'query', 'onBind', 'helper'][s_suppkey % 5 + 1] AS s FROM supplier WHERE s_nationkey < 20)

@@ -343,7 +343,9 @@ def event_levels(t) -> DataFrame:
 
 @query
 def edge_union_dedup(t) -> DataFrame:
-    e = A.edges(t).select("caller", "callee", F.lit("").alias("callsite"), "ord", "edge_source")
+    """Edges of three sources, one for each pair of methods and call site (the remainder of the line's number, empty for one)."""
+    site = F.when(F.col("ord") % 3 > 0, F.concat(F.lit("at "), F.col("ord") % 3)).otherwise("")
+    e = A.edges(t).select("caller", "callee", site.alias("callsite"), "ord", "edge_source")
     parts = [e.where(F.col("edge_source") == s) for s in ("soot_cg", "jimple_invoke", "threading_synthetic")]
     return graph.union_edges(*parts).groupBy("edge_source").agg(F.count(F.lit(1)).alias("n"))
 
