@@ -1,3 +1,5 @@
+import hashlib
+
 from callatlas.operators import seeding
 
 SIG = {"send": "<t.Sms: void send(int)>", "go": "<t.A: void go()>", "read": "<t.Id: int read()>"}
@@ -7,7 +9,11 @@ def made(spark, calls, remote, local):
     catalog = spark.createDataFrame([(SIG["send"], "OLD", 0), (SIG["send"], "SMS", 1), (SIG["go"], "GO", 2), (SIG["read"], "ID", 3)], "signature string, category string, ord int")
     c = spark.createDataFrame(calls, "analysis_id string, caller string, callee string, offset int")
     h = lambda rows: spark.createDataFrame([(a, m, f, k) for k, (a, m, f) in enumerate(rows)], "analysis_id string, method_name string, file_path string, ord int")
-    return [tuple(r) for r in seeding.seeds(c, h(remote), h(local), catalog).collect()]
+    found = seeding.seeds(c, h(remote), h(local), catalog).collect()
+    for r in found:
+        origin = r["caller_method"] if r["source"] == "calls" else r["signature"].split("(")[0].split(" ")[-1]
+        assert r["seed_id"] == hashlib.sha1(f"{origin}|{r['signature']}|{r['place']}".encode()).hexdigest()
+    return [tuple(r)[:1] + tuple(r)[2:] for r in found]
 
 
 def test_each_analysis_has_its_surest_source(spark):
