@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import checkpointed
+
 #: Most methods of a path, the sensitive one included.
 MOST = 20
 _ATTRIBUTES = {"callsite": "string", "edge_source": "string", "edge_layer": "string", "pattern": "string", "confidence": "string", "weight": "bigint"}
@@ -34,6 +36,17 @@ def edges_along(rows: DataFrame, edges: DataFrame, key: list[str], path: str = "
     return met.groupBy("analysis_id", *key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["edge"]).alias("edges"))
 
 
+def edges_needed(sinks: DataFrame, paths: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
+    """The edges that documents of these sinks can name: between neighbours on the paths to their callers, and between a sink's own
+    ends. They are found in one pass, so that the steps after it meet as many edges as documents have, not the whole graph."""
+    ends = ["analysis_id", "caller", "callee"]
+    callers = sinks.select("analysis_id", F.col("caller").alias("method")).distinct()
+    way = paths.join(callers, ["analysis_id", "method"], "left_semi").select("analysis_id", F.slice("path", 1, most).alias("path"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.element_at("path", k).alias("caller"), F.element_at("path", k + 1).alias("callee")))
+    named = way.where(F.size("path") > 1).select("analysis_id", F.inline(pairs)).union(sinks.select(*ends)).distinct()
+    return checkpointed(edges.join(checkpointed(named), ends, "left_semi"))
+
+
 def reachability(sinks: DataFrame, paths: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """sinks (analysis_id, sink_id, caller, callee, and others) plus reachable, path_len, path_cost, example_path, example_edges.
 

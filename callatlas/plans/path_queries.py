@@ -30,10 +30,11 @@ def control_flow_paths(t) -> DataFrame:
     links = checkpointed(links.unionByName(twins))
     source = F.when(F.startswith("caller", F.lit("c")), "soot_cg").when(F.startswith("caller", F.lit("p")), "jimple_invoke").otherwise("threading_synthetic")
     edges = links.withColumn("edge_source", source).withColumn("callsite", F.concat(F.lit("at "), "caller", F.lit(" "), "callee")).withColumn("pattern", F.when(F.startswith("caller", F.lit("s")), "thread_start"))
-    paths = graph.paths(graph.weighted_distances(links, _roots(t)))
+    paths = checkpointed(graph.paths(graph.weighted_distances(links, _roots(t))))
     line = F.concat("l_orderkey", F.lit("-"), "l_linenumber")
     stmt = F.when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("if $i == "), "l_quantity", F.lit(" goto 3"))).when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit(" switch "), "l_partkey")).otherwise(F.concat(F.lit("$i = "), "l_partkey"))
     slices = t.lineitem.select(F.lit("tpch").alias("analysis_id"), F.concat(F.lit("s"), "l_suppkey").alias("sink_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), line.alias("unit_id"), stmt.alias("stmt"))
+    edges = P.edges_needed(_sinks(t), paths, edges)
     docs = P.path_documents(P.reachability(_sinks(t), paths, edges), edges, slices)
     of_edge = lambda e: F.concat_ws("/", e["callsite"], e["edge_source"], e["pattern"], e["weight"].cast("string"))
     guards = F.col("branch_conditions")
