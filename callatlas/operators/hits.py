@@ -52,12 +52,12 @@ def hierarchy_matches(edges: DataFrame, catalog: DataFrame, subtypes: DataFrame)
     names = ["m", "r", "p"]
     left = missed.select("*", S.class_of(F.col("callee")).alias("callee_class"), *(e.alias(n) for n, e in zip(names, key(F.col("callee")))))
     right = catalog.select("*", S.class_of(F.col("signature")).alias("catalog_class"), *(e.alias(n) for n, e in zip(names, key(F.col("signature")))))
-    pairs = left.join(right, names)
     own = [c for c in ("analysis_id",) if c in subtypes.columns]
-    either = subtypes.select(*own, F.col("class").alias("c1"), F.col("supertype").alias("c2")).distinct()
-    both = either.union(either.select(*own, "c2", "c1")).distinct()
-    related = pairs.withColumn("c1", F.col("callee_class")).withColumn("c2", F.col("catalog_class")).join(both, [*own, "c1", "c2"], "left_semi").drop("c1", "c2")
-    same = pairs.where("callee_class = catalog_class")
+    either = subtypes.select(*own, F.col("class").alias("callee_class"), F.col("supertype").alias("catalog_class")).distinct()
+    both = either.union(either.select(*own, F.col("catalog_class").alias("callee_class"), F.col("callee_class").alias("catalog_class"))).distinct()
+    # the catalog is spread over related classes first: by method, return type and parameters alone an edge would meet every class of it
+    related = left.join(right.join(both, "catalog_class"), [*own, "callee_class", *names])
+    same = left.join(right.withColumn("callee_class", F.col("catalog_class")), ["callee_class", *names])
     return related.unionByName(same).drop(*names, "callee_class", "catalog_class").withColumn("match_type", F.lit("hierarchy"))
 
 
