@@ -60,15 +60,24 @@ def resolve_values(uses: DataFrame, definitions: DataFrame, steps: int = 6) -> D
     """uses (method, idx, value, and analysis_id, where there is one) plus resolved: the value behind locals and casts.
 
     definitions: method, idx, local, value. A step takes off a cast, or goes from a local to its last definition at or before
-    the use; after `steps` steps, or without a definition, what is there stays. Each step is one join by method and local.
+    the use; after `steps` steps, or without a definition, what is there stays. Definitions and uses are shuffled once, by method, and
+    lie together from then on: a step is a window over a local's definitions and uses, which reads the rows of the step before once.
     """
     key = [c for c in ("analysis_id",) if c in uses.columns] + ["method"]
-    known = definitions.select(*key, F.col("idx").alias("_at"), F.col("local").alias("_local"), F.col("value").alias("_next"))
-    rows = uses.withColumn("resolved", F.col("value"))
+    asked = uses.select(*key, "idx", F.lit(1).alias("_side"), F.col("value").alias("_value"), F.struct(*uses.columns).alias("_use"))
+    given = definitions.where(" and ".join(f"{c} is not null" for c in (*key, "idx", "local")))
+    given = given.select(*key, "idx", F.lit(0).alias("_side"), "value", "local")
+    asked = asked.withColumn("_local", F.lit(None).cast(given.schema["local"].dataType))
+    given = given.select(*key, "idx", "_side", F.col("value").alias("_value"), F.lit(None).cast(asked.schema["_use"].dataType).alias("_use"), F.col("local").alias("_local"))
+    rows = given.unionByName(asked).repartition(*key)
     cast = r"^\([^()]+\)\s+"
+    is_use = F.col("_side") == 1
+    before = Window.partitionBy(*key, "_local").orderBy("idx", "_side", F.when(~is_use, F.col("_value"))).rowsBetween(Window.unboundedPreceding, 0)
+    told = F.last(F.when(~is_use, F.struct(F.col("_value").alias("value"))), ignorenulls=True).over(before)
     for _ in range(steps):
-        rows = rows.withColumn("_local", F.when(~F.col("resolved").rlike(cast), F.col("resolved"))).withColumn("resolved", F.regexp_replace("resolved", cast, ""))
-        met = rows.select(*key, "idx", "_local").where("_local is not null").distinct().join(known, [*key, "_local"]).where(F.col("_at") <= F.col("idx"))
-        last = met.groupBy(*key, "idx", "_local").agg(F.max_by("_next", "_at").alias("_next"))
-        rows = rows.join(last, [*key, "idx", "_local"], "left").withColumn("resolved", F.coalesce("_next", "resolved")).drop("_next", "_local")
-    return rows
+        rows = rows.withColumn("_local", F.when(~is_use, F.col("_local")).when(~F.col("_value").rlike(cast), F.col("_value")))
+        rows = rows.withColumn("_told", told)
+        known = is_use & F.col("_local").isNotNull() & F.col("method").isNotNull()
+        plain = F.when(is_use, F.regexp_replace("_value", cast, "")).otherwise(F.col("_value"))
+        rows = rows.withColumn("_value", F.coalesce(F.when(known, F.col("_told.value")), plain)).drop("_told")
+    return rows.where(is_use).select(*(F.col("_use")[c].alias(c) for c in uses.columns), F.col("_value").alias("resolved"))

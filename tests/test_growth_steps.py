@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import hits
+from callatlas.operators import hits, triage
 
 
 def _plan(df):
@@ -14,3 +14,13 @@ def test_hierarchy_joins_by_class(spark):
     assert [(r.callee, r.signature, r.match_type) for r in found.collect()] == [("<a.B: void call(int)>", "<p.P7: void call(int)>", "hierarchy")]
     joins = [line for line in _plan(found).splitlines() if "Join Inner" in line and "m#" in line]
     assert joins and all("callee_class#" in line for line in joins)
+
+
+def test_values_shuffle_once(spark):
+    d = spark.createDataFrame([("m", 1, "v1", "new T"), ("m", 2, "v2", "(a.B) v1"), ("m", 4, "v1", None), ("m", 6, "v3", "v2"), ("m", None, "v9", "new N"), (None, 1, "v1", "new M")], "method string, idx bigint, local string, value string")
+    u = spark.createDataFrame([("m", 7, "v3"), ("m", 3, "v1"), ("m", 5, "v1"), ("m", 7, "v9"), ("m", 0, "v1"), (None, 2, "v1"), ("m", 3, "v1")], "method string, idx bigint, value string")
+    found = triage.resolve_values(u, d)
+    # v3 at 7 leads to v1, whose last definition before 7 is null: what is there stays
+    assert sorted(((r.method, r.idx, r.resolved) for r in found.collect()), key=str) == sorted([("m", 7, "v1"), ("m", 3, "new T"), ("m", 3, "new T"), ("m", 5, "v1"), ("m", 7, "v9"), ("m", 0, "v1"), (None, 2, "v1")], key=str)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") + plan.count("Repartition") <= 1
