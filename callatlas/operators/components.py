@@ -60,14 +60,18 @@ def entrypoints(methods: DataFrame, declared: DataFrame, subtypes: DataFrame | N
 
 def inherited_entrypoints(methods: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Concrete methods (analysis_id, method) of classes that extend, or are, a platform base class, by name. subtypes: class,
-    supertype (transitive), and analysis_id, where each analysis has its own."""
+    supertype (transitive), and analysis_id, where each analysis has its own.
+
+    Methods are few of a name, so their repeats are taken out behind the shuffle only: a map of all rows of a scan, which would
+    combine next to nothing, grows with the scan."""
     own = [c for c in ("analysis_id",) if c in subtypes.columns]
     allowed = F.create_map(*(x for base, names in BASE_METHODS.items() for x in (F.lit(base), F.array(*map(F.lit, names)))))
-    bases = subtypes.where(F.col("supertype").isin(*BASE_METHODS)).select(*own, "class", F.explode(allowed[F.col("supertype")]).alias("short")).distinct()
+    bases = subtypes.where(F.col("supertype").isin(*BASE_METHODS)).select(*own, "class", F.explode(allowed[F.col("supertype")]).alias("short"))
     rows = methods.select("analysis_id", "method", S.class_of(F.col("method")).alias("class"), S.method_of(F.col("method")).alias("short"))
+    rows = rows.where(F.col("short").isin(*sorted({n for names in BASE_METHODS.values() for n in names})))
     below = rows.join(bases, [*own, "class", "short"], "left_semi")
     itself = rows.where(F.array_contains(allowed[F.col("class")], F.col("short")))
-    return below.unionByName(itself).select("analysis_id", "method").distinct()
+    return below.unionByName(itself).select("analysis_id", "method").repartition("analysis_id", "method").distinct()
 
 
 def app_prefixes(names: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import hits, triage
+from callatlas.operators import components, hits, triage
 
 
 def _plan(df):
@@ -24,3 +24,12 @@ def test_values_shuffle_once(spark):
     assert sorted(((r.method, r.idx, r.resolved) for r in found.collect()), key=str) == sorted([("m", 7, "v1"), ("m", 3, "new T"), ("m", 3, "new T"), ("m", 5, "v1"), ("m", 7, "v9"), ("m", 0, "v1"), (None, 2, "v1")], key=str)
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") + plan.count("Repartition") <= 1
+
+
+def test_entrypoints_repeat_behind_the_shuffle(spark):
+    m = spark.createDataFrame([("x", "<a.A: void onCreate()>"), ("x", "<a.A: void onCreate()>"), ("x", "<a.A: void helper()>"), ("x", "<a.B: void onCreate()>")], "analysis_id string, method string")
+    base = next(b for b, names in components.BASE_METHODS.items() if "onCreate" in names)
+    found = components.inherited_entrypoints(m, spark.createDataFrame([("a.A", base), ("a.A", base)], "class string, supertype string"))
+    assert [r.method for r in found.collect()] == ["<a.A: void onCreate()>"]
+    plan = _plan(found)
+    assert plan.splitlines()[0].startswith("Aggregate") and "Repartition" in plan.splitlines()[1] and plan.count("Aggregate") == 1
