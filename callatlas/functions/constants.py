@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,11 @@ def annotate(units: DataFrame) -> DataFrame:
     return out.drop("_class", "_method", "_args", "_info", "_list", "_place", "_constant", "_meaning")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def numeric_constants(text: Column) -> Column:
     """Distinct numbers in parentheses and assignments, negative ones with their sign."""
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -78,8 +85,11 @@ def numeric_constants(text: Column) -> Column:
 
 def semantic_tokens(text: Column) -> Column:
     """Names that stand for the constants and methods of a text, sorted."""
-    found = numeric_constants(text)
+    return let(F.struct(numeric_constants(text).alias("found"), F.lower(text).alias("text")), _names_of)
+
+
+def _names_of(x: Column) -> Column:
     none = F.array().cast("array<string>")
-    parts = [F.when(F.array_contains(found, k), F.array(*map(F.lit, names))).otherwise(none) for k, names in CONSTANT_ALIASES.items()]
-    parts += [F.when(F.contains(F.lower(text), F.lit(k)), F.array(*map(F.lit, names))).otherwise(none) for k, names in METHOD_ALIASES.items()]
+    parts = [F.when(F.array_contains(x["found"], k), F.array(*map(F.lit, names))).otherwise(none) for k, names in CONSTANT_ALIASES.items()]
+    parts += [F.when(F.contains(x["text"], F.lit(k)), F.array(*map(F.lit, names))).otherwise(none) for k, names in METHOD_ALIASES.items()]
     return F.array_sort(F.array_distinct(F.concat(*parts)))

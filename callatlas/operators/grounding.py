@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import semantic_tokens
+from ..functions.constants import let, semantic_tokens
 
 #: Texts of a seed that count, the first by order.
 STRINGS = 200
@@ -45,12 +45,16 @@ def supported(facts: DataFrame, units: DataFrame) -> DataFrame:
 def _overlap(rows: DataFrame) -> DataFrame:
     """rows plus n_tokens, n_met, n_direct: words of the claim, those that the statements have or stand for, and those that they have
     as they are."""
-    said = F.coalesce("statements", F.lit(""))
-    rows = rows.withColumn("_tokens", tokens(F.coalesce("fact", F.lit("")))).withColumn("_said", F.lower(said)).withColumn("_names", semantic_tokens(said))
-    rows = rows.withColumn("_words", F.array_distinct(F.filter(F.split("_said", r"\s+"), lambda w: F.length(w) > 0)))
-    direct = lambda t: F.contains(F.col("_said"), t)
-    named = lambda t: F.exists("_names", lambda n: F.contains(n, t) | F.contains(t, n)) | F.exists("_words", lambda w: F.contains(t, w))
-    return rows.withColumns({"n_tokens": F.size("_tokens"), "n_met": F.size(F.filter("_tokens", lambda t: direct(t) | named(t))), "n_direct": F.size(F.filter("_tokens", direct))})
+    # what a lambda asks for is bound once for a row; a column that only a lambda names would be computed for each word
+    said = F.lower(F.coalesce("statements", F.lit("")))
+    words = F.array_distinct(F.filter(F.split(said, r"\s+"), lambda w: F.length(w) > 0))
+    direct = lambda x: lambda t: F.contains(x["said"], t)
+    named = lambda x, t: F.exists(x["names"], lambda n: F.contains(n, t) | F.contains(t, n)) | F.exists(x["words"], lambda w: F.contains(t, w))
+    claim, said = tokens(F.coalesce("fact", F.lit(""))).alias("tokens"), said.alias("said")
+    names = semantic_tokens(F.coalesce("statements", F.lit(""))).alias("names")
+    met = let(F.struct(claim, said, names, words.alias("words")), lambda x: F.size(F.filter(x["tokens"], lambda t: direct(x)(t) | named(x, t))))
+    as_said = let(F.struct(claim, said), lambda x: F.size(F.filter(x["tokens"], direct(x))))
+    return rows.withColumns({"n_tokens": F.size(claim), "n_met": met, "n_direct": as_said})
 
 
 def _percent(ratio: Column, places: int) -> Column:

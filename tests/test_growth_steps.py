@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import components, hits, triage
+from callatlas.operators import components, grounding, hits, triage
 
 
 def _plan(df):
@@ -33,3 +33,11 @@ def test_entrypoints_repeat_behind_the_shuffle(spark):
     assert [r.method for r in found.collect()] == ["<a.A: void onCreate()>"]
     plan = _plan(found)
     assert plan.splitlines()[0].startswith("Aggregate") and "Repartition" in plan.splitlines()[1] and plan.count("Aggregate") == 1
+
+
+def test_words_of_a_claim_are_compared_with_what_is_computed_once(spark):
+    f = spark.createDataFrame([("s", 1, "records the microphone", ["u"])], "seed_id string, idx bigint, fact string, support_unit_ids array<string>")
+    u = spark.createDataFrame([("s", "u", "virtualinvoke $m.<q.P: void setAudioSource(int)>(1)")], "seed_id string, unit_id string, stmt string")
+    found = grounding.grounding_faults(f, u, spark.createDataFrame([], "seed_id string, ord int, text string"))
+    assert [(r.place, r.severity) for r in found.collect()] == [(0, "info")]
+    assert _plan(found).count("regexp_extract_all(") < 20
