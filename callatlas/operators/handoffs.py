@@ -134,15 +134,21 @@ def claim_coverage(calls: DataFrame, claims: DataFrame, ambiguous: DataFrame, lo
     """
     key = [c for c in ("analysis_id", "seed_id") if c in calls.columns]
     unit = [*key, "unit_id"]
-    mark = lambda df, name: df.select(*unit).distinct().withColumn(name, F.lit(True))
-    total = calls.groupBy(*key).agg(F.count(F.lit(1)).alias("n_calls"))
-    met = mark(calls, "call").join(mark(claims.where("claim_type = 'effect'"), "claimed"), unit, "left")
-    met = met.groupBy(*key).agg(F.count("claimed").alias("n_claimed"), F.count(F.when(F.col("claimed").isNull(), 1)).alias("n_unclaimed"))
-    asked = mark(ambiguous, "asked").join(mark(lookups, "found"), unit, "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_ambiguous"), F.count("found").alias("n_looked_up"))
-    rows_asked = ambiguous.groupBy(*key).agg(F.count(F.lit(1)).alias("_asked"))
-    left = unresolved.groupBy(*key).agg(F.count(F.lit(1)).alias("_open"))
-    rows = total.join(met, key, "full").join(asked, key, "full").join(rows_asked, key, "left").join(left, key, "left")
-    rows = rows.na.fill(0, ["n_calls", "n_claimed", "n_unclaimed", "n_ambiguous", "n_looked_up", "_asked", "_open"])
+    none = [F.lit(0).alias(n) for n in ("call", "claim", "ask", "found", "open")]
+    put = lambda df, name: df.select(*unit, *(F.lit(1).alias(name) if n == name else c for n, c in zip(("call", "claim", "ask", "found", "open"), none)))
+    marks = put(calls, "call")
+    for df, name in ((claims.where("claim_type = 'effect'"), "claim"), (ambiguous, "ask"), (lookups, "found"), (unresolved, "open")):
+        marks = marks.unionByName(put(df, name))
+    # every mark of a unit is summed in one pass behind one shuffle: maps of a scan's units, which combine little, grow with the scan
+    per = marks.repartition(*unit).groupBy(*unit).agg(*(F.sum(n).alias(n) for n in ("call", "claim", "ask", "found", "open")))
+    named = F.col("unit_id").isNotNull()
+    for k in key:
+        named = named & F.col(k).isNotNull()
+    called, asked = F.col("call") > 0, F.col("ask") > 0
+    claimed, seen = named & (F.col("claim") > 0), named & (F.col("found") > 0)
+    count = lambda c: F.count(F.when(c, 1))
+    rows = per.groupBy(*key).agg(F.sum("call").alias("n_calls"), count(called & claimed).alias("n_claimed"), count(called & ~claimed).alias("n_unclaimed"), count(asked).alias("n_ambiguous"), count(asked & seen).alias("n_looked_up"), F.sum("ask").alias("_asked"), F.sum("open").alias("_open"))
+    rows = rows.where("n_calls > 0 or _asked > 0")
     open_ = F.when(F.col("_asked") > 0, F.col("_open") / F.col("_asked")).otherwise(0.0)
     missed = F.when(F.col("n_calls") > 0, F.col("n_unclaimed") / F.col("n_calls")).otherwise(0.0)
     status = (F.when(F.col("n_calls") == 0, "ok").when(missed > UNCLAIMED_FAILS, "failed").when(F.col("n_unclaimed") > 0, "partial").when(open_ > OPEN_FAILS, "failed").when(open_ > OPEN_PARTIAL, "partial").otherwise("ok"))

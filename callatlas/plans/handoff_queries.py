@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import handoffs as H
+from .durable import checkpointed
 from .queries import query
 
 
@@ -39,7 +40,8 @@ def _calls(t) -> tuple[DataFrame, ...]:
     """Lines as calls of their customer (lines of one number in an order are one unit); what is returned or unfinished is claimed,
     open or looked up."""
     seeds = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("seed_id"))
-    rows = t.lineitem.join(seeds, "l_orderkey").withColumn("unit_id", F.concat("l_orderkey", F.lit("-"), "l_linenumber"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").join(seeds, "l_orderkey")
+    rows = checkpointed(rows).withColumn("unit_id", F.concat("l_orderkey", F.lit("-"), "l_linenumber"))
     claims = rows.where("l_returnflag <> 'R' or l_linenumber > 2").withColumn("claim_type", F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") >= 6), "input").otherwise("effect"))
     open_ = rows.where("l_linestatus = 'O' and l_quantity > 25")
     unit = ["seed_id", "unit_id"]

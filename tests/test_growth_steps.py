@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import components, grounding, hits, triage
+from callatlas.operators import components, grounding, handoffs, hits, triage
 
 
 def _plan(df):
@@ -41,3 +41,13 @@ def test_words_of_a_claim_are_compared_with_what_is_computed_once(spark):
     found = grounding.grounding_faults(f, u, spark.createDataFrame([], "seed_id string, ord int, text string"))
     assert [(r.place, r.severity) for r in found.collect()] == [(0, "info")]
     assert _plan(found).count("regexp_extract_all(") < 20
+
+
+def test_coverage_is_one_sum(spark):
+    unit = "seed_id string, unit_id string"
+    calls = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("a", None), ("b", "1")], unit)
+    claims = spark.createDataFrame([("a", "1", "effect"), ("a", "2", "input"), ("a", None, "effect"), ("c", "1", "effect")], unit + ", claim_type string")
+    ambiguous, lookups = spark.createDataFrame([("b", "1"), ("b", "1"), ("d", "4")], unit), spark.createDataFrame([("b", "1"), ("e", "1")], unit)
+    found = handoffs.claim_coverage(calls, claims, ambiguous, lookups, spark.createDataFrame([("b", "1")], unit))
+    assert sorted((r.seed_id, r.n_calls, r.n_claimed, r.n_ambiguous, r.n_looked_up, r.unresolved_ratio, r.status) for r in found.collect()) == [("a", 4, 1, 0, 0, 0.0, "partial"), ("b", 1, 0, 1, 1, 0.5, "failed"), ("d", 0, 0, 1, 0, 0.0, "ok")]
+    assert "Join" not in _plan(found)
