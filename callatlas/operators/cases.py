@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import checkpointed
+
 LAST = 9999
 
 
@@ -37,7 +39,7 @@ def case_groups(cases: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _sized(cases: DataFrame, groups: DataFrame) -> DataFrame:
     """members with their case's ord, priority and number of hits."""
-    rows = members(cases, groups)
+    rows = checkpointed(members(cases, groups))  # met twice
     total = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("total_case_hits"))
     return rows.join(total, "case_id").join(cases.select("case_id", F.col("ord").alias("case_ord"), F.coalesce("priority", F.lit(LAST)).alias("priority")), "case_id")
 

@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import components, grounding, handoffs, hits, triage
+from callatlas.operators import cases, components, grounding, handoffs, hits, triage
 
 
 def _plan(df):
@@ -51,3 +51,11 @@ def test_coverage_is_one_sum(spark):
     found = handoffs.claim_coverage(calls, claims, ambiguous, lookups, spark.createDataFrame([("b", "1")], unit))
     assert sorted((r.seed_id, r.n_calls, r.n_claimed, r.n_ambiguous, r.n_looked_up, r.unresolved_ratio, r.status) for r in found.collect()) == [("a", 4, 1, 0, 0, 0.0, "partial"), ("b", 1, 0, 1, 1, 0.5, "failed"), ("d", 0, 0, 1, 0, 0.0, "ok")]
     assert "Join" not in _plan(found)
+
+
+def test_members_of_cases_are_found_once(spark):
+    c = spark.createDataFrame([("c1", 1, 2, ["h1"], ["g1"]), ("c2", 2, 1, ["h1"], ["g2"])], "case_id string, ord int, priority int, evidence_hit_ids array<string>, evidence_group_ids array<string>")
+    g = spark.createDataFrame([("g1", 1, ["h2"]), ("g2", 2, ["h2", "h3"])], "group_id string, ord int, hit_ids array<string>")
+    found = cases.call_sites(c, g, spark.createDataFrame([("h1",), ("h2",), ("h3",)], "hit_id string"))
+    assert sorted((r.hit_id, r.case_id, r.total_case_hits, r.group_id) for r in found.collect()) == [("h1", "c1", 2, None), ("h2", "c1", 2, "g2"), ("h3", "c2", 3, "g2")]
+    assert "posexplode" not in _plan(found)
