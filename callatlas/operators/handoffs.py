@@ -1,11 +1,12 @@
 """Hand-offs between stages: documents held against nested schemas, and calls against the claims that cover them.
 
-A schema is compiled to one expression over a VARIANT, so a document is parsed once and never leaves the JVM.
+A schema is compiled to one SQL expression over a VARIANT, so a document is parsed once and never leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,77 +38,109 @@ SCHEMAS = {
 UNCLAIMED_FAILS, OPEN_FAILS, OPEN_PARTIAL = 0.5, 0.5, 0.2
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def kind_of(value: Column) -> Column:
-    """JSON type of a VARIANT: string, integer, number, boolean, array, object or null."""
-    return _let(F.schema_of_variant(value), _kind_named)
+def _let(name: str, value: str, use: str) -> str:
+    """`use`, an array of faults in which `name` stands for the value, computed once. By aggregate, as get(transform(..)) works out the
+    type of all that it holds anew for every row."""
+    return f"aggregate(array({value}), {_NONE}, (_before, {name}) -> {use})"
 
 
-def _kind_named(name: Column) -> Column:
-    return (F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "BIGINT", "integer").when(name == "VOID", "null").otherwise("number"))
-
-
-def _shown(value: Column) -> Column:
+def _shown(value: str) -> str:
     """A value as messages show it: strings in quotes, others as JSON."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(kind_of(value) == "string", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(F.to_json(value))
-
-
-def _told(when: Column, loc: Column, message: Column) -> Column:
-    return F.when(when, F.array(F.struct(loc.alias("loc"), message.alias("message")))).otherwise(F.expr(_NONE))
-
-
-def _at(loc: Column, part: Column) -> Column:
-    return F.when(loc == "", part).otherwise(F.concat(loc, F.lit("."), part))
-
-
-def faults(value: Column, schema: dict, loc: Column | None = None) -> Column:
-    """array<struct<loc, message>>: where a VARIANT departs from a schema, in order of the schema; loc names the place by keys and
-    places joined by dots, empty for the whole. Of a value of a wrong type only that is told. A null value has no faults."""
-    loc = F.lit("") if loc is None else loc
-    wanted = schema.get("type")
-    inside = _inside(value, schema, loc)
-    if wanted is None:
-        return F.when(value.isNull(), F.expr(_NONE)).otherwise(inside)
-    wrong = _told(F.lit(True), loc, F.concat(_shown(value), F.lit(f" is not of type '{wanted}'")))
-    fits = (lambda k: k.isin("integer", "number")) if wanted == "number" else (lambda k: k == wanted)
-    return F.when(value.isNull(), F.expr(_NONE)).when(fits(kind_of(value)), inside).otherwise(wrong)
-
-
-def _inside(value: Column, schema: dict, loc: Column) -> Column:
-    """Faults of a value of the right type."""
-    out = []
-    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    plain = lambda x: F.lit(str(x))
+    return f"IF(schema_of_variant({value}) = 'STRING', concat('\\'', try_variant_get({value}, '$', 'string'), '\\''), to_json({value}))"
+
+
+def _told(when: str, loc: list[str], message: str) -> str:
+    """A fault, or null."""
+    place = f"concat({', '.join(loc)})" if loc else "''"
+    return f"IF({when}, named_struct('loc', {place}, 'message', {message}), NULL)"
+
+
+def _at(loc: list[str], part: str) -> list[str]:
+    return [*loc, "'.'", part] if loc else [part]
+
+
+#: What schema_of_variant says of simple values. Objects and arrays are told by a cast instead: it would go through all that they hold.
+_NAMED = {"string": "= 'STRING'", "boolean": "= 'BOOLEAN'", "integer": "= 'BIGINT'", "null": "= 'VOID'", "number": "NOT RLIKE '^(OBJECT|ARRAY|STRING|BOOLEAN|VOID)'"}
+
+
+def _array(parts: list[tuple[bool, str]]) -> str:
+    """One array of parts in order, each (whether it is an array, SQL of a fault or null, or of an array of faults)."""
+    runs: list[str] = []
+    for many, group in groupby(parts, lambda p: p[0]):
+        sql = [x for _, x in group]
+        runs += sql if many else [f"array_compact(array({', '.join(sql)}))"]
+    return _NONE if not runs else runs[0] if len(runs) == 1 else f"concat({', '.join(runs)})"
+
+
+def faults(value: str, schema: dict) -> Column:
+    """array<struct<loc, message>>: where the VARIANT in column `value` departs from a schema, in order of the schema; loc names the
+    place by keys and places joined by dots, empty for the whole. Of a value of a wrong type only that is told. A null value has no
+    faults."""
+    return F.expr(_array(_parts(value, schema, [], count())))
+
+
+def _parts(value: str, schema: dict, loc: list[str], names: Iterator[int]) -> list[tuple[bool, str]]:
+    """Parts of `_array` for a value. What is judged item by item or key by key is read once, by one cast."""
+    wanted, keys, items = schema.get("type"), dict.fromkeys([*schema.get("required", ()), *schema.get("properties", {})]), schema.get("items")
+    wrong = f"concat({_shown(value)}, {_quoted(f' is not of type {wanted!r}')})"
+    checks = [(False, _told(f"{value} IS NOT NULL AND {when}", loc, message)) for when, message in _checks(value, schema)]
+    if wanted in _NAMED and not keys and items is None:
+        fits, told = f"schema_of_variant({value}) {_NAMED[wanted]}", _checks(value, schema)
+        first = "".join(f" WHEN {when} THEN {_told('true', loc, message)}" for when, message in [(f"NOT ({fits})", wrong), *told[:1]])
+        return [(False, f"CASE WHEN {value} IS NULL THEN NULL{first} END"), *((False, _told(f"{fits} AND {when}", loc, message)) for when, message in told[1:])]
+    if wanted == "object" and not keys and not checks:
+        return [(False, _told(f"{value} IS NOT NULL AND try_variant_get({value}, '$', 'struct<>') IS NULL", loc, wrong))]
+    o, a = (f"{c}{next(names)}" for c in "oa")
+    read = []  # what is bound for this value: name, SQL
+    if keys or wanted == "object":
+        plain = {k for n, k in enumerate(keys) if k.lower() not in [x.lower() for x in list(keys)[:n]]}
+        fields = ", ".join(f"`{k.replace('`', '``')}`: variant" for k in keys if k in plain)
+        read.append((o, f"try_variant_get({value}, '$', {_quoted(f'struct<{fields}>')})"))
+        # fields of a struct are found in any case; a name that differs from another by its case alone is read by itself
+        child = {k: f"{o}.`{k.replace('`', '``')}`" if k in plain else f"try_variant_get({value}, {_quoted(f'$.{k}')}, 'variant')" for k in keys}
+        checks += [(False, _told(f"{value} IS NOT NULL AND {child[k]} IS NULL", loc, _quoted(f"'{k}' is a required property"))) for k in schema.get("required", ())]
+        for k, inner in schema.get("properties", {}).items():
+            checks += _parts(child[k], inner, _at(loc, _quoted(k)), names)
+    if items is not None or "minItems" in schema or wanted == "array":
+        read.append((a, f"try_variant_get({value}, '$', 'array<variant>')"))
+        if "minItems" in schema:
+            checks.append((False, _told(f"size({a}) < {schema['minItems']}", loc, f"concat({_shown(value)}, ' is too short')")))
+    if items is not None:
+        x, k = (f"{c}{next(names)}" for c in "xk")
+        inner = _parts(x, items, _at(loc, f"CAST({k} AS STRING)"), names)
+        one = len(inner) == 1 and not inner[0][0]
+        every = f"transform({a}, ({x}, {k}) -> {inner[0][1] if one else _array(inner)})"
+        checks.append((True, f"coalesce({f'array_compact({every})' if one else f'flatten({every})'}, {_NONE})"))
+    fits = {None: "true", "object": f"{o} IS NOT NULL", "array": f"{a} IS NOT NULL"}.get(wanted) or f"schema_of_variant({value}) {_NAMED[wanted]}"
+    out = _array(checks)
+    if wanted is not None:
+        out = f"CASE WHEN {value} IS NULL THEN {_NONE} WHEN {fits} THEN {out} ELSE array({_told('true', loc, wrong)}) END"
+    for name, sql in reversed(read):
+        out = _let(name, sql, out)
+    return [(True, out)]
+
+
+def _checks(value: str, schema: dict) -> list[tuple[str, str]]:
+    """Checks of a value by itself: SQL of what is wrong, SQL of the message."""
+    text, number, told = f"try_variant_get({value}, '$', 'string')", f"try_variant_get({value}, '$', 'double')", []
     if "enum" in schema:
-        out.append(_told(~text.isin(*schema["enum"]), loc, F.concat(_shown(value), plain(f" is not one of {schema['enum']}"))))
+        told.append((f"{text} NOT IN ({', '.join(map(_quoted, schema['enum']))})", f" is not one of {schema['enum']}"))
     if "pattern" in schema:
-        out.append(_told(~text.rlike(schema["pattern"]), loc, F.concat(_shown(value), plain(f" does not match '{schema['pattern']}'"))))
+        told.append((f"NOT {text} RLIKE {_quoted(schema['pattern'])}", f" does not match '{schema['pattern']}'"))
     if "minLength" in schema:
-        out.append(_told(F.char_length(text) < schema["minLength"], loc, F.concat(_shown(value), plain(" is too short"))))
-    if "minimum" in schema:
-        out.append(_told(number < schema["minimum"], loc, F.concat(_shown(value), plain(f" is less than the minimum of {schema['minimum']}"))))
-    if "maximum" in schema:
-        out.append(_told(number > schema["maximum"], loc, F.concat(_shown(value), plain(f" is greater than the maximum of {schema['maximum']}"))))
-    for name in schema.get("required", ()):
-        out.append(_told(F.try_variant_get(value, f"$.{name}", "variant").isNull(), loc, plain(f"'{name}' is a required property")))
-    for name, inner in schema.get("properties", {}).items():
-        child = F.try_variant_get(value, f"$.{name}", "variant")
-        out.append(_let(child, _judge(inner, _at(loc, F.lit(name)))))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    if "minItems" in schema:
-        out.append(_told(F.size(items) < schema["minItems"], loc, F.concat(_shown(value), plain(" is too short"))))
-    if "items" in schema:
-        out.append(F.flatten(F.transform(items, lambda x, k: faults(x, schema["items"], _at(loc, k.cast("string"))))))
-    return F.coalesce(F.concat(*out), F.expr(_NONE)) if out else F.expr(_NONE)
-
-
-def _judge(schema: dict, loc: Column) -> Callable[[Column], Column]:
-    return lambda value: faults(value, schema, loc)
+        told.append((f"char_length({text}) < {schema['minLength']}", " is too short"))
+    low, high = schema.get("minimum"), schema.get("maximum")
+    less, more = f" is less than the minimum of {low}", f" is greater than the maximum of {high}"
+    told = [(when, _quoted(message)) for when, message in told]
+    if low is not None and high is not None and low <= high:  # at most one of both
+        told.append((f"{number} NOT BETWEEN {low} AND {high}", f"IF({number} < {low}, {_quoted(less)}, {_quoted(more)})"))
+    else:
+        told += [(f"{number} {sign} {bound}", _quoted(message)) for sign, bound, message in (("<", low, less), (">", high, more)) if bound is not None]
+    return [(when, f"concat({_shown(value)}, {message})") for when, message in told]
 
 
 def validated(rows: DataFrame, kind: Column, text: str = "body", schemas: dict | None = None) -> DataFrame:
@@ -117,7 +150,7 @@ def validated(rows: DataFrame, kind: Column, text: str = "body", schemas: dict |
     rows = rows.withColumn("_body", body).withColumn("_kind", kind)
     found = F.expr(_NONE)
     for name, schema in (schemas or SCHEMAS).items():
-        found = F.when(F.col("_kind") == name, faults(F.col("_body"), schema)).otherwise(found)
+        found = F.when(F.col("_kind") == name, faults("_body", schema)).otherwise(found)
     told = F.transform(found, lambda f: F.when(f["loc"] == "", f["message"]).otherwise(F.concat(f["loc"], F.lit(": "), f["message"])))
     errors = F.when(F.col("_body").isNull(), F.array(F.lit("no JSON"))).otherwise(told)
     return rows.withColumn("errors", errors).withColumn("ok", F.size("errors") == 0).drop("_body", "_kind")

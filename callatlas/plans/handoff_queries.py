@@ -23,14 +23,15 @@ def _claim(kind: Column, words: Column, sources: Column, tail: Column) -> Column
 def hand_off_schemas(t) -> DataFrame:
     """A third of the orders are claims, a third structures, a third behaviours with a claim for each line."""
     key, some = F.col("o_orderkey"), F.lit('["u"]')
-    share = F.concat(F.floor(F.col("l_linenumber") * 3 / 10), F.lit("."), F.col("l_linenumber") * 3 % 10)
-    line = _claim(F.lit("effect"), F.concat(F.lit("part "), "l_partkey"), F.when(F.col("l_returnflag") == "A", "[]").otherwise(some), F.concat(F.lit(', "confidence": '), share))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("claim")))).alias("x"))
-    lines = lines.select("o_orderkey", F.array_join(F.transform("x", lambda c: c["claim"]), ", ").alias("claims"))
+    share = lambda tenths: F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10)
+    # behaviours alone hold lines: those of other orders are in no document
+    lines = t.lineitem.where("l_orderkey % 3 not in (0, 1)").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") != "A").alias("sourced")))).alias("x"))
+    # texts are made from the lines behind the shuffle
+    line = lambda x: _claim(F.lit("effect"), F.concat(F.lit("part "), x["l_partkey"]), F.when(~x["sourced"], "[]").otherwise(some), F.concat(F.lit(', "confidence": '), share(x["l_linenumber"] * 3)))
     own = _claim(F.when(F.col("o_orderstatus") == "F", "effect").otherwise(F.col("o_orderstatus")), F.lit("reads the device"), some, F.when(key % 5 == 0, "").otherwise(', "confidence": 1'))
     seed = F.when(key % 4 == 1, key.cast("string")).otherwise(F.concat(F.lit('"'), key, F.lit('"')))
     structure = F.when(key % 7 == 0, "broken {").otherwise(F.concat(F.lit('{"seed_id": '), seed, F.lit(', "api_calls": [{}], "extraction_coverage": "partial", "extraction_confidence": 0.5}')))
-    behaviour = F.concat(F.lit('{"seed_id": "s", "claims": ['), F.coalesce("claims", F.lit("")), F.lit("]}"))
+    behaviour = F.concat(F.lit('{"seed_id": "s", "claims": ['), F.coalesce(F.array_join(F.transform("x", line), ", "), F.lit("")), F.lit("]}"))
     kind = F.when(key % 3 == 0, "claim").when(key % 3 == 1, "structure").otherwise("behaviour")
     rows = t.orders.join(lines, "o_orderkey", "left").select("o_orderkey", kind.alias("kind"), F.when(key % 3 == 0, own).when(key % 3 == 1, structure).otherwise(behaviour).alias("body"))
     return H.validated(rows, F.col("kind")).select("o_orderkey", "kind", "ok", F.array_join("errors", "; ").alias("errors"))

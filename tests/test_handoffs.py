@@ -41,6 +41,23 @@ def test_nesting_and_types(spark):
     assert got == [[], ["a: 1.5 is not of type 'integer'"], ["a: 1 is less than the minimum of 2"], ["b: [] is too short"], ["b.0.1: 'y' is too short", "b.1: 3 is not of type 'array'", "b.2.0: true is not of type 'string'"], ["c: 0 is not of type 'null'"], ["'a' is a required property", "b.0.0: 'y' is too short"]]
 
 
+def test_each_level_of_a_document_is_read_once(spark):
+    """Keys are read by one cast a level, not one by one, and no level is bound by get(transform(..)), which works its type out anew for
+    every row."""
+    frame = spark.createDataFrame([], "id int, kind string, body string")
+    plan = H.validated(frame, F.col("kind"))._jdf.queryExecution().analyzed().toString()
+    assert "get(transform(" not in plan and plan.count("try_variant_get(") < 150
+
+
+def test_names_that_differ_by_case_and_faults_of_one_value(spark):
+    bounds = {"t": {"minimum": 3, "maximum": 1}}
+    assert errors(spark, [("t", 2)], bounds) == [["2 is less than the minimum of 3", "2 is greater than the maximum of 1"]]
+    schema = {"t": {"type": "object", "required": ["a", "A"], "properties": {"a": {"type": "string", "minLength": 3, "enum": ["it's", "xyz"], "pattern": "^[\\\\a-z']+$"}, "A": {"type": "object"}, "b`c": {"type": "array"}}}}
+    got = errors(spark, [("t", r) for r in ({"a": "it's", "A": {}}, {"a": "1"}, {"A": 5, "b`c": {}}, {"a": None, "A": None})], schema)
+    assert got == [[], ["'A' is a required property", "a: '1' is not one of [\"it's\", 'xyz']", "a: '1' does not match '^[\\\\a-z']+$'", "a: '1' is too short"],
+                   ["'a' is a required property", "A: 5 is not of type 'object'", "b`c: {} is not of type 'array'"], ["a: null is not of type 'string'", "A: null is not of type 'object'"]]
+
+
 def coverage(spark, calls, claims, ambiguous=(), lookups=(), unresolved=()):
     u = lambda rows: spark.createDataFrame([tuple(r.split(":")) for r in rows], "seed_id string, unit_id string")
     c = spark.createDataFrame([tuple(r.split(":")) for r in claims], "seed_id string, unit_id string, claim_type string")
