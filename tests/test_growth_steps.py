@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import cases, components, grounding, handoffs, hits, triage
+from callatlas.operators import cases, components, grounding, handoffs, hits, threads, triage
 
 
 def _plan(df):
@@ -59,3 +59,14 @@ def test_members_of_cases_are_found_once(spark):
     found = cases.call_sites(c, g, spark.createDataFrame([("h1",), ("h2",), ("h3",)], "hit_id string"))
     assert sorted((r.hit_id, r.case_id, r.total_case_hits, r.group_id) for r in found.collect()) == [("h1", "c1", 2, None), ("h2", "c1", 2, "g2"), ("h3", "c2", 3, "g2")]
     assert "posexplode" not in _plan(found)
+
+
+def test_calls_that_hand_on_work_go_through_once(spark):
+    call = "analysis_id string, caller string, callsite string, pattern string, thread_new string, thread_field string, thread_type string, work_new string, work_type string"
+    rows = [("x", "<a.A: void m()>", str(k), "handler_post", None, None, None, w, None) for k, w in enumerate(("a.R", None, "gone"))] + [("x", "<a.A: void m()>", "9", "thread_start", None, None, "a.T", None, None), ("x", "<Bare: void m()>", "8", "handler_post", None, None, None, None, None)]
+    calls = spark.createDataFrame(rows, call).where("callsite <> 'marked'")
+    runs = spark.createDataFrame([("x", c, f"{c}.run") for c in ("a.R", "a.T", "a.B")], "analysis_id string, class string, run string")
+    found = threads.threading_edges(calls, runs, spark.createDataFrame([("x", "a.B"), ("x", "a.R")], "analysis_id string, class string"), 2)
+    low = [(k, c, "handler_post", "low") for k in ("1", "2") for c in ("a.B.run", "a.R.run")]
+    assert sorted((r.callsite, r.callee, r.pattern, r.confidence) for r in found.collect()) == [("0", "a.R.run", "handler_post", "high"), *low, ("9", "a.T.run", "thread_start", "low")]
+    assert sum("Filter" in line and "= marked" in line for line in _plan(found).splitlines()) == 1
