@@ -7,6 +7,12 @@ before it in the body's order; definitions through other locals and casts are fo
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +20,9 @@ from ..functions import signatures as S
 from ..plans.durable import checkpointed
 from . import threads as T
 
+# Executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Steps through locals and casts, each counting one.
 STEPS = 6
 BODY = ["analysis_id", "method"]
@@ -22,6 +31,13 @@ _SIGNATURE = r"<[^:>]+: \S+ (?:<\w+>|[^\s(<>]+)\([^)]*\)>"
 _FIELD = r"<[^:>]+: \S+ [^\s>(]+>"
 #: Arguments: constants in quotes may hold commas.
 _ARGUMENT = r'"(?:[^"\\]|\\.)*"|[^,\s][^,]*'
+_DEFINED = rf"^({_LOCAL}) :?= (.+)$"
+_INVOKED = rf"^(?:{_LOCAL} = )?(\w+)invoke (?:({_LOCAL})\.)?({_SIGNATURE})\((.*)\)$"
+_STORED = rf"^{_LOCAL}\.({_FIELD}) = (.+)$"
+_CAST = re.compile(r"\([^()]+\) (\S+)", re.ASCII)
+#: Rows of a walk, in their order at one place: what is defined there counts for what is used there. A use, the start of a thread
+#: and the sending of a message differ in where the work comes from.
+DEFINITION, GIVEN, USE, START, SEND = range(5)
 
 #: Methods whose stores tell what a field holds.
 INITIALISERS = ("<init>", "onCreate", "onStartCommand", "onReceive")
@@ -37,7 +53,8 @@ RUN = "void run()"
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """A group, that cannot be empty, of an anchored pattern, else null. nullif would try the pattern twice, and four times in two."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def is_local(value: Column) -> Column:
@@ -46,63 +63,98 @@ def is_local(value: Column) -> Column:
 
 def new_class(value: Column) -> Column:
     """Class of `new c`, else null."""
-    return _found(value, r"^new ([\w.$]+)$", 1)
+    return F.when(value.startswith("new "), _found(value, r"^new ([\w.$]+)$", 1))
 
 
 def field_of(value: Column) -> Column:
     """Field that a value reads, of an object or a class, else null."""
-    return _found(value, rf"^(?:{_LOCAL}\.)?({_FIELD})$", 1)
+    return F.when(F.contains(value, F.lit("<")) & ~F.contains(value, F.lit("invoke ")), _found(value, rf"^(?:{_LOCAL}\.)?({_FIELD})$", 1))
 
 
 def type_of(value: Column) -> Column:
     """Type that a value shows: of its new, cast, field, called method, parameter or this, else null."""
-    invoked = _found(value, rf"^\w+invoke (?:{_LOCAL}\.)?({_SIGNATURE})", 1)
-    return F.coalesce(new_class(value), _found(value, r"^\(([^()]+)\) ", 1), _found(field_of(value), r"^<[^:]+: (\S+) ", 1), S.return_of(invoked), _found(value, r"^@\w+: (\S+)$", 1))
+    invoked = F.when(F.contains(value, F.lit("invoke ")), _found(value, rf"^\w+invoke (?:{_LOCAL}\.)?({_SIGNATURE})", 1))
+    cast, given = F.when(value.startswith("("), _found(value, r"^\(([^()]+)\) ", 1)), F.when(value.startswith("@"), _found(value, r"^@\w+: (\S+)$", 1))
+    return F.coalesce(new_class(value), cast, _found(field_of(value), r"^<[^:]+: (\S+) ", 1), S.return_of(invoked), given)
+
+
+def _arguments(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_ARGUMENT), F.lit(0)), lambda a: F.trim(a))
 
 
 def definitions(units: DataFrame) -> DataFrame:
     """analysis_id, method, idx, local, value of every statement that defines a local."""
-    pattern = rf"^({_LOCAL}) :?= (.+)$"
-    return units.where(F.col("stmt").rlike(pattern)).select(*BODY, "idx", F.regexp_extract("stmt", pattern, 1).alias("local"), F.regexp_extract("stmt", pattern, 2).alias("value"))
+    return units.where(F.col("stmt").rlike(_DEFINED)).select(*BODY, "idx", F.regexp_extract("stmt", _DEFINED, 1).alias("local"), F.regexp_extract("stmt", _DEFINED, 2).alias("value"))
 
 
 def invocations(units: DataFrame) -> DataFrame:
     """analysis_id, method, idx, stmt, kind, base, callee, args of every statement with a call, its result used or not."""
-    pattern = rf"^(?:{_LOCAL} = )?(\w+)invoke (?:({_LOCAL})\.)?({_SIGNATURE})\((.*)\)$"
-    part = lambda k: F.nullif(F.regexp_extract("stmt", pattern, k), F.lit(""))
-    args = F.transform(F.regexp_extract_all(F.regexp_extract("stmt", pattern, 4), F.lit(_ARGUMENT), F.lit(0)), lambda a: F.trim(a))
-    return units.where(F.col("stmt").rlike(pattern)).select(*BODY, "idx", "stmt", part(1).alias("kind"), part(2).alias("base"), part(3).alias("callee"), args.alias("args"))
-
-
-def as_of(uses: DataFrame, defs: DataFrame, local: str, name: str) -> DataFrame:
-    """uses (analysis_id, method, idx, and others) plus, as `name`, the value of the last definition of the local in the column
-    `local` at or before the use; null without one. Uses whose local is null keep null. One window over a local's definitions and
-    uses in a body, so bodies are never put together in one value."""
-    marked = uses.select(*BODY, F.col(local).alias("_local"), "idx", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_value"), F.struct(*uses.columns).alias("_use"))
-    given = defs.select(*BODY, F.col("local").alias("_local"), "idx", F.lit(0).alias("_side"), F.col("value").alias("_value"), F.lit(None).cast(marked.schema["_use"].dataType).alias("_use"))
-    order = Window.partitionBy(*BODY, "_local").orderBy("idx", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = given.unionByName(marked).withColumn("_last", F.when(F.col("_local").isNotNull(), F.last("_value", ignorenulls=True).over(order)))
-    return both.where("_side = 1").select(*(F.col("_use")[c].alias(c) for c in uses.columns if c != name), F.col("_last").alias(name))
+    part = lambda k: _found(F.col("stmt"), _INVOKED, k)
+    return units.where(F.col("stmt").rlike(_INVOKED)).select(*BODY, "idx", "stmt", part(1).alias("kind"), F.nullif(part(2), F.lit("")).alias("base"), part(3).alias("callee"), _arguments(F.regexp_extract("stmt", _INVOKED, 4)).alias("args"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[pa.RecordBatch]:
+    """Goes through bodies in their order with the last definition of each local, and the last work given to each, in hand."""
+    body, last, given = None, {}, {}
+
+    def led(value: str | None, passes: str | None) -> tuple[str | None, str | None]:
+        depth = 0
+        while depth < steps:
+            cast = _CAST.fullmatch(value) if value and value[0] == "(" else None
+            if cast:
+                value, passes, depth = cast[1], None, depth + 1
+            if depth == steps or value == "null" or value not in last:
+                break
+            (value, passes, _), depth = last[value], depth + 1
+        return value, passes
+
+    for batch in batches:
+        uses, found = [], []
+        columns = ("analysis_id", "method", "side", "local", "value", "passes", "fits")
+        idx = batch["idx"].to_pylist() if GIVEN in batch["side"].unique().to_pylist() else []
+        for n, (a, m, side, local, value, passes, fits) in enumerate(zip(*(batch[c].to_numpy(zero_copy_only=False).tolist() for c in columns))):
+            if body != (a, m):
+                body, last, given = (a, m), {}, {}
+            if side == DEFINITION:
+                last[local] = value, passes, fits
+            elif side == GIVEN:  # the first that can be run, by its parameter's type or its own
+                if (fits or (value != "null" and value in last and last[value][2])) and (local not in given or given[local][0] != idx[n]):
+                    given[local] = idx[n], value
+            else:
+                value, passes = led(value, passes)
+                first = last[local][0] if local in last else None
+                work = value if side == USE else passes
+                if side == START:
+                    work = given.get(local) or (given.get(first) if first != "null" else None)
+                    work = work and work[1]
+                uses.append(n)
+                found.append((value, first, led(work, None)[0]))
+        told = [pa.array(c, pa.string()) for c in zip(*found)] if found else [pa.array([], pa.string())] * 3
+        kept = batch.select([*BODY, "idx", "use"]).take(pa.array(uses, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, *told], [*kept.schema.names, "value", "first", "work"])
+
+
+def walked(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """analysis_id, method, idx, use, value (what the use stands for), first (the last definition of its local), work (what it hands on, followed too).
+
+    rows: analysis_id, method, idx, side, local, value, passes (the work that a message passes on), fits (the type can be run),
+    place, use (a struct of what else a use has, null for others). A value that is a local is followed to the last definition at or before the use,
+    a cast to what it casts, each a step. Bodies are shuffled and sorted once; a task holds a value for each local of one body.
+    """
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*BODY, "idx", "use")) + ", value string, first string, work string"
+    # bodies by a number first: it is compared without reading their names
+    ordered = rows.repartition(*BODY).withColumn("_body", F.xxhash64(*BODY)).sortWithinPartitions("_body", *BODY, "idx", "side", "place", "value")
+    return ordered.mapInArrow(lambda batches: _walk(batches, steps), kind)
 
 
 def resolved(uses: DataFrame, defs: DataFrame, column: str, steps: int = STEPS) -> DataFrame:
     """uses with the local in `column` followed to what it stands for: a value that is no local, a local without a definition, or what
-    `steps` steps lead to. Every definition along the way is the last one before the use. Uses that are settled leave the loop."""
-    left = uses.withColumn("_depth", F.lit(0))
-    out = None
-    for _ in range(steps):
-        cast = _found(F.col(column), r"^\([^()]+\) (\S+)$", 1)
-        unwrapped = cast.isNotNull() & (F.col("_depth") < steps)
-        left = left.withColumns({"_depth": F.col("_depth") + unwrapped.cast("int"), column: F.when(unwrapped, cast).otherwise(F.col(column))})
-        open_ = F.coalesce(is_local(F.col(column)), F.lit(False)) & (F.col("_depth") < steps)
-        seen = as_of(left.withColumn("_ask", F.when(open_, F.col(column))), defs, "_ask", "_next")
-        seen = checkpointed(seen.withColumn(column, F.coalesce("_next", column)).withColumn("_depth", F.col("_depth") + F.when(F.col("_next").isNotNull(), 1).otherwise(0)))
-        done = seen.where("_next is null").drop("_ask", "_next", "_depth")
-        out = done if out is None else out.unionByName(done)
-        left = seen.where("_next is not null").drop("_ask", "_next")
-        if left.isEmpty():
-            return out.select(*uses.columns)
-    return out.unionByName(left.drop("_depth")).select(*uses.columns)
+    `steps` steps lead to. Every definition along the way is the last one before the use."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    use = F.struct(*(F.col(c).alias(f"_{c}") for c in uses.columns if c not in (*BODY, "idx", column))).alias("use")
+    asked = uses.select(*BODY, "idx", F.lit(USE).alias("side"), *none("string", "local"), F.col(column).alias("value"), *none("string", "passes"), *none("boolean", "fits"), *none("int", "place"), use)
+    given = defs.select(*BODY, "idx", F.lit(DEFINITION).alias("side"), "local", "value", *none("string", "passes"), *none("boolean", "fits"), *none("int", "place"), *none(asked.schema["use"].dataType, "use"))
+    return walked(given.unionByName(asked), steps).select(*(c if c in (*BODY, "idx") else F.col("value").alias(c) if c == column else F.col(f"use._{c}").alias(c) for c in uses.columns))
 
 
 def answers(methods: DataFrame, parents: DataFrame, classes: DataFrame) -> DataFrame:
@@ -116,93 +168,110 @@ def answers(methods: DataFrame, parents: DataFrame, classes: DataFrame) -> DataF
     return found.join(real, ["analysis_id", "owner", "name"]).select("analysis_id", "class", "name", F.concat(F.lit("<"), "owner", F.lit(": "), "name", F.lit(">")).alias("target"))
 
 
-def _of(rows: DataFrame, column: str, classes: DataFrame, name: str) -> DataFrame:
-    """rows with `name`: whether the class in `column` is among classes (analysis_id, class)."""
-    marks = classes.select("analysis_id", F.col("class").alias(column), F.lit(True).alias(name)).distinct()
-    return rows.join(marks, ["analysis_id", column], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
-def _threads(units: DataFrame, hierarchy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes that are threads and that can be run, the platform's own among them. A thread can be run."""
-    every = units.select("analysis_id").distinct()
-    own = lambda c: every.select("analysis_id", F.lit(c).alias("class"))
-    threads = own(T.THREAD).union(T.classes_below(hierarchy, T.THREAD)).distinct()
-    return checkpointed(threads), checkpointed(own(T.RUNNABLE).union(T.classes_below(hierarchy, T.RUNNABLE)).union(threads).distinct())
-
-
-def _stores(units: DataFrame) -> DataFrame:
-    """analysis_id, method, idx, field, value: what initialisers store into fields of their own class."""
-    pattern = rf"^{_LOCAL}\.({_FIELD}) = (.+)$"
-    found = units.where(F.col("stmt").rlike(pattern) & S.method_of(F.col("method")).isin(*INITIALISERS)).select(*BODY, "idx", F.regexp_extract("stmt", pattern, 1).alias("field"), F.regexp_extract("stmt", pattern, 2).alias("value"))
-    return found.where(F.regexp_extract("field", "^<([^:]+):", 1) == S.class_of(F.col("method")))
-
-
-def field_threads(stores: DataFrame, threads: DataFrame) -> DataFrame:
+def _told(rows: DataFrame, asked: Column, other: DataFrame, at: str, *found: str) -> DataFrame:
+    """rows with the columns `found` (name AS name) of the row of other, of the same analysis, that is asked for. Rows that ask for
+    nothing are spread: nulls would meet in one task where the other side is too large to be broadcast."""
+    nothing = F.concat(F.lit("?"), F.pmod(F.hash("method", "idx"), F.lit(4096)))
+    other = other.select("analysis_id", F.col(at).alias("_at"), *map(F.expr, found))
+    return rows.withColumn("_at", F.coalesce(asked, nothing)).join(other, ["analysis_id", "_at"], "left").drop("_at")
+
+
+def kin(hierarchy: DataFrame) -> DataFrame:
+    """analysis_id, class, thread: classes below Runnable or Thread, and whether below Thread. The platform's own are not among them."""
+    rows = hierarchy.where(F.col("supertype").isin(T.THREAD, T.RUNNABLE))
+    return rows.groupBy("analysis_id", "class").agg(F.max(F.col("supertype") == T.THREAD).alias("thread"))
+
+
+def _threads(rows: DataFrame, able: DataFrame, **asked: Column) -> DataFrame:
+    """rows with a column for each class asked for: whether it is a thread."""
+    for name, cls in asked.items():
+        rows = _told(rows, cls, able, "class", "thread AS _thread").withColumn(name, F.coalesce((cls == T.THREAD) | F.coalesce("_thread", F.lit(False)), F.lit(False))).drop("_thread")
+    return rows
+
+
+def _passed(value: Column) -> Column:
+    """The argument of a value that is Message.obtain with a runnable, else null."""
+    made_by = _found(value, rf"^staticinvoke ({_SIGNATURE})\(", 1)
+    place = F.when((S.method_of(made_by) == "obtain") & (S.class_of(made_by) == MESSAGE), F.array_position(S.params_of(made_by), T.RUNNABLE))
+    inner = F.regexp_extract(value, rf"^staticinvoke {_SIGNATURE}\((.*)\)$", 1)
+    return F.when(F.contains(value, F.lit(MESSAGE)), F.when(place > 0, F.get(_arguments(inner), (place - 1).cast("int"))))
+
+
+def _read(units: DataFrame, able: DataFrame) -> DataFrame:
+    """Rows to walk (see `walked`), from one scan: definitions, arguments of threads' constructors, and as uses started threads, what
+    is posted, messages, stores of initialisers into fields of their class. able: of `kin`."""
+    has = lambda text: F.contains("stmt", F.lit(text))
+    # no call hands on work without one of these texts; patterns are tried on what is left, each once
+    near = has("invoke ") & (has(" void start()") | has("android.os.Handler") | has("execute(") | has("submit(") | (has("specialinvoke ") & has("<init>(")))
+    stmt, callee = F.col("stmt"), F.col("callee")
+    rows = units.select(
+        *BODY, "idx", "stmt", F.when(has("= "), _found(stmt, _DEFINED, 1)).alias("local"), F.when(near, _found(stmt, _INVOKED, 3)).alias("callee"),
+        F.when(has("> = "), F.when(S.method_of(F.col("method")).isin(*INITIALISERS), _found(stmt, _STORED, 1))).alias("field"))
+    called = lambda c: F.when(callee.isNotNull(), c)
+    rows = rows.select(
+        *BODY, "idx", "stmt", "local", "callee", F.when(F.regexp_extract("field", "^<([^:]+):", 1) == S.class_of(F.col("method")), F.col("field")).alias("field"),
+        F.when(F.col("local").isNotNull(), F.regexp_extract("stmt", _DEFINED, 2)).alias("value"), called(_found(stmt, _INVOKED, 1)).alias("kind"), called(F.nullif(F.regexp_extract("stmt", _INVOKED, 2), F.lit(""))).alias("base"),
+        called(_arguments(F.regexp_extract("stmt", _INVOKED, 4))).alias("args"), called(S.class_of(callee)).alias("class"), called(S.method_of(callee)).alias("name"), called(S.params_of(callee)).alias("types"))
+    begun = (F.col("name") == "start") & F.contains("callee", F.lit(" void start()")) & F.col("base").isNotNull() & F.col("method").isNotNull() & F.col("idx").isNotNull()
+    pattern = F.when(begun, "thread_start").otherwise(T.pattern_of(F.col("class"), F.col("name"), F.get("types", F.lit(0))))
+    rows = rows.withColumn("pattern", F.when(F.col("field").isNotNull(), "store").otherwise(called(pattern)))
+    side = F.when(F.col("pattern") == "thread_start", START).when(F.col("pattern") == "handler_message", SEND).otherwise(USE)
+    value = F.when(F.col("pattern") == "thread_start", F.col("base")).when(F.col("pattern") == "store", F.regexp_extract("stmt", _STORED, 2)).otherwise(F.get("args", F.lit(0)))
+    use = F.struct("stmt", "pattern", "class", "field")
+
+    def row(side: Column, local: Column, value: Column, passes: Column | None = None, place: Column | None = None, asked: Column | None = None, owner: Column | None = None, use: Column | None = None) -> Column:
+        texts = [(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in (("passes", passes), ("asked", asked), ("owner", owner))]
+        return F.struct(side.cast("int").alias("side"), local.alias("local"), value.alias("value"), *texts, (F.lit(None).cast("int") if place is None else place).alias("place"), (F.lit(None).cast(kind) if use is None else use).alias("use"))
+
+    kind = rows.select(use.alias("use")).schema["use"].dataType
+    rows = rows.withColumns({"asked_value": F.when(F.col("pattern").isNotNull(), value), "shown": type_of(F.col("value"))})
+    defined = F.when(F.col("local").isNotNull(), row(F.lit(DEFINITION), F.col("local"), F.col("value"), _passed(F.col("value")), asked=F.col("shown")))
+    used = F.when(F.col("pattern").isNotNull(), row(side, F.when(side == START, F.col("base")), F.col("asked_value"), F.when(side == SEND, _passed(F.col("asked_value"))), use=use))
+    given = F.when((F.col("kind") == "special") & (F.col("name") == "<init>") & F.col("base").isNotNull(), F.transform("args", lambda arg, n: row(F.lit(GIVEN), F.col("base"), arg, place=n, asked=F.get("types", n), owner=F.col("class"))))
+    rows = rows.select(*BODY, "idx", F.explode_outer(F.concat(F.array(defined, used), F.coalesce(given, F.array()))).alias("row"))
+    rows = rows.where("row is not null").select(*BODY, "idx", "row.*")
+    rows = _threads(rows, able, of_thread=F.col("owner")).where((F.col("side") != GIVEN) | F.col("of_thread")).drop("of_thread", "owner")
+    rows = _told(rows, F.col("asked"), able, "class", "true AS _able")
+    return rows.withColumn("fits", F.coalesce(F.col("_able") | F.col("asked").isin(T.THREAD, T.RUNNABLE), F.lit(False))).drop("_able", "asked")
+
+
+def field_threads(stores: DataFrame, able: DataFrame) -> DataFrame:
     """analysis_id, field, field_class: the thread class that an initialiser makes anew for a field; of several the first by method
-    and place. stores: of `_stores`, resolved."""
-    made = _of(stores.withColumn("field_class", new_class(F.col("value"))), "field_class", threads, "is_thread").where("is_thread")
+    and place. stores: analysis_id, method, idx, field, value; able: of `kin`."""
+    made = _threads(stores.withColumn("field_class", new_class(F.col("value"))), able, is_thread=F.col("field_class")).where("is_thread")
     return made.groupBy("analysis_id", "field").agg(F.min_by("field_class", F.struct("method", "idx")).alias("field_class"))
 
 
-def _constructed(calls: DataFrame, defs: DataFrame, threads: DataFrame, runnables: DataFrame) -> DataFrame:
-    """What a thread's constructor is given to run, as definitions: analysis_id, method, idx, local (the thread), value (the first
-    argument that can be run, by its own type or the parameter's)."""
-    made = calls.where((F.col("kind") == "special") & (S.method_of(F.col("callee")) == "<init>") & F.col("base").isNotNull()).withColumn("class", S.class_of(F.col("callee")))
-    made = made.join(threads, ["analysis_id", "class"], "left_semi").withColumn("types", S.params_of(F.col("callee")))
-    args = made.select(*BODY, "idx", "base", "types", F.posexplode("args").alias("place", "arg"))
-    args = as_of(args.withColumn("ask", F.when(is_local(F.col("arg")), F.col("arg"))), defs, "ask", "first")
-    args = args.select(*BODY, "idx", "base", "place", "arg", F.get("types", F.col("place")).alias("declared"), type_of(F.col("first")).alias("shown"))
-    fit = _of(_of(args, "declared", runnables, "by_parameter"), "shown", runnables, "by_value").where("by_parameter or by_value")
-    return fit.groupBy(*BODY, "idx", F.col("base").alias("local")).agg(F.min_by("arg", "place").alias("value"))
-
-
-def handed_on(units: DataFrame, hierarchy: DataFrame) -> DataFrame:
+def handed_on(units: DataFrame, hierarchy: DataFrame, able: DataFrame | None = None) -> DataFrame:
     """Calls that hand work to threads, handlers and executors, as `threads.threading_edges` takes them: analysis_id, caller, callsite,
-    pattern, thread_new, thread_field, thread_type, work_new, work_type.
+    pattern, thread_new, thread_field, thread_type, work_new, work_type. able: of `kin`, where it is at hand.
 
     A thread is started by start() on a class below Thread, or on a local that stands for one. Its class is that of its `new`,
     else of the `new` that an initialiser stores into its field, else the type that its definition shows. What it runs is the
     argument of the last constructor called on the local, or on the local that it is a copy of. A message is followed to the
-    Message.obtain that made it. Statements of any other form hand on nothing; bodies without calls cost one scan.
+    Message.obtain that made it. Statements of any other form hand on nothing; bodies are read, shuffled and sorted once.
     """
-    threads, runnables = _threads(units, hierarchy)
-    defs = checkpointed(definitions(units))
-    calls = checkpointed(invocations(units))
-    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
-    begun = calls.where((S.method_of(F.col("callee")) == "start") & F.contains("callee", F.lit(" void start()")) & F.col("base").isNotNull())
-    begun = begun.select(*BODY, "idx", "stmt", F.lit("thread_start").alias("pattern"), "callee", "base", F.col("base").alias("value"), *none("field"))
-    posts = calls.withColumn("pattern", T.start_pattern(F.col("callee"), F.lit(False))).where("pattern is not null").select(*BODY, "idx", "stmt", "pattern", "callee", *none("base"), F.get("args", F.lit(0)).alias("value"), *none("field"))
-    stores = _stores(units).select(*BODY, "idx", *none("stmt"), F.lit("store").alias("pattern"), *none("callee", "base"), "value", "field")
-    # every first use goes through one resolution: started threads, what is posted, messages, stores into fields
-    uses = checkpointed(resolved(begun.unionByName(posts).unionByName(stores), defs, "value"))
-    begun = as_of(uses.where("pattern = 'thread_start'").drop("field"), defs, "base", "first")
-    begun = begun.join(uses.where("pattern = 'thread_start'").select(*BODY, "idx", F.col("base").alias("_base")), [*BODY, "idx"]).drop("base").withColumnRenamed("_base", "base")
-    begun = begun.withColumn("class", S.class_of(F.col("callee"))).withColumn("thread_type", F.coalesce(type_of(F.col("first")), type_of(F.col("value")))).withColumn("made", new_class(F.col("value"))).withColumn("field", field_of(F.col("value")))
-    begun = _of(_of(_of(begun, "class", threads, "by_callee"), "thread_type", threads, "by_type"), "made", threads, "is_thread").where("by_callee or by_type")
-    begun = begun.join(field_threads(uses.where("pattern = 'store'"), threads), ["analysis_id", "field"], "left")
-    given = checkpointed(_constructed(calls, defs, threads, runnables))
-    begun = as_of(as_of(begun.withColumn("copied", F.when(is_local(F.col("first")), F.col("first"))), given, "base", "own_work"), given, "copied", "copied_work")
-    begun = begun.select(*BODY, "idx", "stmt", "pattern", F.when(F.col("is_thread"), F.col("made")).alias("thread_new"), F.col("field_class").alias("thread_field"), F.coalesce("thread_type", "class").alias("thread_type"), F.coalesce("own_work", "copied_work").alias("work"))
-    made_by = _found(F.col("value"), rf"^staticinvoke ({_SIGNATURE})\(", 1)
-    obtained = F.when((S.method_of(made_by) == "obtain") & (S.class_of(made_by) == MESSAGE), F.array_position(S.params_of(made_by), T.RUNNABLE))
-    inner = F.regexp_extract_all(F.regexp_extract("value", rf"^staticinvoke {_SIGNATURE}\((.*)\)$", 1), F.lit(_ARGUMENT), F.lit(0))
-    message = F.col("pattern") == "handler_message"
-    posts = uses.where("pattern not in ('thread_start', 'store')").withColumn("work", F.when(~message, F.col("value")).when(obtained > 0, F.trim(F.get(inner, (obtained - 1).cast("int"))))).where(~message | F.col("work").isNotNull())
-    every = begun.unionByName(posts.select(*BODY, "idx", "stmt", "pattern", *none("thread_new", "thread_field", "thread_type"), "work"))
-    every = resolved(every, defs, "work")  # what threads and messages were given, as it stands at the start or the sending
+    able = checkpointed(kin(hierarchy)) if able is None else able
+    uses = checkpointed(walked(_read(units, able)).select(*BODY, "idx", "use.*", "value", "first", "work"))
+    stores = checkpointed(field_threads(uses.where("pattern = 'store'"), able))
+    begun = uses.where("pattern = 'thread_start'").withColumn("thread_type", F.coalesce(type_of(F.col("first")), type_of(F.col("value")))).withColumn("made", new_class(F.col("value"))).withColumn("field", field_of(F.col("value")))
+    begun = _threads(begun, able, by_callee=F.col("class"), by_type=F.col("thread_type"), is_thread=F.col("made")).where("by_callee or by_type")
+    begun = _told(begun, F.col("field"), stores, "field", "field_class AS thread_field")
+    begun = begun.select(*BODY, "stmt", "pattern", F.when(F.col("is_thread"), F.col("made")).alias("thread_new"), "thread_field", F.coalesce("thread_type", "class").alias("thread_type"), "work")
+    none = [F.lit(None).cast("string").alias(c) for c in ("thread_new", "thread_field", "thread_type")]
+    posts = uses.where("pattern not in ('thread_start', 'store') and (pattern <> 'handler_message' or work is not null)").select(*BODY, "stmt", "pattern", *none, "work")
+    every = begun.unionByName(posts)
     return every.select("analysis_id", F.col("method").alias("caller"), F.col("stmt").alias("callsite"), "pattern", "thread_new", "thread_field", "thread_type", new_class(F.col("work")).alias("work_new"), F.coalesce(type_of(F.col("work")), F.when(F.col("work").isNotNull() & (F.col("pattern") == "thread_start"), F.lit(T.RUNNABLE))).alias("work_type"))
 
 
 def found_threading_edges(units: DataFrame, hierarchy: DataFrame, methods: DataFrame, parents: DataFrame, most: int = T.FALLBACK) -> DataFrame:
     """Synthetic threading edges from statements alone (see `handed_on`, `answers` and `threads.threading_edges`)."""
-    calls = checkpointed(handed_on(units, hierarchy))
-    named = [calls.select("analysis_id", F.col(c).alias("class")) for c in ("thread_new", "thread_field", "thread_type", "work_new", "work_type")]
-    below = T.classes_below(hierarchy, T.RUNNABLE).union(T.classes_below(hierarchy, T.THREAD)).distinct()
-    classes = below
-    for part in named:
-        classes = classes.union(part.where("class is not null"))
-    runs = checkpointed(answers(methods, parents, classes.distinct().withColumn("name", F.lit(RUN))).select("analysis_id", "class", F.col("target").alias("run")))
-    return T.threading_edges(calls, runs, checkpointed(below), most)
+    able = checkpointed(kin(hierarchy))
+    calls = checkpointed(handed_on(units, hierarchy, able))
+    below = able.select("analysis_id", "class")
+    named = calls.select("analysis_id", F.explode(F.array("thread_new", "thread_field", "thread_type", "work_new", "work_type")).alias("class")).where("class is not null")
+    runs = checkpointed(answers(methods, parents, below.union(named).distinct().withColumn("name", F.lit(RUN))).select("analysis_id", "class", F.col("target").alias("run")))
+    return T.threading_edges(calls, runs, below, most)
 
 
 def registrations(units: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plans whose rows, or shuffles, grew faster than the input."""
 
-from callatlas.operators import cases, components, grounding, handoffs, hits, threads, triage
+from callatlas.operators import cases, components, defuse, grounding, handoffs, hits, threads, triage
 
 
 def _plan(df):
@@ -70,3 +70,22 @@ def test_calls_that_hand_on_work_go_through_once(spark):
     low = [(k, c, "handler_post", "low") for k in ("1", "2") for c in ("a.B.run", "a.R.run")]
     assert sorted((r.callsite, r.callee, r.pattern, r.confidence) for r in found.collect()) == [("0", "a.R.run", "handler_post", "high"), *low, ("9", "a.T.run", "thread_start", "low")]
     assert sum("Filter" in line and "= marked" in line for line in _plan(found).splitlines()) == 1
+
+
+def test_bodies_are_read_shuffled_and_sorted_once(spark):
+    unit = "analysis_id string, method string, idx int, stmt string"
+    start = "virtualinvoke {}.<java.lang.Thread: void start()>()"
+    body = ["$r = new a.R", "$t = new java.lang.Thread", "specialinvoke $t.<java.lang.Thread: void <init>(java.lang.Runnable)>($r)", "$u = $t", start.format("$u"), "$r = new a.Q", start.format("$w")]
+    units = spark.createDataFrame([("x", f"<a.A: void {m}()>", k, s) for m in "mn" for k, s in enumerate(body)] + [(None, None, None, "$r = new a.N"), ("x", "<a.A: void m()>", None, start.format("$t"))], unit).where("stmt <> 'marked'")
+    able = spark.createDataFrame([("x", "a.R", False)], "analysis_id string, class string, thread boolean")
+    read = defuse.walked(defuse._read(units, able))
+    # what runs was given at the constructor and is read at the start; a start without a place is none
+    want = [(start.format("$u"), "new java.lang.Thread", "$t", "new a.R"), (start.format("$w"), "$w", None, None)]
+    assert sorted(tuple(map(str, (r.use.stmt, r.value, r["first"], r.work))) for r in read.collect()) == sorted(tuple(map(str, w)) for w in want * 2)
+    plan = read._jdf.queryExecution().sparkPlan().toString()
+    assert sum("Filter" in line and "= marked" in line for line in _plan(read).splitlines()) == 1 and plan.count("Exchange") + plan.count("Repartition") == 1
+    uses = spark.createDataFrame([("x", "m", 2, "$b"), ("x", "m", None, "$b"), ("x", "m", 1, None), (None, "m", 3, "(c.C) $b")], "analysis_id string, method string, idx int, value string")
+    defs = spark.createDataFrame([("x", "m", 2, "$b", "(c.B) $a"), ("x", "m", 1, "$a", "new c.One"), ("x", "m", 3, "$a", "new c.Two"), (None, "m", 0, "$b", "5")], "analysis_id string, method string, idx int, local string, value string")
+    found = defuse.resolved(uses, defs, "value")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("x", "m", 2, "new c.One"), ("x", "m", None, "$b"), ("x", "m", 1, None), (None, "m", 3, "5")], key=str)
+    assert "FileScan" not in found._jdf.queryExecution().sparkPlan().toString() and found.columns == uses.columns
