@@ -264,7 +264,7 @@ def handed_on(units: DataFrame, hierarchy: DataFrame, able: DataFrame | None = N
     return every.select("analysis_id", F.col("method").alias("caller"), F.col("stmt").alias("callsite"), "pattern", "thread_new", "thread_field", "thread_type", new_class(F.col("work")).alias("work_new"), F.coalesce(type_of(F.col("work")), F.when(F.col("work").isNotNull() & (F.col("pattern") == "thread_start"), F.lit(T.RUNNABLE))).alias("work_type"))
 
 
-def found_threading_edges(units: DataFrame, hierarchy: DataFrame, methods: DataFrame, parents: DataFrame, most: int = T.FALLBACK) -> DataFrame:
+def found_threading_edges(units: DataFrame, hierarchy: DataFrame, methods: DataFrame, parents: DataFrame, most: int | None = None) -> DataFrame:
     """Synthetic threading edges from statements alone (see `handed_on`, `answers` and `threads.threading_edges`)."""
     able = checkpointed(kin(hierarchy))
     calls = checkpointed(handed_on(units, hierarchy, able))

@@ -77,7 +77,7 @@ def _counted(found: DataFrame) -> DataFrame:
 
 @query
 def found_threading_edges(t) -> DataFrame:
-    return _counted(D.found_threading_edges(_units(t), *_classes(t), 5))
+    return _counted(D.found_threading_edges(_units(t), *_classes(t)))
 
 
 @query

@@ -123,6 +123,18 @@ def test_fallback_is_cut(spark, most, expected):
     assert threads.FALLBACK == 20 and got.count() == expected
 
 
+def test_all_that_stand_in_are_found(spark):
+    """More than any bound, each once: of a package, whose classes also inherit run(), and of a class; repeated calls count once."""
+    named = {f"com.app.N{k:02d}": ("java.lang.Object", (RUNNABLE,), ("void run()",)) for k in range(40)}
+    heirs = {f"com.app.H{k:02d}": (f"com.app.N{k:02d}", (f"com.app.N{k:02d}", RUNNABLE), ()) for k in range(40)}
+    within = {f"com.app.Main${k}": ("java.lang.Object", (RUNNABLE,), ("void run()",)) for k in range(1, 31)}
+    units = units_of(spark, {"a": {PLAIN: [POST.format("$r"), POST.format("$r")], MAIN: [POST.format("$r")]}})
+    got = D.found_threading_edges(units, *app(spark, ["a"], named | heirs | within))
+    want = [(PLAIN, c) for c in (*named, *within)] + [(MAIN, c) for c in within]
+    assert sorted((r["caller"], r["callee"]) for r in got.collect()) == sorted((m, f"<{c}: void run()>") for m, c in want)
+    assert {(r["pattern"], r["confidence"], r["edge_source"]) for r in got.collect()} == {("handler_post", "low", "threading_synthetic")}
+
+
 def test_listeners(spark):
     cases = {
         "new": ({MAIN: ["$l = new com.app.SubTap", CLICK.format("$l")]}, [("com.app.Tap", "setOnClickListener", "high")]),
